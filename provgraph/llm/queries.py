@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from .mixing import OP4_SQL, op4_mix
+from .simhash import op8_simhash
+from .vectors import OP1_SQL, op1_exact_top_k, op2_nearest
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {"op4_mix": op4_mix, "op6_warc": op6_warc}
-ORACLE_SQL = {"op4_mix": OP4_SQL, "op6_warc": OP6_SQL}
+QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_nearest": op2_nearest,
+    "op4_mix": op4_mix,
+    "op6_warc": op6_warc,
+    "op8_simhash": op8_simhash,
+}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL}
