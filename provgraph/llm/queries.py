@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .mixing import OP4_SQL, op4_mix
+from .quality import op3_quality
+from .secrets import op10_secrets
 from .simhash import op8_simhash
 from .vectors import OP1_SQL, op1_exact_top_k, op2_nearest
 from .warc import OP6_SQL, op6_warc
@@ -10,8 +12,10 @@ from .warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_nearest": op2_nearest,
+    "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL}
