@@ -6,16 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provgraph.llm.common import scratch, table
 from provgraph.llm.mixing import emit_copies, mix_sources
+from provgraph.llm.quality import rate_quality
+from provgraph.llm.secrets import redact
+from provgraph.llm.simhash import near_duplicates
+from provgraph.llm.tokens import decode, encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity stays within their language's threshold; the others go."""
+    return rate_quality(docs, table(spark, sf_dir, "labels"), carry_text=True).where("keep").select(COLUMNS)
+
+
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates(docs.select(COLUMNS))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret in them replaced by a mark; none is left out."""
+    return redact(docs.select(COLUMNS)).select(COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights; a document stands once for each copy taken."""
-    return emit_copies(mix_sources(docs), COLUMNS)
+    return emit_copies(mix_sources(docs.select(COLUMNS)), COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, and whether they decode to its text."""
+    decoded = decode(encode(docs.select("doc_id", "source", "text")))
+    return decoded.selectExpr("doc_id", "source", "ids", "cast(size(ids) as bigint) as n_pieces", "decoded <=> text as round_trip")
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [("quality", quality), ("deduplication", deduplication), ("secrets", secrets), ("mixing", mixing), ("pieces", pieces)]
 
 #: The scores of the learned stages cannot be had in SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat
 from .mixing import OP4_SQL, op4_mix
 from .quality import op3_quality
 from .secrets import op10_secrets
 from .simhash import op8_simhash
+from .tokens import op5_pieces, op7_token_counts
 from .vectors import OP1_SQL, op1_exact_top_k, op2_nearest
 from .warc import OP6_SQL, op6_warc
 
@@ -14,8 +16,11 @@ QUERIES = {
     "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
+    "op5_pieces": op5_pieces,
     "op6_warc": op6_warc,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL, "op9_chat": OP9_SQL}
