@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,11 @@ from .common import checkpointed, ship_package, table
 SPACE = "▁"
 UNITS = 8
 NONE = -(1 << 60)
-#: Code points of a chunk; longer texts are giants. Units of text that the cache holds, and the longest one held.
-CHUNK, CACHE, LONGEST = 65_536, 500_000, 64
+#: Code points of a chunk; longer texts are giants. Units of text that the caches of pieces and of counts hold, and the
+#: longest one held.
+CHUNK, ENCODED, COUNTED, LONGEST = 65_536, 200_000, 500_000, 64
+#: Rows that a task holds as Python objects at once.
+ROWS = 128
 
 
 def default_model() -> str:
@@ -60,11 +64,15 @@ class Vocabulary:
         normal = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         return cls([model.id_to_piece(i) for i in normal], zipf_scores([model.get_score(i) for i in normal]), normal, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def open(self) -> None:
-        self.automaton = ahocorasick.Automaton()
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
         for piece, score in zip(self.pieces, self.scores):
-            self.automaton.add_word(piece, (len(piece), score))
-        self.automaton.make_automaton()
+            found.add_word(piece, (len(piece), score))
+        found.make_automaton()
+        return found
+
+    def open(self) -> None:
         self.single = {p for p in self.pieces if len(p) == 1}
         self.id_of = dict(zip(self.pieces, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
@@ -125,7 +133,7 @@ class Vocabulary:
         _, back = self.forward(unit, 0, [0])
         found = np.array(self.ids_before(unit, back, len(unit), 0), "<i4").tobytes()
         if len(unit) <= LONGEST:
-            if len(self.encoded) >= CACHE:
+            if len(self.encoded) >= ENCODED:
                 self.encoded.clear()
             self.encoded[unit] = found
         return found
@@ -170,7 +178,7 @@ class Vocabulary:
             at += 1
         found = (count[len(unit) & mask], score[len(unit) & mask])
         if len(unit) <= LONGEST:
-            if len(self.counted) >= CACHE:
+            if len(self.counted) >= COUNTED:
                 self.counted.clear()
             self.counted[unit] = found
         return found
@@ -215,6 +223,13 @@ class Vocabulary:
         return self.forward(text[start:], 0, [0])[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that little of a batch stands as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def normal(text: str) -> str:
     """The library's identity normalisation with a dummy prefix: spaces become the space sign."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -325,7 +340,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [None if t is None else vocabulary.value.encode(normal(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*columns, "ids"])
 
@@ -349,7 +364,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     names = [*kept.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [None if i is None else vocabulary.value.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 
@@ -372,7 +387,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, carry: bool = True)
     at, out = columns.index("text"), columns if carry else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [vocabulary.value.count(normal(t or "")) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in out), pa.array([n for n, _ in found], pa.int64()), pa.array([s / UNITS for _, s in found], pa.float64())], names=[*out, "n_tokens", "score"])
 
@@ -386,7 +401,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, ids in zip(batch.column(1).to_pylist(), batch.column(2)):
                 found = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
