@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of a few rows, so that little of a batch stands as Python objects at a time.
+
+    Freed memory goes back to the system, because many tasks may follow in the same Python process.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can import it anywhere."""
     app = spark.sparkContext.applicationId
@@ -57,6 +74,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder. For loops: a checkpoint keeps its plan's size estimate, which joins multiply each round."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -69,13 +93,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     shrink by a constant factor per round. Only nodes that have a link appear.
     """
     links = links.select("a", "b").where("a <> b")
-    both = checkpointed(links.union(links.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    both = written(links.union(links.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
+    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        hooked = checkpointed(labels.join(near, "node").select("node", "root", F.least("root", "seen").alias("low")))
+        hooked = written(labels.join(near, "node").select("node", "root", F.least("root", "seen").alias("low")))
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        moved = checkpointed(hooked.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root"), (F.col("root") != F.coalesce(F.least("low", "far"), "low")).alias("moved")))
+        moved = written(hooked.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root"), (F.col("root") != F.coalesce(F.least("low", "far"), "low")).alias("moved")))
         labels = moved.select("node", "root")
         if moved.where("moved").isEmpty():
             return labels

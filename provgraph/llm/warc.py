@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, scratch, table
+from .common import checkpointed, scratch, table, written
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -126,22 +126,22 @@ def reachable(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("offset")
     linked = F.lag("successor").over(order) == F.col("offset")
     runs = found.withColumn("breaks", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = checkpointed(runs.drop("breaks"))
+    runs = written(runs.drop("breaks"))
     tails = runs.groupBy("file", "run").agg(F.max_by("successor", "offset").alias("target"), F.min("offset").alias("head"))
     if tails.where("run > 1").isEmpty():
         return runs.drop("run")
-    jumps = checkpointed(tails.select("file", "run", "target").join(runs.select("file", F.col("offset").alias("target"), F.col("run").alias("next_run")), ["file", "target"]).select("file", "run", "next_run", F.col("target").alias("entry")))
-    reached = checkpointed(tails.where("head = 0").select("file", "run", F.lit(0).cast("long").alias("entry")))
+    jumps = written(tails.select("file", "run", "target").join(runs.select("file", F.col("offset").alias("target"), F.col("run").alias("next_run")), ["file", "target"]).select("file", "run", "next_run", F.col("target").alias("entry")))
+    reached = written(tails.where("head = 0").select("file", "run", F.lit(0).cast("long").alias("entry")))
     count = reached.count()
     while True:
         onward = reached.select("file", "run").join(jumps, ["file", "run"]).select("file", F.col("next_run").alias("run"), "entry")
-        reached = checkpointed(reached.union(onward).distinct())
+        reached = written(reached.union(onward).distinct())
         now = reached.count()
         if now == count:
             break
         count = now
         step = jumps.select("file", F.col("run").alias("next_run"), F.col("next_run").alias("far_run"), F.col("entry").alias("far_entry"))
-        jumps = checkpointed(jumps.drop("entry").join(step, ["file", "next_run"]).select("file", "run", F.col("far_run").alias("next_run"), F.col("far_entry").alias("entry")))
+        jumps = written(jumps.drop("entry").join(step, ["file", "next_run"]).select("file", "run", F.col("far_run").alias("next_run"), F.col("far_entry").alias("entry")))
     return runs.join(reached, ["file", "run"]).where("offset >= entry").drop("run", "entry")
 
 
