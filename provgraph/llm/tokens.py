@@ -21,16 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import checkpointed, ship_package, table
+from .common import checkpointed, ship_package, slices, table
 
 SPACE = "▁"
 UNITS = 8
 NONE = -(1 << 60)
 #: Code points of a chunk; longer texts are giants. Units of text that the caches of pieces and of counts hold, and the
 #: longest one held.
-CHUNK, ENCODED, COUNTED, LONGEST = 65_536, 200_000, 500_000, 64
-#: Rows that a task holds as Python objects at once.
-ROWS = 128
+CHUNK, ENCODED, COUNTED, LONGEST = 65_536, 300_000, 500_000, 64
 
 
 def default_model() -> str:
@@ -131,17 +129,126 @@ class Vocabulary:
 
     def unit_ids(self, unit: str) -> bytes:
         _, back = self.forward(unit, 0, [0])
-        found = np.array(self.ids_before(unit, back, len(unit), 0), "<i4").tobytes()
-        if len(unit) <= LONGEST:
-            if len(self.encoded) >= ENCODED:
-                self.encoded.clear()
-            self.encoded[unit] = found
-        return found
+        return np.array(self.ids_before(unit, back, len(unit), 0), "<i4").tobytes()
 
-    def encode(self, normal: str) -> np.ndarray:
+    @cached_property
+    def tables(self) -> tuple:
+        """The pieces as a trie in arrays: character classes, the root's children, sorted edge keys with their ends, piece by node."""
+        chars = sorted({c for p in self.pieces for c in p})
+        kind = {c: i + 1 for i, c in enumerate(chars)}
+        width = len(chars) + 1
+        nodes: dict[tuple[int, int], int] = {}
+        piece_at = [-1]
+        for number, piece in enumerate(self.pieces):
+            node = 0
+            for char in piece:
+                key = (node, kind[char])
+                if key not in nodes:
+                    nodes[key] = len(piece_at)
+                    piece_at.append(-1)
+                node = nodes[key]
+            piece_at[node] = number
+        first = np.full(width, -1, np.int64)
+        keys, ends = [], []
+        for (node, k), child in nodes.items():
+            if node == 0:
+                first[k] = child
+            else:
+                keys.append(node * width + k)
+                ends.append(child)
+        order = np.argsort(keys)
+        classes = np.zeros(0x110000, np.uint16)
+        classes[[ord(c) for c in chars]] = np.arange(1, width)
+        return classes, width, first, np.array(keys, np.int64)[order], np.array(ends, np.int64)[order], np.array(piece_at, np.int64), np.array(self.scores, np.int64), np.array(self.ids, np.int64)
+
+    def matches(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in many units at once: start, length, number of the piece. ``left``: characters from each place to its unit's end."""
+        classes, width, first, keys, ends, piece_at, _, _ = self.tables
+        kinds = classes[codes].astype(np.int64)
+        at = np.arange(len(codes))
+        node = first[kinds]
+        found, length = [], 1
+        while True:
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            piece = piece_at[node]
+            hit = piece >= 0
+            found.append((at[hit], np.full(int(hit.sum()), length), piece[hit]))
+            more = left[at] > length
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            key = node * width + kinds[at + length]
+            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            node = np.where((keys[spot] == key) & (kinds[at + length] > 0), ends[spot], -1)
+            length += 1
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def fill(self, units: list[str]) -> None:
+        """Segment many units at once into the cache: one step for each place in a unit, for all units together."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(u) for u in units])
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        unit_of = np.repeat(np.arange(len(units)), sizes)
+        place = np.arange(len(codes)) - starts[unit_of]
+        at, length, piece = self.matches(codes, sizes[unit_of] - place)
+        alone = np.ones(len(codes), bool)
+        alone[at[length == 1]] = False
+        lone = np.flatnonzero(alone)
+        at, length, piece = np.r_[at, lone], np.r_[length, np.ones(len(lone), int)], np.r_[piece, np.full(len(lone), -1)]
+        gain = np.where(piece >= 0, self.tables[6][piece], self.unknown)
+        # ends have a place of their own for each unit's start, so that a unit's last end is not the next one's start
+        begin = at + unit_of[at]
+        order = np.argsort(place[at], kind="stable")
+        bounds = np.searchsorted(place[at][order], np.arange(int(sizes.max(initial=0)) + 1))
+        best = np.full(len(codes) + len(units), NONE, np.int64)
+        best[starts + np.arange(len(units))] = 0
+        via = np.zeros(len(best), np.int64)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            step = order[lo:hi]
+            score, end = best[begin[step]] + gain[step], begin[step] + length[step]
+            better = (best[begin[step]] > NONE) & (score > best[end])
+            best[end[better]], via[end[better]] = score[better], step[better]
+        here, goal = stops + np.arange(len(units)), starts + np.arange(len(units))
+        used = []
+        while len(here):
+            step = via[here]
+            used.append(step)
+            here = begin[step]
+            going = here > goal
+            here, goal = here[going], goal[going]
+        path = np.concatenate(used) if used else np.zeros(0, int)
+        path = path[np.argsort(begin[path])]
+        ids = np.where(piece[path] >= 0, self.tables[7][piece[path]], -1).astype("<i4")
+        cuts = np.searchsorted(unit_of[at[path]], np.arange(len(units) + 1)) * 4
+        odd = set(unit_of[at[path[ids < 0]]].tolist())
+        packed, cache = ids.tobytes(), self.encoded
+        for i, (unit, lo, hi) in enumerate(zip(units, cuts[:-1].tolist(), cuts[1:].tolist())):
+            cache[unit] = packed[lo:hi] if i not in odd else self.with_bytes(unit, ids[lo // 4 : hi // 4], (at[path[lo // 4 : hi // 4]] - starts[i]).tolist())
+
+    def with_bytes(self, unit: str, ids: np.ndarray, begins: list[int]) -> bytes:
+        """A unit's ids where some characters are no pieces and become their bytes."""
+        out: list[int] = []
+        for i, b in zip(ids.tolist(), begins):
+            out += [i] if i >= 0 else [self.byte_ids[x] for x in unit[b].encode("utf-8", "surrogatepass")]
+        return np.array(out, "<i4").tobytes()
+
+    def encode_many(self, normals: list[str]) -> list[np.ndarray]:
+        """Ids of several texts; the units that the cache lacks are segmented together."""
+        units = [self.unit.findall(n) for n in normals]
         cache = self.encoded
-        parts = [cache.get(u) or self.unit_ids(u) for u in self.unit.findall(normal)]
-        return np.frombuffer(b"".join(parts), "<i4")
+        lacking = {u for us in units for u in us if u not in cache}
+        if len(cache) + len(lacking) > ENCODED:
+            cache.clear()
+            lacking = {u for us in units for u in us}
+        short = [u for u in lacking if len(u) <= LONGEST]
+        for i in range(0, len(short), 20_000):
+            self.fill(short[i : i + 20_000])
+        return [np.frombuffer(b"".join([cache.get(u) or self.unit_ids(u) for u in us]), "<i4") for us in units]
+
+    def encode(self, normal: str) -> np.ndarray:
+        return self.encode_many([normal])[0]
 
     def count_unit(self, unit: str) -> tuple[int, int]:
         """Pieces and score of a unit; only as many ends are held as the longest piece has characters."""
@@ -223,13 +330,6 @@ class Vocabulary:
         return self.forward(text[start:], 0, [0])[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that little of a batch stands as Python objects at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
-
-
 def normal(text: str) -> str:
     """The library's identity normalisation with a dummy prefix: spaces become the space sign."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -341,7 +441,8 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [None if t is None else vocabulary.value.encode(normal(t)) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            found = [None if t is None else ids for t, ids in zip(texts, vocabulary.value.encode_many([normal(t or "") for t in texts]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*columns, "ids"])
 
     schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))])
