@@ -9,7 +9,7 @@ from provgraph.llm.mixing import emit_copies, mix_sources
 from provgraph.llm.quality import rate_quality
 from provgraph.llm.secrets import redact
 from provgraph.llm.simhash import near_duplicates
-from provgraph.llm.tokens import decode, encode
+from provgraph.llm.tokens import encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, and whether they decode to its text."""
-    decoded = decode(encode(docs.select("doc_id", "source", "text")))
-    return decoded.selectExpr("doc_id", "source", "ids", "cast(size(ids) as bigint) as n_pieces", "decoded <=> text as round_trip")
+    encoded = encode(docs.select("doc_id", "source", "text"), check=True)
+    return encoded.selectExpr("doc_id", "source", "ids", "cast(size(ids) as bigint) as n_pieces", "round_trip")
 
 
 STAGES = [("quality", quality), ("deduplication", deduplication), ("secrets", secrets), ("mixing", mixing), ("pieces", pieces)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ship_package, table
+from .common import ship_package, slices, table
 
 #: Fixed patterns of the base findings, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -193,7 +193,7 @@ def training_findings(docs: DataFrame, max_docs: int, max_findings: int, seed: s
     """Labelled findings of at most ``max_docs`` documents, at most ``max_findings``, both in an order drawn from the seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [f for t in batch.column(0).to_pylist() for f in labelled(t)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], names=["shown", "secret"])
 
@@ -208,7 +208,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda f: (f[0], f[2])))
 
 
-def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int = TRAIN_FINDINGS, recall: float = RECALL, seed: str = "findings", carry: bool = True) -> DataFrame:
+def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int = TRAIN_FINDINGS, recall: float = RECALL, seed: str = "findings", carry: bool = True, mark: str | None = None) -> DataFrame:
     """Secrets of every text in whole: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
     The network is fitted on a bounded labelled sample drawn from ``docs`` and on findings made by rule; its threshold is
@@ -216,7 +216,7 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
     threshold join the base findings as kind ``model``. Base findings always stay, whatever the network says. ``spans`` lists
     kind:start:end in code points, end exclusive, by start and then kind. Returns the columns of ``docs`` (with
     ``carry=False`` only ``doc_id``) and the five; columns of those names in ``docs`` give way. Null text counts as empty and
-    stays null; texts without findings have zero counts, the digest of the empty string and empty spans. Repeated rows
+    stays null; with ``mark`` each finding in ``text`` is replaced by it (overlapping ones by one); texts without findings have zero counts, the digest of the empty string and empty spans. Repeated rows
     are scanned each; empty input gives no rows.
     """
     ship_package(docs.sparkSession)
@@ -228,7 +228,7 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
     network = docs.sparkSession.sparkContext.broadcast(train(training_findings(docs, max_docs, max_findings, seed), recall))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             net, bases, owners, shown, places = network.value, [], [], [], []
             for i, text in enumerate(batch.column(at).to_pylist()):
                 base = base_findings(text) if text else []
@@ -245,36 +245,27 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
             counts = [pa.array([sum(f[2] == k for f in b) for b in bases], pa.int64()) for k in range(3)]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases], pa.string())
             mine = [batch.column(columns.index(c)) for c in out_columns]
+            if mark is not None:
+                clean = [t if not x else replaced(t, x, mark) for t, x in zip(batch.column(at).to_pylist(), spans)]
+                mine[at] = pa.array(clean, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*mine, *counts, digest, pa.array([joined(s) for s in spans], pa.string())], names=[*out_columns, *made])
 
     fields = [*kept.select(out_columns).schema.fields, *(StructField(c, LongType()) for c in made[:3]), *(StructField(c, StringType()) for c in made[3:])]
     return kept.mapInArrow(run, StructType(fields))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
-    """The rows of ``docs`` with every finding replaced by ``mark`` (overlapping findings by one)."""
-    columns = docs.columns
-    found = find_secrets(docs, **settings)
-    fields = StructType(found.select([*columns, "spans"]).schema.fields[:-1])
-    at = columns.index("text")
+def replaced(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    out, last = [], 0
+    for start, end, _ in sorted(spans):
+        if start >= last:
+            out += [text[last:start], mark]
+        last = max(last, end)
+    return "".join(out) + text[last:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                if not spans:
-                    texts.append(text)
-                    continue
-                out, last = [], 0
-                for _, s, e in (x.split(":") for x in spans.split(",")):
-                    if int(s) >= last:
-                        out += [text[last : int(s)], mark]
-                    last = max(last, int(e))
-                texts.append("".join(out) + text[last:])
-            arrays = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    return found.select([*columns, "spans"]).mapInArrow(run, fields)
+
+def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
+    """The rows of ``docs`` with every finding replaced by ``mark``."""
+    return find_secrets(docs, mark=mark, **settings).select(docs.columns)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, ship_package, table
+from .common import checkpointed, connected_components, ship_package, slices, table
 
 RADIUS = 2
 #: Bytes of a text that are cut into words at once.
@@ -199,7 +199,7 @@ def simhash_components(docs: DataFrame, size: int = 3, segment: int = 4) -> Data
     """
 
     def prints(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -299,11 +299,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     """The pairs whose sets of ``size``-word shingles have Jaccard similarity ``least`` or more. ``texts``: ``node``, ``text``."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
     def enough(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, most: in
     ship_package(spark)
 
     def codes(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([word_code(t) for t in batch.column(2).to_pylist()], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "text_key", "c1", "c2"])
 

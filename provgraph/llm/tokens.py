@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .common import checkpointed, ship_package, slices, table
 
@@ -425,8 +425,9 @@ def encode_giants(rows: DataFrame, vocabulary, chunk: int) -> DataFrame:
     return traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda c: c["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids``, the pieces of every text in whole; a column ``ids`` of ``docs`` gives way.
+def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the pieces of every text in whole, and with ``check`` also ``round_trip``, whether they decode
+    to the text; columns of ``docs`` with these names give way.
 
     Texts of up to ``chunk`` code points are encoded where they stand; longer ones are cut into chunks that are
     encoded apart with the same result (``encode_giants``). Null text: null ids; empty text: no ids; repeated rows are
@@ -435,24 +436,30 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     spark = docs.sparkSession
     ship_package(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or default_model()))
-    kept = docs.select([c for c in docs.columns if c != "ids"])
+    kept = docs.select([c for c in docs.columns if c not in ("ids", "round_trip")])
     columns = kept.columns
     at = columns.index("text")
+    made = ["ids", "round_trip"] if check else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             found = [None if t is None else ids for t, ids in zip(texts, vocabulary.value.encode_many([normal(t or "") for t in texts]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*columns, "ids"])
+            new = [pa.array(found, pa.list_(pa.int32()))]
+            if check:
+                new.append(pa.array([t is None or vocabulary.value.decode(i.tolist()) == t for t, i in zip(texts, found)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*columns, *made])
 
-    schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType())), *([StructField("round_trip", BooleanType())] if check else [])])
     is_giant = F.coalesce(F.length("text") > chunk - 1, F.lit(False))
     plain = kept.where(~is_giant).mapInArrow(run, schema)
     giants = checkpointed(kept.where(is_giant).withColumn("row", F.monotonically_increasing_id())) if "row" not in columns else checkpointed(kept.where(is_giant).withColumnRenamed("row", "__row").withColumn("row", F.monotonically_increasing_id()))
     if giants.isEmpty():
         return plain
     encoded = giants.join(encode_giants(giants, vocabulary, chunk), "row").drop("row")
-    return plain.union(encoded.withColumnRenamed("__row", "row").select(*columns, "ids"))
+    if check:
+        encoded = decode(encoded, model).withColumn("round_trip", F.col("decoded") == F.col("text"))
+    return plain.union(encoded.withColumnRenamed("__row", "row").select(*columns, *made))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
