@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provgraph.cluster import dense_ids
+from provgraph.cluster import checkpointed, dense_ids
 from provgraph.operators import detect, embed, graph, report, snapshots
 from provgraph.sources import tables
 
@@ -102,7 +102,7 @@ def store_roundtrip(s, d):
 def als(s, d):
     bags = counts(s, d)
     vocabulary = dense_ids(bags, "rsg", "rsg_id")
-    rated = bags.join(vocabulary, "rsg").withColumn("seq", F.col("day"))
+    rated = checkpointed(bags.join(vocabulary, "rsg").select("rsg_id", "cnt", F.col("day").alias("seq")))
     model = embed.snapshot_factors(rated, 16, 3)
     return embed.snapshot_vectors(model).select("seq", F.size("vec").alias("dim"))
 
