@@ -8,6 +8,7 @@ meet in a cell are the candidates, and their Hamming distance is then taken exac
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,13 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, ship_package, slices, table
+from .common import checkpointed, connected_components, ship_package, slices, table, written
 
 RADIUS = 2
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 #: Rows of keys up to which they are broadcast to pick texts; beyond, texts are shuffled.
 BROADCAST_ROWS = 400_000
+#: One text in so many is asked which shingles are common, and how many of these are broadcast. Only speed depends on both.
+ASKED, COMMON = 32, 200_000
+#: Turns in which a spanning forest of each key's candidate pairs is tried, before all pairs that are left are taken.
+TURNS = 2
+#: Bits of a text's parity sketch.
+SKETCH = 1024
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -312,27 +319,133 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(enough, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 24) -> DataFrame:
+def distinct_shingles(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, sorted."""
+    lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    found = [np.unique(np.array(h, dtype=np.uint64)) for h in shingle_hashes(lowered, size)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def prefix(found: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in an order of all shingles, rare ones first.
+
+    Sets of similarity ``least`` share at least ``least`` of either; so of each set's last ones, fewer than that, cannot
+    hold all that is shared, and the first of the shared ones stands in both prefixes. Empty sets share the key 0.
+    """
+    if not len(found):
+        return np.zeros(1, np.uint64)
+    keys, counts = common
+    rank = np.zeros(len(found), np.int64)
+    if len(keys):
+        spot = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rank = np.where(keys[spot] == found, counts[spot], 0)
+    return found[np.lexsort((found, rank))[: len(found) - math.ceil(least * len(found) - 1e-9) + 1]]
+
+
+def parity_sketch(found: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of ``SKETCH`` places; two sketches differ in no more bits than the sets in members."""
+    places = (found & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def common_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several of the texts asked, sorted, and in how many they stand. ``keyed``: ``text_key``, ``text``."""
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [distinct_shingles(t, size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["key"])
+
+    asked = keyed.where(F.pmod(F.xxhash64(F.lit("asked"), "text_key"), F.lit(ASKED)) == 0).dropDuplicates(["text_key"])
+    counted = asked.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count >= 3")
+    top = counted.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    keys = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top.column("count").to_numpy()[order]
+
+
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``n`` of every prefix shingle that several nodes have."""
+
+    def spread(batches):
+        for batch in slices(batches, 1024):
+            node, n = (batch.column(i).to_numpy() for i in (0, 1))
+            prefixes = batch.column(2).to_pylist()
+            counts = [len(p) // 8 for p in prefixes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(node, counts)), pa.array(np.repeat(n, counts))], names=["key", "node", "n"])
+
+    def meet(batches):
+        for columns in whole_runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n"])
+
+    return in_cells(nodes.select("node", "n", "prefix").mapInArrow(spread, "key long, node long, n long")).mapInArrow(meet, "key long, node long, n long")
+
+
+def open_keys(placed: DataFrame) -> DataFrame:
+    """Rows (``key``, ``node``, ``n``, ``part``) of the keys whose nodes lie in several parts."""
+    keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return placed.join(keys, "key")
+
+
+def sketched_pairs(placed: DataFrame, least: float, turn: int | None = None) -> DataFrame:
+    """Pairs of different parts that share a key and whose sizes and sketches allow the similarity.
+
+    With ``turn``, of each key only pairs that join what the key's pairs before have not joined, taken in an order drawn
+    from the turn's number; without, all. ``placed``: ``key``, ``node``, ``n``, ``part``, ``sketch``.
+    """
+
+    def links(batches):
+        for keys, node, n, part, sketch in whole_runs(batches):
+            starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else np.zeros(1, int)
+            ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                bits = np.frombuffer(b"".join(sketch[s:e]), np.uint64).reshape(e - s, -1)
+                ids, sizes, own = node[s:e], n[s:e], part[s:e].copy()
+                parts, counts = np.unique(own, return_counts=True)
+                main = (own == parts[counts.argmax()]) & (turn is None)
+                waiting = ~main
+                order = np.argsort((ids.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * (turn or 0)))
+                for i in order[waiting[order]].tolist():
+                    waiting[i] = False
+                    j = np.flatnonzero((waiting | main) & (own != own[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-9))
+                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    j = j[apart <= (sizes[j] + sizes[i]) * (1 - least) / (1 + least) + 1e-6]
+                    if turn is not None and len(j):
+                        j = j[np.unique(own[j], return_index=True)[1]]
+                        own[np.isin(own, own[j])] = own[i]
+                    ones.append(np.minimum(ids[i], ids[j]))
+                    twos.append(np.maximum(ids[i], ids[j]))
+            pairs = np.unique(np.stack([np.concatenate(ones), np.concatenate(twos)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return in_cells(placed.select("key", "node", "n", "part", "sketch")).mapInArrow(links, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id (a null one only if there is no other).
 
     Two texts are near-duplicates if the Jaccard similarity of their sets of ``size``-word shingles (A-Z lower-cased) is
-    ``least`` or more. Candidates come from a 128-bit SimHash of each text's words in four bands: texts meet when a band
-    differs in at most 2 bits, by the grid join over segment popcounts, and the whole code in at most ``most`` bits. First
-    a spanning forest of the candidate pairs is verified exactly, then every pair that the forest left out and that
-    still lies between different groups. Equal texts are one node from the start, empty and null texts one group.
+    ``least`` or more. Candidates share a shingle of their prefixes, which no such pair lacks, whatever was changed in
+    the text and where; sizes and parity sketches rule out some that cannot reach it. In a few turns a spanning forest of
+    the candidate pairs between different groups is verified exactly, then every one that still lies between different
+    groups. Equal texts are one node from the start, empty and null texts one group.
     Returns the columns of ``docs``; repeated rows leave one; empty input gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    common = spark.sparkContext.broadcast(common_shingles(keyed.select("text_key", "text"), size))
 
-    def codes(batches):
+    def sets(batches):
         for batch in slices(batches):
-            found = np.array([word_code(t) for t in batch.column(2).to_pylist()], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "text_key", "c1", "c2"])
+            found = [distinct_shingles(t, size) for t in batch.column(2).to_pylist()]
+            made = [pa.array([len(f) for f in found], pa.int64()), pa.array([prefix(f, least, common.value).tobytes() for f in found], pa.binary()), pa.array([parity_sketch(f) for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n", "prefix", "sketch"])
 
-    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    coded = checkpointed(keyed.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(codes, "doc_id long, text_key binary, c1 long, c2 long"))
-    nodes = checkpointed(coded.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("c1").alias("c1"), F.first("c2").alias("c2")).withColumn("node", F.monotonically_increasing_id()))
+    coded = keyed.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(sets, "doc_id long, text_key binary, n long, prefix binary, sketch binary")
+    once = coded.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch")))
+    nodes = written(once.withColumn("node", F.monotonically_increasing_id()))
+    shared = written(shared_prefixes(nodes))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = checkpointed(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("a"), "text_key"), "a").toDF("node", "text_key"))
@@ -340,16 +453,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, most: in
             wanted = F.broadcast(wanted)
         return keyed.select("text_key", "text").join(wanted, "text_key").select("node", "text")
 
-    found = checkpointed(first_pairs(probe_bands(nodes.withColumn("part", F.col("node"))), most))
-    pairs = found.where("b is not null")
-    links = checkpointed(verified(pairs, texts_of(pairs), size, least))
-    parts = connected_components(links)
-    rest = found.where("b is null").select(F.col("a").alias("node")).join(nodes, "node").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    more = checkpointed(other_pairs(probe_bands(rest), most).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpointed(links.union(verified(more, texts_of(more), size, least)))
-        parts = connected_components(links)
-    grouped = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.withColumn("part", F.col("node"))
+    links = tried = parts = None
+    for turn in range(TURNS + 1):
+        if turn:
+            placed = shared.join(parts, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
+            placed = shared = written(open_keys(placed))
+            shared = shared.drop("part")
+        pairs = sketched_pairs(placed.join(nodes.select("node", "sketch"), "node"), least, turn if turn < TURNS else None)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.union(pairs)
+            found = checkpointed(verified(pairs, texts_of(pairs), size, least))
+            links = found if links is None else links.union(found)
+            parts = connected_components(links)
+        if parts is None:
+            parts = nodes.select("node", F.col("node").alias("root")).limit(0)
+    grouped = nodes.select("node", "text_key", "doc_id").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = grouped.groupBy("root").agg(F.min_by(F.struct("text_key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("w")).select(F.col("w.text_key").alias("text_key"), F.coalesce("w.doc_id", F.lit(-1)).alias("__id"), F.col("w.doc_id").isNull().alias("__null"))
     marked = keyed.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__null", F.col("doc_id").isNull())
     once = F.row_number().over(Window.partitionBy("text_key", "__id", "__null").orderBy(F.lit(0)))

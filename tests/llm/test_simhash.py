@@ -117,3 +117,36 @@ def test_left_out_pairs_are_found(spark):
     ring = {r.a for r in first if r.b is None}
     assert ring == {0, 1, 2} or len({(r.a, r.b) for r in first if r.b is not None}) == 3
     assert {(r.a, r.b) for r in simhash.other_pairs(probed, 24).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_contiguous_changes_are_found(spark):
+    """Appended, truncated and header-added copies at similarity 0.8 or more, all of them."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"t{i}" for i in range(3000)]
+    line = [f"line{i}" for i in range(20)]
+    rows = []
+    for i in range(60):
+        text = list(rng.choice(vocabulary, int(rng.integers(60, 500)))) + line
+        share = (0.05, 0.1, 0.15, 0.2, 0.24)[i % 5]
+        other = list(rng.choice(vocabulary, int(share * len(text))))
+        copy = (text + other, other + text, text[: len(text) - int(share * len(text) * 0.8)])[i % 3]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    near = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 45
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_duplicates(df).collect()) == [i for i in range(len(rows)) if i % 2 == 0 or i - 1 not in near]
+
+
+def test_prefixes_and_sketches():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    common = keys[::3], rng.integers(3, 90, len(keys[::3]))
+    for _ in range(300):
+        a = np.sort(rng.choice(keys, int(rng.integers(1, 120)), replace=False))
+        b = np.unique(np.r_[a[rng.random(len(a)) > rng.random() * 0.25], rng.choice(keys, int(rng.integers(0, 12)))])
+        both, apart = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
+        if both >= 0.8 * (both + apart):
+            assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
+        x, y = (np.frombuffer(simhash.parity_sketch(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= apart
