@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -158,13 +158,19 @@ def surprises(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
 def trusted_sample(docs: DataFrame, trusted: DataFrame, max_docs: int, max_words: int, seed: str) -> DataFrame:
     """At most ``max_docs`` trusted documents of at most ``max_words`` words together, in an order drawn from the seed.
 
-    A fifth of the trusted ids, by the same draw, never enters, so that thresholds always have unseen documents.
+    A document that does not fit is passed over, and those after it still enter. Only ids and numbers of words are put in
+    order. A fifth of the trusted ids, by the same draw, never enters, so that thresholds always have unseen documents.
     """
     draw = F.xxhash64(F.lit(seed), "doc_id")
     ids = trusted.select("doc_id", draw.alias("draw")).where(F.pmod("draw", F.lit(5)) != 0).orderBy("draw", "doc_id").limit(max_docs)
-    whole = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    sofar = F.sum(word_count(F.col("text"))).over(Window.partitionBy(F.lit(0)).orderBy("draw", "doc_id"))
-    return whole.withColumn("sofar", sofar).where(F.col("sofar") <= max_words).select("doc_id", "text")
+    sized = docs.select("doc_id", word_count(F.col("text")).alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "draw").agg(F.max("n").alias("n"))
+    room, chosen = max_words, []
+    for r in sorted(sized.collect(), key=lambda r: (r.draw, r.doc_id)):
+        if r.n <= room:
+            room -= r.n
+            chosen.append((r.doc_id,))
+    fitting = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    return docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id").dropDuplicates(["doc_id"])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -72,3 +72,12 @@ def test_hard_rows(spark):
     assert all(r.keep is not None and r.threshold is not None for r in found.collect())
     assert all(r.keep and r.threshold is None for r in quality.rate_quality(docs, labels.limit(0)).collect())
     assert quality.rate_quality(docs.limit(0), labels).count() == 0
+
+
+def test_giant_trusted_document(spark):
+    """One that exceeds the bound is passed over, wherever it is drawn."""
+    for giant in range(0, 30, 3):
+        docs = spark.createDataFrame([(i, "w " * (5_000 if i == giant else 10)) for i in range(30)], "doc_id long, text string")
+        found = [r.doc_id for r in quality.trusted_sample(docs, docs.select("doc_id"), 30, 1_000, "trusted").collect()]
+        drawn = spark.range(30).where("id <> %d and pmod(xxhash64('trusted', id), 5) <> 0" % giant).collect()
+        assert sorted(found) == [r.id for r in drawn]
