@@ -23,6 +23,8 @@ SHARDS = 16
 OPEN_WORDS = 1_000_000
 #: Pseudo-words at the language's mean that steady the perplexity of short texts.
 STEADY = 20
+#: Held-out documents of a language at which its own quantile counts as much as that of all languages.
+SHRINK = 100
 #: Languages up to which their thresholds are broadcast; beyond, documents are shuffled by language.
 BROADCAST_ROWS = 10_000
 START, END, OTHER = 0, 1, 2
@@ -197,7 +199,8 @@ def rate_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, max
 
     The model is fitted on a bounded sample of the documents that ``labels`` (``doc_id``, ``quality``) marks 1. All
     documents are scored in whole, and the scores are written to the shared folder. Then every trusted document outside
-    the sample takes part in its language's threshold: the ``quantile`` of their perplexity. A perplexity is the exponential
+    the sample takes part in its language's threshold: the ``quantile`` of their perplexity over the language's mean, drawn
+    towards that of all languages as by ``SHRINK`` documents, since the quantile of a few is their maximum. A perplexity is the exponential
     of (surprise + 20 * the language's mean) / (words + 1 + 20), which keeps a few rare words from deciding over a short
     text. Returns the columns of ``docs`` (without ``text`` unless ``carry_text``) and ``n_words``, ``perplexity``,
     ``threshold``, ``keep``; columns of those names in ``docs`` give way. Null language: a language of its own. Null or blank
@@ -224,7 +227,11 @@ def rate_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, max
     every = held_out.agg(mean.alias("mean")).first()["mean"]
     means = held_out.groupBy(language).agg(mean.alias("mean"))
     rated = held_out.withColumn("language", language).join(means, "language").withColumn("perplexity", rate(F.col("mean")))
-    limits = rated.groupBy("language").agg(F.first("mean").alias("mean"), F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    above = rated.withColumn("above", F.log("perplexity") - F.col("mean"))
+    usual = above.agg(F.percentile_approx("above", quantile, 10_000).alias("u")).first()["u"]
+    own = above.groupBy("language").agg(F.first("mean").alias("mean"), F.count(F.lit(1)).alias("n"), F.percentile_approx("above", quantile, 10_000).alias("own"))
+    shrunk = (F.col("n") * F.col("own") + SHRINK * F.lit(usual).cast("double")) / (F.col("n") + SHRINK)
+    limits = own.select("language", "mean", F.exp(F.col("mean") + shrunk).alias("threshold"))
     overall = rated.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t")).first()["t"]
     if means.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)

@@ -81,3 +81,17 @@ def test_giant_trusted_document(spark):
         found = [r.doc_id for r in quality.trusted_sample(docs, docs.select("doc_id"), 30, 1_000, "trusted").collect()]
         drawn = spark.range(30).where("id <> %d and pmod(xxhash64('trusted', id), 5) <> 0" % giant).collect()
         assert sorted(found) == [r.id for r in drawn]
+
+
+def test_language_with_few_trusted_documents(spark):
+    """Its clean documents are kept, though its own quantile is that of one to five documents."""
+    rng = np.random.default_rng(6)
+    held = [r.id for r in spark.range(4_000).where("pmod(xxhash64('trusted', id), 5) = 0").limit(15).collect()]
+    lang = {d: f"l{n}" for n, some in ((1, held[:1]), (2, held[1:3]), (3, held[3:6]), (4, held[6:10]), (5, held[10:15])) for d in some}
+    text = lambda: " ".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(20, 60))))
+    rows = [(i, text(), lang.get(i, "en")) for i in range(600)]
+    rows += [(10_000 + 100 * n + i, text(), f"l{n}") for n in range(1, 6) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
+    kept = quality.rate_quality(docs, labels).where("doc_id >= 10000").groupBy("lang").agg({"keep": "count_if"}).collect()
+    assert len(kept) == 5 and all(r[1] >= 51 for r in kept), kept
