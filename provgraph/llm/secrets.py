@@ -60,6 +60,12 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : min(end, start + INSIDE)].ljust(INSIDE, "\1") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def windows(text: str, start: int, end: int) -> list[str]:
+    """A candidate's window, and for one longer than ``INSIDE`` those of overlapping parts up to its end."""
+    later = [*range(start + INSIDE // 2, end - INSIDE, INSIDE // 2), end - INSIDE] if end - start > INSIDE else []
+    return [window(text, start, end), *(window(text, at, at + INSIDE) for at in later)]
+
+
 def encode(windows: list[str]) -> np.ndarray:
     """Character numbers: printable ASCII each its own, the fillers and all others one each."""
     codes = np.frombuffer("".join(windows).encode("utf-32-le"), np.uint32).reshape(-1, WIDTH)
@@ -131,7 +137,7 @@ class Network:
             a, b = a - 0.05 * (((p - y) * z).mean() + 1e-3 * a), b - 0.05 * (p - y).mean()
         self.scale, self.shift = max(float(a), 1e-3), float(b)
         positive = np.sort(self.probability(x)[y == 1])
-        self.threshold = max(0.5, float(positive[int((1 - recall) * len(positive))])) if len(positive) else 0.5
+        self.threshold = float(positive[int((1 - recall) * len(positive) + 1e-9)]) if len(positive) else 0.5
 
 
 def made_findings(count: int, seed: int = 3) -> list[tuple[str, int]]:
@@ -212,7 +218,7 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
     """Secrets of every text in whole: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
     The network is fitted on a bounded labelled sample drawn from ``docs`` and on findings made by rule; its threshold is
-    the highest that keeps ``recall`` of the held-out secrets. It judges every candidate of every text; those at or above the
+    the highest that keeps ``recall`` of the held-out secrets. It judges every candidate of every text, long ones in overlapping windows of which the highest counts; those at or above the
     threshold join the base findings as kind ``model``. Base findings always stay, whatever the network says. ``spans`` lists
     kind:start:end in code points, end exclusive, by start and then kind. Returns the columns of ``docs`` (with
     ``carry=False`` only ``doc_id``) and the five; columns of those names in ``docs`` give way. Null text counts as empty and
@@ -235,13 +241,15 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
                 bases.append(base)
                 if text:
                     for s, e in other_candidates(text, base):
-                        owners.append(i)
-                        places.append((s, e, 3))
-                        shown.append(window(text, s, e))
+                        parts = windows(text, s, e)
+                        owners += [i] * len(parts)
+                        places += [(s, e, 3)] * len(parts)
+                        shown += parts
             spans = [list(b) for b in bases]
             if shown:
-                for k in np.flatnonzero(net.probability(encode(shown)) >= net.threshold).tolist():
-                    spans[owners[k]].append(places[k])
+                reached = np.flatnonzero(np.concatenate([net.probability(encode(shown[k : k + 4096])) for k in range(0, len(shown), 4096)]) >= net.threshold).tolist()
+                for owner, place in dict.fromkeys((owners[k], places[k]) for k in reached):
+                    spans[owner].append(place)
             counts = [pa.array([sum(f[2] == k for f in b) for b in bases], pa.int64()) for k in range(3)]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases], pa.string())
             mine = [batch.column(columns.index(c)) for c in out_columns]

@@ -68,3 +68,21 @@ def test_redaction(spark):
     scanned = secrets.find_secrets(df)
     assert scanned.columns.count("spans") == 1
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_threshold_keeps_recall():
+    """On held-out findings that the network cannot tell apart, too."""
+    shown = secrets.made_findings(400, seed=9)
+    x, y = secrets.encode([w for w, _ in shown]), (np.random.default_rng(1).random(400) < 0.3).astype(float)
+    for network in (secrets.Network(), secrets.train([])):
+        network.calibrate(x, y, secrets.RECALL)
+        p = network.probability(x)[y == 1]
+        assert (p >= network.threshold).mean() >= secrets.RECALL and (p > network.threshold).mean() < secrets.RECALL
+
+
+def test_long_candidates_are_seen_whole():
+    text = "ab " + "".join(chr(0x4E00 + i) for i in range(175)) + " yz"
+    for end in (20, 51, 52, 75, 76, 100, 178):
+        inner = "".join(w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in secrets.windows(text, 3, end))
+        assert set(text[3:end]) == set(inner) - {"\1"}
+    assert secrets.windows(text, 3, 40) == [secrets.window(text, 3, 40)]
