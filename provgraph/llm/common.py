@@ -54,12 +54,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own: on one
+    machine a temporary one, on a cluster one beside the warehouse, never an executor's own disk."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = folder or tempfile.mkdtemp(prefix="provgraph-checkpoints-")
-        context.setCheckpointDir(folder)
+        if not folder and context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="provgraph-checkpoints-")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/provgraph-checkpoints")
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
@@ -74,11 +76,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder. For loops: a checkpoint keeps its plan's size estimate, which joins multiply each round."""
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table in the shared folder, and its path. For loops: a checkpoint keeps its plan's size estimate, which joins multiply each round."""
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same without the path, for tables that stay as long as the job's folder."""
+    return kept_at(df)[0]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of a loop that no later table is computed from."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def word_count(text: Column) -> Column:
@@ -92,14 +107,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours and then follows the label's own label, so long chains
     shrink by a constant factor per round. Only nodes that have a link appear.
     """
+    spark = links.sparkSession
     links = links.select("a", "b").where("a <> b")
-    both = written(links.union(links.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    both, both_at = kept_at(links.union(links.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
+    labels, labels_at = kept_at(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        hooked = written(labels.join(near, "node").select("node", "root", F.least("root", "seen").alias("low")))
+        hooked, hooked_at = kept_at(labels.join(near, "node").select("node", "root", F.least("root", "seen").alias("low")))
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        moved = written(hooked.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root"), (F.col("root") != F.coalesce(F.least("low", "far"), "low")).alias("moved")))
-        labels = moved.select("node", "root")
+        moved, moved_at = kept_at(hooked.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("root"), (F.col("root") != F.coalesce(F.least("low", "far"), "low")).alias("moved")))
+        removed(spark, labels_at, hooked_at)
+        labels, labels_at = moved.select("node", "root"), moved_at
         if moved.where("moved").isEmpty():
+            removed(spark, both_at)
             return labels

@@ -8,6 +8,7 @@ meet in a cell are the candidates, and their Hamming distance is then taken exac
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from .common import checkpointed, connected_components, ship_package, slices, table, written
 
 RADIUS = 2
+#: Fingerprints of one cell, and members of one group of candidates, that a task compares at once; larger ones are split.
+CROWD = 4096
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 #: Rows of keys up to which they are broadcast to pick texts; beyond, texts are shuffled.
 BROADCAST_ROWS = 400_000
 #: One text in so many is asked which shingles are common, and how many of these are broadcast. Only speed depends on both.
-ASKED, COMMON = 32, 200_000
-#: Turns in which a spanning forest of each key's candidate pairs is tried, before all pairs that are left are taken.
-TURNS = 2
-#: Bits of a text's parity sketch.
-SKETCH = 1024
+ASKED, COMMON = 8, 400_000
+#: Bits of a text's parity sketch for each of its shingles, and the least and largest sketch.
+SKETCH_BITS, LEAST_SKETCH, LARGEST_SKETCH = 8, 512, 65_536
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,17 +87,6 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(packed, "big", signed=True)
 
 
-def word_code(text: str | None) -> tuple[int, int]:
-    """A 128-bit fingerprint of the set of lower-cased words, as two signed numbers."""
-    lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    words: set[bytes] = set()
-    for part in pieces(lowered, 0):
-        words.update(part)
-    digest = xxhash.xxh3_128_digest
-    packed = majority(iter([b"".join([digest(w) for w in words])] if words else []), 16)
-    return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
-
-
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int32)
 
@@ -171,6 +161,22 @@ def in_cells(df: DataFrame) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table to join with, broadcast if it has been counted to be short. ``df`` must be cheap to read twice."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def split_crowds(probed: DataFrame) -> DataFrame:
+    """Give the members of crowded cells (``key``, ``fp``) three finer keys, by the thirds of the fingerprint.
+
+    Fingerprints that differ in two bits agree in one of three parts, so what is close in a cell still meets.
+    """
+    crowds = few(checkpointed(probed.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))))
+    third = lambda i: F.shiftrightunsigned("fp", 22 * i).bitwiseAND(F.lit((1 << 22) - 1))
+    finer = F.array(*(F.xxhash64("key", F.lit(i), third(i)) for i in range(3)))
+    return probed.join(crowds, "key", "left").select(F.explode(F.when(F.col("crowd"), finer).otherwise(F.array("key"))).alias("key"), "fp")
+
+
 def link_fingerprints(prints: DataFrame, segment: int = 4) -> DataFrame:
     """Links ``a``, ``b`` that connect all distinct longs of ``prints.fp`` at Hamming distance 2 or less.
 
@@ -192,7 +198,7 @@ def link_fingerprints(prints: DataFrame, segment: int = 4) -> DataFrame:
 
     ship_package(prints.sparkSession)
     probed = prints.select("fp").distinct().mapInArrow(probes, "key long, fp long")
-    return in_cells(probed).mapInArrow(links, "a long, b long").distinct()
+    return in_cells(split_crowds(probed)).mapInArrow(links, "a long, b long").where("a <> b").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = 3, segment: int = 4) -> DataFrame:
@@ -219,15 +225,9 @@ def simhash_components(docs: DataFrame, size: int = 3, segment: int = 4) -> Data
     return printed.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, size: int) -> bytes:
-    """The distinct shingles' hashes, sorted, as bytes of 32-bit numbers."""
-    lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    found = [np.unique((np.array(h, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(lowered, size)]
-    return np.unique(np.concatenate(found)).tobytes() if found else b""
-
-
 def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    """Jaccard similarity of two sorted sets of 64-bit hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     low, high = (x, y) if len(x) <= len(y) else (y, x)
@@ -236,78 +236,12 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def probe_bands(nodes: DataFrame) -> DataFrame:
-    """Every node (``node``, ``c1``, ``c2``, ``part``) under its cells in each of the code's four 32-bit bands."""
-
-    def probes(batches):
-        for batch in batches:
-            node, c1, c2, part = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for band in range(4):
-                value = ((c1, c1, c2, c2)[band].view(np.uint64) >> np.uint64(32 * (1 - band % 2))) & np.uint64(0xFFFFFFFF)
-                rows, keys = cell_keys(value, 32, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(keys * 4 + band), *(pa.array(c[rows]) for c in (node, c1, c2, part))], names=["key", "node", "c1", "c2", "part"])
-
-    return in_cells(nodes.select("node", "c1", "c2", "part").mapInArrow(probes, "key long, node long, c1 long, c2 long, part long"))
-
-
-def band_close(keys: np.ndarray, c1: np.ndarray, c2: np.ndarray, most: int):
-    """Whether two rows of a cell differ in at most 2 bits of the cell's band and at most ``most`` bits of the code."""
-
-    def close(i, j):
-        x1, x2 = (c1[i] ^ c1[j]).view(np.uint64), (c2[i] ^ c2[j]).view(np.uint64)
-        band = keys[i] & 3
-        word = np.where(band < 2, x1, x2)
-        word = np.where(band % 2 == 0, word >> np.uint64(32), word & np.uint64(0xFFFFFFFF))
-        return (np.bitwise_count(word) <= RADIUS) & (np.bitwise_count(x1).astype(int) + np.bitwise_count(x2) <= most)
-
-    return close
-
-
-def first_pairs(probed: DataFrame, most: int) -> DataFrame:
-    """A spanning forest of each task's candidate pairs; a null ``b`` marks a node with a pair that was left out."""
-
-    def links(batches):
-        for keys, node, c1, c2, _ in whole_runs(batches):
-            left = set()
-            for i, j in close_pairs(keys, band_close(keys, c1, c2, most)):
-                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                a, b = a[a != b], b[a != b]
-                keep = forest(a, b)
-                left.update(a[~keep].tolist(), b[~keep].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-            ring = np.array(sorted(left), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ring), pa.nulls(len(ring), pa.int64())], names=["a", "b"])
-
-    return probed.mapInArrow(links, "a long, b long").distinct()
-
-
-def other_pairs(probed: DataFrame, most: int) -> DataFrame:
-    """All candidate pairs between different parts; a cell of one part costs nothing."""
-
-    def links(batches):
-        for keys, node, c1, c2, part in whole_runs(batches):
-            starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else np.zeros(1, int)
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                parts, size = np.unique(part[s:e], return_counts=True)
-                if len(parts) == 1:
-                    continue
-                test = band_close(keys, c1, c2, most)
-                for i in (s + np.flatnonzero(part[s:e] != parts[size.argmax()])).tolist():
-                    j = np.arange(s, e)
-                    j = j[part[s:e] != part[i]]
-                    j = j[test(np.full(len(j), i), j)]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-
-    return probed.mapInArrow(links, "a long, b long").distinct()
-
-
 def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """The pairs whose sets of ``size``-word shingles have Jaccard similarity ``least`` or more. ``texts``: ``node``, ``text``."""
 
     def sets(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distinct_shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
     def enough(batches):
         for batch in slices(batches):
@@ -343,9 +277,24 @@ def prefix(found: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray
 
 
 def parity_sketch(found: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of ``SKETCH`` places; two sketches differ in no more bits than the sets in members."""
-    places = (found & np.uint64(SKETCH - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of shingles in each of a power of two of places, some for each shingle.
+
+    Two sketches, the larger folded to the smaller, differ in no more bits than the sets in members.
+    """
+    bits = min(max(1 << (SKETCH_BITS * len(found)).bit_length(), LEAST_SKETCH), LARGEST_SKETCH)
+    places = (found & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of ``width`` bytes or a power of two times that, as rows of 64-bit numbers of the lesser width."""
+    rows = []
+    for s in sketches:
+        x = np.frombuffer(s, np.uint64)
+        while len(x) * 8 > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
 
 
 def common_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,78 +306,147 @@ def common_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["key"])
 
     asked = keyed.where(F.pmod(F.xxhash64(F.lit("asked"), "text_key"), F.lit(ASKED)) == 0).dropDuplicates(["text_key"])
-    counted = asked.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count >= 3")
+    counted = asked.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count >= 2")
     top = counted.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], top.column("count").to_numpy()[order]
 
 
-def shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``n`` of every prefix shingle that several nodes have."""
-
-    def spread(batches):
-        for batch in slices(batches, 1024):
-            node, n = (batch.column(i).to_numpy() for i in (0, 1))
-            prefixes = batch.column(2).to_pylist()
-            counts = [len(p) // 8 for p in prefixes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(node, counts)), pa.array(np.repeat(n, counts))], names=["key", "node", "n"])
-
-    def meet(batches):
-        for columns in whole_runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n"])
+def signature(nodes: np.ndarray) -> np.ndarray:
+    """Mixed node numbers, whose sums name sets of nodes."""
+    x = (nodes.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    return in_cells(nodes.select("node", "n", "prefix").mapInArrow(spread, "key long, node long, n long")).mapInArrow(meet, "key long, node long, n long")
 
+def sharing_groups(nodes: DataFrame) -> DataFrame:
+    """Groups (``key``, ``node``) of nodes that share a prefix shingle; equal groups of several shingles are one.
 
-def open_keys(placed: DataFrame) -> DataFrame:
-    """Rows (``key``, ``node``, ``n``, ``part``) of the keys whose nodes lie in several parts."""
-    keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    return placed.join(keys, "key")
+    A group's key is the sum of its nodes' mixed numbers, so groups that agree in it are put together, which loses no pair.
+    A group above ``CROWD`` keeps its shingle as key, and its rows pass through without being held.
+    """
 
+    def spread(batches):
+        for batch in slices(batches, 1024):
+            node = batch.column(0).to_numpy()
+            prefixes = batch.column(1).to_pylist()
+            counts = [len(p) // 8 for p in prefixes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(node, counts))], names=["key", "node"])
 
-def sketched_pairs(placed: DataFrame, least: float, turn: int | None = None) -> DataFrame:
-    """Pairs of different parts that share a key and whose sizes and sketches allow the similarity.
+    def merged(keys, node):
+        starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+        counts = np.diff(np.r_[starts, len(keys)])
+        named = np.where(counts > CROWD, keys[starts], np.add.reduceat(signature(node), starts).view(np.int64))
+        first = np.zeros(len(starts), bool)
+        first[np.unique(named, return_index=True)[1]] = True
+        keep = np.repeat(first, counts)
+        return np.repeat(named, counts)[keep], node[keep]
 
-    With ``turn``, of each key only pairs that join what the key's pairs before have not joined, taken in an order drawn
-    from the turn's number; without, all. ``placed``: ``key``, ``node``, ``n``, ``part``, ``sketch``.
+    def meet(batches):
+        crowd, last = None, None
+        for keys, node in runs_in_bounds(batches, CROWD):
+            if crowd is not None and keys[0] == crowd:
+                own = int(np.searchsorted(keys, crowd, side="right"))
+                yield batch_of(key=keys[:own], node=node[:own])
+                keys, node = keys[own:], node[own:]
+            if not len(keys):
+                continue
+            crowd, last = None, keys[-1]
+            tail = int(np.searchsorted(keys, last))
+            if len(keys) - tail > CROWD:
+                crowd = last
+            single = crowded([keys, node])
+            if len(single[0]):
+                key, member = merged(*single)
+                yield batch_of(key=key, node=member)
+
+    return in_cells(nodes.select("node", "prefix").mapInArrow(spread, "key long, node long")).mapInArrow(meet, "key long, node long").distinct()
+
+
+def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def runs_in_bounds(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first column. A run of equal keys is divided only where more than ``most`` rows of it are held."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if not len(held[0]):
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if len(held[0]) - cut > most:
+            cut = len(held[0])
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def possible_pairs(n: np.ndarray, part: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of different parts whose sizes and sketches allow the similarity, and how far apart they look."""
+    width = np.array([len(s) for s in sketches])
+    ones, twos, far = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for w in np.unique(width).tolist():
+        here = np.flatnonzero((width == w) | (width == 2 * w))
+        here = here[np.argsort(width[here], kind="stable")]
+        bits, sizes, own = folded(sketches[here].tolist(), w), n[here], part[here]
+        for i in range(int((width[here] == w).sum())):
+            j = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= least * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9))
+            if not len(j):
+                continue
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            both = sizes[j] + sizes[i]
+            fits = apart <= both * (1 - least) / (1 + least) + 1e-6
+            ones.append(np.full(int(fits.sum()), here[i]))
+            twos.append(here[j[fits]])
+            far.append(apart[fits] / np.maximum(both[fits], 1))
+    return np.concatenate(ones), np.concatenate(twos), np.concatenate(far)
+
+
+def candidate_pairs(dealt: DataFrame, least: float, every: bool) -> DataFrame:
+    """Pairs ``a``, ``b`` of different parts that a group (``key``) allows; a null ``b`` marks the group ``a`` as not done.
+
+    With ``every``, all of them; else of each group the nearest pairs that join what the nearer ones have not joined, and
+    groups of which a pair was left out are marked. ``dealt``: ``key``, ``node``, ``part``, ``n``, ``sketch``, ``name``, where
+    ``name`` is the group's name and ``key`` that of the share of it that meets here.
     """
 
     def links(batches):
-        for keys, node, n, part, sketch in whole_runs(batches):
+        for keys, node, part, n, sketch, name in whole_runs(batches):
+            ones, twos, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else np.zeros(1, int)
-            ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                bits = np.frombuffer(b"".join(sketch[s:e]), np.uint64).reshape(e - s, -1)
-                ids, sizes, own = node[s:e], n[s:e], part[s:e].copy()
-                parts, counts = np.unique(own, return_counts=True)
-                main = (own == parts[counts.argmax()]) & (turn is None)
-                waiting = ~main
-                order = np.argsort((ids.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * (turn or 0)))
-                for i in order[waiting[order]].tolist():
-                    waiting[i] = False
-                    j = np.flatnonzero((waiting | main) & (own != own[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-9))
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    j = j[apart <= (sizes[j] + sizes[i]) * (1 - least) / (1 + least) + 1e-6]
-                    if turn is not None and len(j):
-                        j = j[np.unique(own[j], return_index=True)[1]]
-                        own[np.isin(own, own[j])] = own[i]
-                    ones.append(np.minimum(ids[i], ids[j]))
-                    twos.append(np.maximum(ids[i], ids[j]))
+                i, j, far = possible_pairs(n[s:e], part[s:e], sketch[s:e], least)
+                a, b = np.minimum(node[s:e][i], node[s:e][j]), np.maximum(node[s:e][i], node[s:e][j])
+                if not every and len(a):
+                    order = np.lexsort((b, a, far))
+                    keep = order[forest(part[s:e][i][order], part[s:e][j][order])]
+                    if len(keep) < len(a):
+                        left.append(name[s])
+                    a, b = a[keep], b[keep]
+                ones.append(a)
+                twos.append(b)
             pairs = np.unique(np.stack([np.concatenate(ones), np.concatenate(twos)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[0], np.array(left, np.int64)]), pa.array(pairs[1].tolist() + [None] * len(left), pa.int64())], names=["a", "b"])
 
-    return in_cells(placed.select("key", "node", "n", "part", "sketch")).mapInArrow(links, "a long, b long").distinct()
+    return in_cells(dealt).mapInArrow(links, "a long, b long").where("b is null or a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id (a null one only if there is no other).
 
     Two texts are near-duplicates if the Jaccard similarity of their sets of ``size``-word shingles (A-Z lower-cased) is
-    ``least`` or more. Candidates share a shingle of their prefixes, which no such pair lacks, whatever was changed in
-    the text and where; sizes and parity sketches rule out some that cannot reach it. In a few turns a spanning forest of
-    the candidate pairs between different groups is verified exactly, then every one that still lies between different
-    groups. Equal texts are one node from the start, empty and null texts one group.
+    ``least`` or more; every link is verified on the sets themselves. Candidates come first from the SimHash grid join, and
+    then, for pairs whose fingerprints lie further apart, from shared prefix shingles, which no pair at ``least`` lacks,
+    whatever was changed in the text and where; sizes and parity sketches rule out most that cannot reach it. Each group of
+    texts with a shared shingle first gives only the nearest pairs that join its parts, and in the end every pair that
+    still lies between different parts, so the pairs of a group of copies grow with its size and not with its square.
+    Groups above ``CROWD`` are dealt to blocks; the members outside the group's largest part meet every block in the end.
+    Equal texts are one node from the start, empty and null texts one group.
     Returns the columns of ``docs``; repeated rows leave one; empty input gives no rows.
     """
     spark = docs.sparkSession
@@ -439,36 +457,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     def sets(batches):
         for batch in slices(batches):
             found = [distinct_shingles(t, size) for t in batch.column(2).to_pylist()]
-            made = [pa.array([len(f) for f in found], pa.int64()), pa.array([prefix(f, least, common.value).tobytes() for f in found], pa.binary()), pa.array([parity_sketch(f) for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n", "prefix", "sketch"])
+            prints = [int.from_bytes(majority(iter([f.astype(">u8").tobytes()]), 8), "big", signed=True) for f in found]
+            made = [pa.array([len(f) for f in found], pa.int64()), pa.array(prints, pa.int64()), pa.array([prefix(f, least, common.value).tobytes() for f in found], pa.binary()), pa.array([parity_sketch(f) for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n", "fp", "prefix", "sketch"])
 
-    coded = keyed.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(sets, "doc_id long, text_key binary, n long, prefix binary, sketch binary")
-    once = coded.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch")))
+    coded = keyed.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(sets, "doc_id long, text_key binary, n long, fp long, prefix binary, sketch binary")
+    once = coded.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fp", "prefix", "sketch")))
     nodes = written(once.withColumn("node", F.monotonically_increasing_id()))
-    shared = written(shared_prefixes(nodes))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = checkpointed(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("a"), "text_key"), "a").toDF("node", "text_key"))
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        return keyed.select("text_key", "text").join(wanted, "text_key").select("node", "text")
-
-    placed = shared.withColumn("part", F.col("node"))
-    links = tried = parts = None
-    for turn in range(TURNS + 1):
-        if turn:
-            placed = shared.join(parts, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
-            placed = shared = written(open_keys(placed))
-            shared = shared.drop("part")
-        pairs = sketched_pairs(placed.join(nodes.select("node", "sketch"), "node"), least, turn if turn < TURNS else None)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.union(pairs)
-            found = checkpointed(verified(pairs, texts_of(pairs), size, least))
-            links = found if links is None else links.union(found)
-            parts = connected_components(links)
-        if parts is None:
-            parts = nodes.select("node", F.col("node").alias("root")).limit(0)
+    links, tried, parts = [], [], nodes.select("node", F.col("node").alias("root")).limit(0)
+
+    def verify(pairs: DataFrame) -> None:
+        """Add what holds of ``pairs``, a table in the shared folder, to the links, and the parts that they make."""
+        nonlocal parts
+        if pairs.isEmpty():
+            return
+        tried.append(pairs)
+        wanted = few(checkpointed(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("a"), "text_key"), "a").toDF("node", "text_key")))
+        found = checkpointed(verified(pairs, keyed.select("text_key", "text").join(wanted, "text_key").select("node", "text"), size, least))
+        if not found.isEmpty():
+            links.append(found)
+            parts = connected_components(functools.reduce(DataFrame.union, links))
+
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    close = link_fingerprints(nodes).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    verify(written(equal.union(close).distinct()))
+
+    groups = written(sharing_groups(nodes))
+    group_sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"))
+    for turn in ("within", "between", "every"):
+        placed = groups.join(few(parts), "node", "left").withColumn("part", F.coalesce("root", "node")).select("key", "node", "part")
+        divided = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        placed = written(placed.join(divided, "key").join(group_sizes, "key"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        if turn == "between":
+            rows = placed.groupBy("key", "part").agg(F.min("node").alias("x"), F.max("node").alias("y")).select("key", "part", F.explode(F.array_distinct(F.array("x", "y"))).alias("node"))
+            sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"))
+            rows = rows.join(sizes, "key").withColumn("block", block)
+        elif turn == "within":
+            rows = placed.withColumn("block", block)
+        else:
+            largest = placed.where("blocks > 1").groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", "count").alias("largest"))
+            blocks = F.when((F.col("blocks") == 1) | (F.col("part") == F.col("largest")), F.array(block)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+            rows = placed.join(largest, "key", "left").withColumn("block", F.explode(blocks))
+        share = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "block"))
+        dealt = rows.join(nodes.select("node", "n", "sketch"), "node").select(share.alias("key"), "node", "part", "n", "sketch", F.col("key").alias("name"))
+        found = written(candidate_pairs(dealt, least, turn == "every"))
+        pairs = found.where("b is not null")
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        verify(written(pairs))
+        if turn == "within":
+            undone = found.where("b is null").select(F.col("a").alias("key")).union(group_sizes.where("blocks > 1").select("key")).distinct()
+            groups = written(groups.join(undone, "key"))
+            group_sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"))
     grouped = nodes.select("node", "text_key", "doc_id").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = grouped.groupBy("root").agg(F.min_by(F.struct("text_key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("w")).select(F.col("w.text_key").alias("text_key"), F.coalesce("w.doc_id", F.lit(-1)).alias("__id"), F.col("w.doc_id").isNull().alias("__null"))
     marked = keyed.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__null", F.col("doc_id").isNull())

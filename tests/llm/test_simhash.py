@@ -65,9 +65,9 @@ def test_hard_rows(spark, monkeypatch):
 
 def test_pieces_of_long_texts(monkeypatch):
     text = " ".join(f"w{i % 37}\n" for i in range(5000))
-    whole = simhash.fingerprint(text), simhash.word_code(text), simhash.shingle_set(text, 5)
+    whole = simhash.fingerprint(text), simhash.distinct_shingles(text, 5).tobytes()
     monkeypatch.setattr(simhash, "PIECE", 100)
-    assert (simhash.fingerprint(text), simhash.word_code(text), simhash.shingle_set(text, 5)) == whole
+    assert (simhash.fingerprint(text), simhash.distinct_shingles(text, 5).tobytes()) == whole
 
 
 @pytest.mark.parametrize("bits, segment", [(64, 4), (32, 2), (64, 2)])
@@ -84,7 +84,9 @@ def test_close_values_share_a_cell(bits, segment):
     assert all(cells[0][i] & cells[1][i] for i in range(300))
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_near_duplicates(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(4)
     vocabulary = [f"t{i}" for i in range(900)]
     rows, number = [], 0
@@ -110,13 +112,47 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_left_out_pairs_are_found(spark):
-    nodes = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 0, 1), (2, 3, 0, 2)], "node long, c1 long, c2 long, part long")
-    probed = simhash.probe_bands(nodes)
-    first = simhash.first_pairs(probed, 24).collect()
-    ring = {r.a for r in first if r.b is None}
-    assert ring == {0, 1, 2} or len({(r.a, r.b) for r in first if r.b is not None}) == 3
-    assert {(r.a, r.b) for r in simhash.other_pairs(probed, 24).collect()} == {(0, 1), (0, 2), (1, 2)}
+def test_crowded_cells(spark, monkeypatch):
+    """Cells above the bound are split by thirds of the fingerprint and lose no link."""
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 2**62))
+    prints = {centre}
+    for _ in range(250):
+        x = centre
+        for b in rng.choice(64, int(rng.integers(0, 7)), replace=False):
+            x ^= 1 << int(b)
+        prints.add(x - 2**64 if x >= 2**63 else x)
+    prints = sorted(prints)
+    values = np.array(prints, np.int64)
+    want = roots(len(prints), [(i, int(j)) for i in range(len(prints)) for j in np.flatnonzero(simhash.hamming(values, values[i]) <= 2)])
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    at = {x: i for i, x in enumerate(prints)}
+    links = [(at[r.a], at[r.b]) for r in simhash.link_fingerprints(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()]
+    assert roots(len(prints), links) == want and len(set(want)) < len(prints) - 50
+
+
+def test_groups_of_any_size_keep_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 6)
+    rng = np.random.default_rng(1)
+    rows = [(i, np.unique(rng.choice(40, 4)).astype(np.uint64)) for i in range(60)] + [(60 + i, np.array([50, 51], np.uint64)) for i in range(40)]
+    nodes = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in rows], "node long, prefix binary")
+    members: dict[int, set[int]] = {}
+    for r in simhash.sharing_groups(nodes).collect():
+        members.setdefault(r.key, set()).add(r.node)
+    meet = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    assert {(i, j) for i, x in rows for j, y in rows if i < j and set(x.tolist()) & set(y.tolist())} == meet
+
+
+def test_left_out_pairs_are_marked(spark):
+    """Three alike nodes of one group: two nearest pairs and a mark; all three with ``every``; none within one part."""
+    sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)]
+    rows = [(7, i, i, 100, bytearray(simhash.parity_sketch(s)), 7) for i, s in enumerate(sets)]
+    schema = "key long, node long, part long, n long, sketch binary, name long"
+    dealt = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in simhash.candidate_pairs(dealt, 0.8, False).collect()} == {(0, 1), (1, 2), (7, None)}
+    assert {tuple(r) for r in simhash.candidate_pairs(dealt, 0.8, True).collect()} == {(0, 1), (1, 2), (0, 2)}
+    one = spark.createDataFrame([(*r[:2], 0, *r[3:]) for r in rows[:3]], schema)
+    assert simhash.candidate_pairs(one, 0.8, True).count() == 0
 
 
 def test_contiguous_changes_are_found(spark):
@@ -148,5 +184,6 @@ def test_prefixes_and_sketches():
         both, apart = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
         if both >= 0.8 * (both + apart):
             assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
-        x, y = (np.frombuffer(simhash.parity_sketch(s), np.uint64) for s in (a, b))
+        x, y = (simhash.parity_sketch(s) for s in (a, b))
+        x, y = simhash.folded([x, y], min(len(x), len(y)))
         assert np.bitwise_count(x ^ y).sum() <= apart
