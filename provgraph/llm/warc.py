@@ -71,64 +71,95 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
     records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives where a record might begin, with its offset and the offset of its successor.
+def field(head: str, name: str, pattern: str) -> Column:
+    return F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*{pattern}[ \t]*(?:\r\n|$)", 1)
+
+
+def number(text: Column) -> Column:
+    return F.nullif(text, F.lit("")).try_cast("long")
+
+
+def rows_between_magic(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``block`` (the start of the reader's share of the file), ``row`` (in order within it) and ``value``.
 
     The magic line is the reader's line separator, so a row is what stands between two occurrences; Spark splits the
-    files as it likes. Offsets are running sums of lengths in the order of the file; only numbers take part in that window.
+    files as it likes.
     """
     text = spark.read.option("lineSep", MAGIC).text(path)
-    head_chars = F.instr("value", END)
-    http_chars = F.instr("rest", END)
-    field = lambda column, name, pattern: F.regexp_extract(column, rf"(?i)(?:^|\r\n){name}:[ \t]*{pattern}[ \t]*(?:\r\n|$)", 1)
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def payload_in(block: Column) -> Column:
+    """The bytes after the HTTP head of a record's block, both binary."""
+    at = F.instr(block.cast("string"), F.lit(END))
+    head_bytes = F.octet_length(F.substring(block.cast("string"), F.lit(1), at - 1))
+    return F.when(at > 0, F.substring(block, head_bytes + 1 + len(END), F.octet_length(block)))
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every place in the archives where a record might begin, with its offset and the offset of its successor.
+
+    Each row's text is cut and digested once; offsets are running sums of lengths inside a share of a file, after the
+    sums of the shares before it, so no task holds a file.
+    """
+    cut = F.instr("value", END)
     parsed = (
-        text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        .withColumn("head", F.when(head_chars > 0, F.substring(F.col("value"), F.lit(1), head_chars - 1)))
-        .withColumn("rest", F.when(head_chars > 0, F.substring(F.col("value"), head_chars + 4, F.length("value"))))
-        .withColumn("length", F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)[ \\t]*(?:\\r\\n|$)', 1), '') as bigint)"))
+        rows_between_magic(spark, path)
         .withColumn("bytes", F.octet_length("value").cast("long"))
-        .withColumn("record_bytes", F.octet_length("head").cast("long") + 4 + F.col("length") + 4)
+        .withColumn("cut", cut)
+        .withColumn("head", F.when(F.col("cut") > 0, F.substring(F.col("value"), F.lit(1), F.col("cut") - 1)))
+        .withColumn("head_bytes", F.octet_length("head").cast("long"))
+        .withColumn("length", number(field("head", "Content-Length", "([0-9]+)")))
+        .withColumn("record_bytes", F.col("head_bytes") + 2 * len(END) + F.col("length"))
         .withColumn("whole", F.coalesce(F.col("record_bytes") == F.col("bytes"), F.lit(False)))
+        .withColumn("block_bytes", F.when(F.col("cut") > 0, F.substring(F.col("value").cast("binary"), F.col("head_bytes").cast("int") + 1 + len(END), F.coalesce("length", F.lit(0)).cast("int"))))
+        .withColumn("http_cut", F.instr(F.col("block_bytes").cast("string"), F.lit(END)))
+        .withColumn("http", F.substring(F.col("block_bytes").cast("string"), F.lit(1), F.col("http_cut") - 1))
+        .withColumn("payload", F.when(F.col("whole") & (F.col("http_cut") > 0), F.substring(F.col("block_bytes"), F.octet_length("http") + 1 + len(END), F.octet_length("block_bytes"))))
+        .withColumn("hex", F.sha1("payload"))
     )
-    parts = parsed.select("file", "block", "row", "bytes", "whole", "record_bytes", *record_fields(field, http_chars))
-    order = Window.partitionBy("file").orderBy("block", "row")
-    first = F.row_number().over(order) == 1
-    end = F.sum(F.col("bytes") + F.lit(len(MAGIC))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    offset = end - F.col("bytes") - 2 * len(MAGIC)
+    parts = checkpointed(
+        parsed.select(
+            "file", "block", "row", "bytes", "whole", "record_bytes", "length",
+            field("head", "WARC-Type", r"(\S+)").alias("record_type"),
+            number(field("head", "WARC-Record-ID", r"<urn:page:(-?[0-9]*)>")).alias("page_id"),
+            number(field("head", "WARC-Refers-To", r"<urn:page:(-?[0-9]*)>")).alias("refers_to"),
+            field("head", "WARC-Payload-Digest", r"sha1:([A-Z2-7]+)").alias("said_digest"),
+            number(field("http", "Content-Length", "([0-9]+)")).alias("said_bytes"),
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            base32(F.col("hex")).alias("payload_digest"),
+        )
+    )
+    step = F.col("bytes") + F.lit(len(MAGIC))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shares = parts.groupBy("file", "block").agg(F.sum(step).alias("share")).select("file", "block", F.coalesce(F.sum("share").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file", "block").orderBy("row")
+    end = F.col("before") + F.sum(step).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    first = (F.col("before") == 0) & (F.row_number().over(inside) == 1)
     return (
-        parts.withColumn("first", first).withColumn("offset", offset)
+        parts.join(shares, ["file", "block"])
+        .withColumn("first", first)
+        .withColumn("offset", end - F.col("bytes") - 2 * len(MAGIC))
         .withColumn("successor", F.col("offset") + len(MAGIC) + F.col("record_bytes"))
-        .where(~F.col("first")).drop("first")
-    )
-
-
-def record_fields(field, http_chars: Column) -> list[Column]:
-    """What a record says of itself and, where its text is whole, the payload's length and digest."""
-    payload = F.expr("substring(rest, instr(rest, '\\r\\n\\r\\n') + 4, length(rest) - instr(rest, '\\r\\n\\r\\n') - 7)")
-    http = F.when(http_chars > 0, F.substring(F.col("rest"), F.lit(1), http_chars - 1))
-    return [
-        field("head", "WARC-Type", r"(\S+)").alias("record_type"),
-        F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)\\r\\nWARC-Record-ID:[ \\t]*<urn:page:(-?[0-9]*)>', 1), '') as bigint)").alias("page_id"),
-        F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)\\r\\nWARC-Refers-To:[ \\t]*<urn:page:(-?[0-9]*)>', 1), '') as bigint)").alias("refers_to"),
-        field("head", "WARC-Payload-Digest", r"sha1:([A-Z2-7]+)").alias("said_digest"),
-        F.expr(r"try_cast(nullif(regexp_extract(substring(rest, 1, instr(rest, '\r\n\r\n')), '(?i)\\r\\nContent-Length:[ \\t]*([0-9]+)', 1), '') as bigint)").alias("said_bytes"),
-        F.when(F.col("whole"), F.octet_length(payload).cast("long")).alias("payload_bytes"),
-        F.when(F.col("whole"), base32(F.sha1(payload.cast("binary")))).alias("payload_digest"),
-    ]
+        .where(~F.col("first")).drop("first", "before")
+    )
 
 
 def reachable(found: DataFrame) -> DataFrame:
     """Keep the candidates that the chain of successors reaches from offset 0 of their file.
 
-    Candidates whose successor is the next candidate form runs, so a chain that enters a run holds all that follows in it.
-    Runs are few; from the file's first run pointer jumping doubles the jump each round until nothing new is reached.
+    Inside a reader's share, candidates whose successor is the next candidate form runs, so a chain that enters a run holds
+    all that follows in it. If each file's runs follow one another from offset 0, all are reached; else pointer jumping
+    over the runs doubles the jump each round until nothing new is reached.
     """
-    order = Window.partitionBy("file").orderBy("offset")
+    order = Window.partitionBy("file", "block").orderBy("offset")
     linked = F.lag("successor").over(order) == F.col("offset")
-    runs = found.withColumn("breaks", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = found.withColumn("breaks", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn("run", F.struct("block", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("n")))
     runs = written(runs.drop("breaks"))
     tails = runs.groupBy("file", "run").agg(F.max_by("successor", "offset").alias("target"), F.min("offset").alias("head"))
-    if tails.where("run > 1").isEmpty():
+    previous = F.coalesce(F.lag("target").over(Window.partitionBy("file").orderBy("head")), F.lit(-1))
+    is_first = F.row_number().over(Window.partitionBy("file").orderBy("head")) == 1
+    if tails.withColumn("follows", F.col("head") == F.when(is_first, F.lit(0)).otherwise(previous)).where("not follows").isEmpty():
         return runs.drop("run")
     jumps = written(tails.select("file", "run", "target").join(runs.select("file", F.col("offset").alias("target"), F.col("run").alias("next_run")), ["file", "target"]).select("file", "run", "next_run", F.col("target").alias("entry")))
     reached = written(tails.where("head = 0").select("file", "run", F.lit(0).cast("long").alias("entry")))
@@ -146,15 +177,23 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def stitched(spark: SparkSession, path: str, found: DataFrame, records: DataFrame) -> DataFrame:
-    """Length and digest of those payloads that hold the magic line: their text is put together from several rows."""
-    owner = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    marks = found.select("file", "block", "row", "offset").join(records.select("file", "offset", F.col("offset").alias("mine"), ~F.col("whole")), ["file", "offset"], "left").toDF("file", "offset", "block", "row", "mine", "broken")
-    owned = marks.withColumn("mine", F.last("mine", True).over(owner)).withColumn("broken", F.last("broken", True).over(owner)).where("broken").select("file", "block", "row", "offset", "mine")
-    text = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    whole = text.join(owned, ["file", "block", "row"]).groupBy("file", "mine").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    rest = whole.withColumn("rest", F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)"))
-    payload = F.expr("substring(rest, instr(rest, '\\r\\n\\r\\n') + 4, length(rest) - instr(rest, '\\r\\n\\r\\n') - 7)")
-    return rest.select("file", F.col("mine").alias("offset"), F.octet_length(payload).cast("long").alias("own_bytes"), base32(F.sha1(payload.cast("binary"))).alias("own_digest"))
+    """Length and digest of the payloads of records that are not one row: those that hold the magic line, are followed by
+    something else, or are cut short. Their text is put together from the rows up to their end and cut at the stated
+    length; a record that is too short for it, or states none, has nulls."""
+    reached = records.select("file", "offset", F.col("offset").alias("mine"))
+    marks = found.select("file", "block", "row", "offset").join(reached, ["file", "offset"], "left")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.groupBy("file", "block").agg(F.max("mine").alias("last")).select("file", "block", F.max("last").over(earlier).alias("carried"))
+    owner = Window.partitionBy("file", "block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    owned = marks.withColumn("mine", F.max("mine").over(owner)).join(carried, ["file", "block"]).withColumn("mine", F.coalesce("mine", "carried"))
+    broken = records.where(~F.col("whole") & F.col("length").isNotNull()).select("file", F.col("offset").alias("mine"), "length", "successor")
+    owned = owned.join(broken, ["file", "mine"]).where(F.col("offset") < F.col("successor")).select("file", "block", "row", "offset", "mine", "length")
+    text = rows_between_magic(spark, path)
+    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC)
+    whole = text.join(owned, ["file", "block", "row"]).groupBy("file", "mine").agg(put.alias("value"), F.first("length").alias("length"))
+    rest = whole.withColumn("rest", F.expr(r"cast(substring(value, instr(value, '\r\n\r\n') + 4) as binary)"))
+    cut = rest.withColumn("payload", F.when(F.octet_length("rest") >= F.col("length"), payload_in(F.substring(F.col("rest"), F.lit(1), F.col("length").cast("int")))))
+    return cut.withColumn("hex", F.sha1("payload")).select("file", F.col("mine").alias("offset"), F.octet_length("payload").cast("long").alias("own_bytes"), base32(F.col("hex")).alias("own_digest"))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -162,10 +201,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A response's figures are taken from its payload; a revisit's are those of its header, which describe the full payload.
     Bytes that look like a record inside a payload are passed over, because no chain from the file's start reaches them. A
-    file that does not begin with a record gives none; a record cut short ends its file's chain and is itself kept with
-    null figures. An empty folder of archives gives no rows.
+    file that does not begin with a record gives none; a record that no record follows ends its file's chain. It is itself
+    kept, with null figures if the file ends before its stated length. An empty folder of archives gives no rows.
     """
-    found = checkpointed(candidates(spark, path))
+    found = candidates(spark, path)
     records = reachable(found)
     broken = records.where(~F.col("whole") & (F.col("record_type") != "revisit"))
     if not broken.isEmpty():

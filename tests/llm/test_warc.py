@@ -61,3 +61,45 @@ def test_min_bytes_and_empty(spark):
     path = scratch(spark, "warc-test")
     warc.write_warc(df.limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def archive(folder, *parts):
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"".join(p.encode() if isinstance(p, str) else p for p in parts))
+    return str(folder)
+
+
+def record(page, payload, said=None, kind="response"):
+    block = "HTTP/1.1 200 OK\r\n\r\n" + payload
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(block.encode()) if said is None else said}\r\n\r\n{block}\r\n\r\n"
+
+
+def digest(payload):
+    return base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
+
+
+@pytest.mark.parametrize("split", ["128m", "150"])
+def test_foreign_files(spark, tmp_path, split):
+    """A prefix, a gap, a cut and a wrong length; records end where they say, and chains where no record follows."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    read = lambda *parts: sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, archive(tmp_path / str(len(list(tmp_path.iterdir()))), *parts)).collect())
+    try:
+        one, two = record(1, "abc"), record(2, "dé")
+        assert read(one, two) == [(1, 3, digest("abc")), (2, 3, digest("dé"))]
+        assert read("junk", one, two) == []
+        assert read(one, "gap", two) == [(1, 3, digest("abc"))]
+        assert read(one, two[:-12]) == [(1, 3, digest("abc")), (2, None, None)]
+        assert read(record(1, "abcdef", 24), two) == [(1, 5, digest("abcde"))]
+        assert read(record(1, "abc", 99_999), two) == [(1, None, None)]
+        assert read(record(1, FAKE * 40), two) == [(1, 40 * len(FAKE), digest(FAKE * 40)), (2, 3, digest("dé"))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_clashing_columns(spark):
+    """Columns of the pages with the names of the reader's or writer's own give way."""
+    df = spark.createDataFrame([(1, "u", "a", "x", 1), (2, "u", "a" * 300_000, "y", 2)], "page_id long, url string, html string, payload string, digest int")
+    path = scratch(spark, "warc-test")
+    warc.write_warc(df, path)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_warc(spark, path).collect()) == [(1, 1), (2, 300_000)]
