@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: What counts as a word: a run without ASCII white space. ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows up to which a table of keys is broadcast; beyond, what it is joined with is shuffled.
+BROADCAST_ROWS = 400_000
+
 _shipped: set[str] = set()
 
 
@@ -96,6 +99,11 @@ def removed(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table to join with, broadcast if it has been counted to be short. ``df`` must be cheap to read twice."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,15 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, ship_package, slices, table, written
+from .common import checkpointed, connected_components, few, ship_package, slices, table, written
 
 RADIUS = 2
 #: Fingerprints of one cell, and members of one group of candidates, that a task compares at once; larger ones are split.
 CROWD = 4096
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
-#: Rows of keys up to which they are broadcast to pick texts; beyond, texts are shuffled.
-BROADCAST_ROWS = 400_000
 #: One text in so many is asked which shingles are common, and how many of these are broadcast. Only speed depends on both.
 ASKED, COMMON = 8, 400_000
 #: Bits of a text's parity sketch for each of its shingles, and the least and largest sketch.
@@ -161,11 +159,6 @@ def in_cells(df: DataFrame) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A table to join with, broadcast if it has been counted to be short. ``df`` must be cheap to read twice."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def split_crowds(probed: DataFrame) -> DataFrame:
     """Give the members of crowded cells (``key``, ``fp``) three finer keys, by the thirds of the fingerprint.
 

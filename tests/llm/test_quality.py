@@ -1,59 +1,71 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 
 import numpy as np
+import pytest
 
 from provgraph.llm import quality
 
 
-def brute(texts):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    runs = [["<s>", "<s>", *t.split(), "</s>"] for t in texts]
-    c3 = collections.Counter(tuple(r[i : i + 3]) for r in runs for i in range(len(r) - 2))
-    c2 = collections.Counter(k[1:] for k in c3)
-    c1 = collections.Counter(k[1] for k in c2)
-    discount = []
-    for c in (c1, c2, c3):
-        d = quality.discounts(np.array(list(c.values())))
-        discount.append(lambda n, d=d: d[min(n, 3)])
-
-    def probability(a, b, w):
-        total = sum(c1.values())
-        p = (c1[w] - discount[0](c1[w])) / total + sum(map(discount[0], c1.values())) / total / quality.OPEN_WORDS
-        for counts, cut, context in ((c2, discount[1], (b,)), (c3, discount[2], (a, b))):
-            after = {k: n for k, n in counts.items() if k[:-1] == context}
-            if after:
-                n, total = counts[(*context, w)], sum(after.values())
-                p = (n - cut(n)) / total + sum(map(cut, after.values())) / total * p
+def brute(texts, vocabulary):
+    """Interpolated modified Kneser-Ney bigrams by dictionaries; words outside the vocabulary are one class."""
+    frequency = collections.Counter(w for t in texts for w in t.split())
+    known = set(sorted(frequency, key=lambda w: (-frequency[w], w.encode()))[:vocabulary])
+    number = lambda t: ["<s>", *(w if w in known else "<other>" for w in t.split()), "</s>"]
+    counts = collections.Counter(p for t in texts for p in zip(number(t), number(t)[1:]))
+    before = collections.Counter(c for _, c in counts)
+    upper, lower = quality.discounts(list(counts.values())), quality.discounts(list(before.values()))
+
+    def probability(b, c):
+        total = sum(before.values())
+        p = (before[c] - lower[min(before[c], 3)]) / total + sum(lower[min(n, 3)] for n in before.values()) / total / quality.OPEN_WORDS
+        if c == "<other>":
+            p = max(p / quality.OPEN_WORDS, 1 / quality.OPEN_WORDS**2)
+        after = {k: n for k, n in counts.items() if k[0] == b}
+        if after:
+            n, total = counts[(b, c)], sum(after.values())
+            p = (n - upper[min(n, 3)]) / total + sum(upper[min(m, 3)] for m in after.values()) / total * p
         return p
 
-    def surprise(text):
-        r = ["<s>", "<s>", *text.split(), "</s>"]
-        return -sum(math.log(probability(*r[i : i + 3])) for i in range(len(r) - 2))
+    return lambda t: -sum(math.log(probability(b, c)) for b, c in zip(number(t), number(t)[1:]))
 
-    return surprise
 
-
-def test_against_dictionaries():
+@pytest.mark.parametrize("vocabulary, head, chunk", [(3 + 5, 3 + 2, 20), (3 + 50, 3 + 50, 1 << 20), (3 + 50, 1, 1 << 20)])
+def test_against_dictionaries(spark, monkeypatch, vocabulary, head, chunk):
+    """Also where pairs are looked up at once, in the shards, or both, and documents are packed in many chunks."""
+    monkeypatch.setattr(quality, "CHUNK", chunk)
     rng = np.random.default_rng(0)
-    texts = [" ".join(rng.choice(list("abcdefg"), int(rng.integers(1, 12)))) for _ in range(40)]
-    model, want = quality.fit(texts), brute(texts)
-    asked = [*texts[:10], "", "a zz b", "zz zz", "c a b d e f g a"]
-    got, counts = quality.surprises(model, asked)
-    for text, value, n in zip(asked, got, counts):
-        assert abs(value - want(text)) < 1e-4 and n == len(text.split())
-        assert abs(quality.surprise_of(model, text)[0] - value) < 1e-6
-
-
-def test_probabilities_sum_to_one():
-    model = quality.fit(["a b c a b", "b c a"])
-    words = [*model.vocabulary.values(), quality.END]
-    for a, b in ((3, 4), (quality.START, quality.START), (quality.OTHER, 3)):
-        p = sum(math.exp(-model.surprise(np.array([a, b, w]))[0]) for w in words)
-        lost = math.exp(-model.surprise(np.array([a, b, quality.OTHER]))[0]) * (quality.OPEN_WORDS - len(words))
-        assert abs(p + lost - 1) < 1e-3
+    texts = [" ".join(rng.choice(list("abcdefg"), int(rng.integers(1, 12)))) for _ in range(40)] + ["y" * 100 + " a " + "y" * 100]
+    asked = [*texts[:10], texts[-1], "", "a zz b", "zz zz", "c a b d e f g a", "a a", "a a"]
+    model, counts = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, head)
+    rows = [(bytearray(hashlib.md5(t.encode()).digest()), t) for t in asked]
+    found = {bytes(r.text_key): r for r in quality.surprises(spark.createDataFrame(rows, "text_key binary, text string"), model, counts).collect()}
+    want = brute(texts, vocabulary - 3)
+    assert len(found) == len(set(asked))
+    for key, text in rows:
+        r, n = found[bytes(key)], len(text.split())
+        assert r.n_words == n and abs(r.surprise - want(text)) < 0.002 * (n + 1), text
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << 34, n).astype(np.uint64))
+        assert (quality.unpack(quality.pack(keys)) == keys).all()
+        values = rng.integers(0, 1 << 16, n)
+        assert (quality.unpack_any(quality.pack_any(values, "<u2"), "<u2") == values).all()
+    a, b = rng.integers(0, 1 << 17, 500), rng.integers(0, 1 << 17, 500)
+    x, y = quality.unmixed(quality.mixed(a, b))
+    assert (x == a).all() and (y == b).all()
+
+
+def test_counts_grow_with_the_trusted_text(spark):
+    texts = spark.range(400).selectExpr("concat('w', id, ' v', id) as text")
+    of = lambda df: quality.fit(df)[1].selectExpr("length(keys) as n").groupBy().sum("n").first()[0]
+    assert of(texts) > 2.5 * of(texts.limit(100))
 
 
 def test_held_out_accuracy(spark):
@@ -67,22 +79,15 @@ def test_held_out_accuracy(spark):
 def test_hard_rows(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat again " * (1 + i % 3), "en", "p") for i in range(60)] + [(100, None, "en", "p"), (101, "", None, "p"), (None, "zq xw", "xx", "p"), (102, "zz qq", "en", "p"), (102, "zz qq", "en", "p")], "doc_id long, text string, lang string, keep string")
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1), (3, 0), (5, 1), (5, 1)], "doc_id long, quality int")
-    found = quality.rate_quality(docs, labels, carry_text=True)
-    assert found.columns == ["doc_id", "text", "lang", "n_words", "perplexity", "threshold", "keep"] and found.count() == 65
+    found = quality.rate_quality(docs, labels)
+    assert found.columns == ["doc_id", "lang", "n_words", "perplexity", "threshold", "keep"] and found.count() == 65
+    kept = quality.keep_quality(docs, labels)
+    assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == found.where("keep").count()
     assert all(r.keep is not None and r.threshold is not None for r in found.collect())
     assert all(r.keep and r.threshold is None for r in quality.rate_quality(docs, labels.limit(0)).collect())
     assert quality.rate_quality(docs.limit(0), labels).count() == 0
 
 
-def test_giant_trusted_document(spark):
-    """One that exceeds the bound is passed over, wherever it is drawn."""
-    for giant in range(0, 30, 3):
-        docs = spark.createDataFrame([(i, "w " * (5_000 if i == giant else 10)) for i in range(30)], "doc_id long, text string")
-        found = [r.doc_id for r in quality.trusted_sample(docs, docs.select("doc_id"), 30, 1_000, "trusted").collect()]
-        drawn = spark.range(30).where("id <> %d and pmod(xxhash64('trusted', id), 5) <> 0" % giant).collect()
-        assert sorted(found) == [r.id for r in drawn]
-
-
 def test_language_with_few_trusted_documents(spark):
     """Its clean documents are kept, though its own quantile is that of one to five documents."""
     rng = np.random.default_rng(6)
