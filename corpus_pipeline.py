@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provgraph.llm.common import scratch, table
 from provgraph.llm.mixing import emit_copies, mix_sources
-from provgraph.llm.quality import rate_quality
+from provgraph.llm.quality import keep_quality
 from provgraph.llm.secrets import redact
 from provgraph.llm.simhash import near_duplicates
 from provgraph.llm.tokens import encode
@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity stays within their language's threshold; the others go."""
-    return rate_quality(docs, table(spark, sf_dir, "labels"), carry_text=True).where("keep").select(COLUMNS)
+    return keep_quality(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
