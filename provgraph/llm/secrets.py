@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,9 +20,14 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
-#: What else is a candidate: a run of these characters with a digit and a letter.
+#: What else is a candidate: a run of these characters with a digit and a letter, and a shorter or plainer one behind a name
+#: that credentials go by.
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+NAMED = re.compile(r"""(?ai:passphrase|credentials?|pwd|auth|bearer|private|access|client|key|pin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
+#: Runs that are plainly something else, the only ones of a corpus that training takes as no secrets: addresses of mail and
+#: sites, paths, dates, versions, and words.
+PLAIN = re.compile(r"(?a:(?:[a-z0-9]+[.-])+(?:com|org|net|html?|txt|md|py|json)(?:/[a-z0-9._-]*)*|/?(?:[a-z]{2,12}/)+[a-z0-9._-]*|[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ:.-]*|v?[0-9]+(?:\.[0-9]+)+|[A-Za-z]{2,14}(?:[-_][A-Za-z]{2,14})*[0-9]{0,3})")
 
 #: Characters before, inside and after a candidate that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 8
@@ -30,6 +36,8 @@ CLASSES = 100
 EMBED, FILTERS, SPAN = 8, 24, 5
 #: Bounds of the labelled sample, and the recall that the threshold must reach on held-out findings.
 TRAIN_DOCS, TRAIN_FINDINGS, RECALL = 4_000, 3_000, 0.98
+#: Findings made by rule that every network is trained on, whatever the corpus has.
+MADE_FINDINGS = 3_000
 
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
@@ -42,16 +50,17 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a letter and a digit that no base finding overlaps."""
-    out, k = [], 0
+    """Candidates that no base finding overlaps, in order and each once."""
     by_end = sorted(base, key=lambda f: f[1])
-    for m in TOKEN.finditer(text):
-        if not MIXED.match(m[0]):
-            continue
-        while k < len(by_end) and by_end[k][1] <= m.start():
-            k += 1
-        if not any(f[0] < m.end() for f in by_end[k:]):
-            out.append((m.start(), m.end()))
+    ends = [f[1] for f in by_end]
+    least = [f[0] for f in by_end] + [len(text) + 1]
+    for i in range(len(by_end) - 1, -1, -1):
+        least[i] = min(least[i], least[i + 1])
+    spans = {m.span() for m in TOKEN.finditer(text) if MIXED.match(m[0])} | {m.span(1) for m in NAMED.finditer(text)}
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if least[bisect.bisect_right(ends, start)] >= end and (not out or start >= out[-1][1]):
+            out.append((start, end))
     return out
 
 
@@ -140,58 +149,88 @@ class Network:
         self.threshold = float(positive[int((1 - recall) * len(positive) + 1e-9)]) if len(positive) else 0.5
 
 
-def made_findings(count: int, seed: int = 3) -> list[tuple[str, int]]:
-    """Labelled examples by rule, for shapes that a sample may lack: random keys against names, numbers, dates and addresses."""
+LOW, UP, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Shapes that training never sees; only calibration and the tests do.
+UNSEEN = ("dashed", "signed", "slug", "stamp")
+
+
+def shapes(r: np.random.Generator) -> tuple[dict, dict]:
+    """Makers of values by the name of their shape: secrets, and what is none."""
+    pick = lambda s, low, high: "".join(s[i] for i in r.integers(0, len(s), int(r.integers(low, high + 1))))
+    word = lambda low=2, high=9: pick("aeiou", 1, 1) + "".join(pick("bcdfglmnprst", 1, 1) + pick("aeiou", 1, 1) for _ in range(int(r.integers(low, high)) // 2 + 1))
+    some = lambda n: [word() for _ in range(n)]
+    secret = {
+        "mixed": lambda: pick(LOW + UP + DIGITS, 16, 48),
+        "hex": lambda: pick("0123456789abcdef", 20, 64),
+        "base64": lambda: pick(LOW + UP + DIGITS + "+/", 22, 60) + "=" * int(r.integers(0, 3)),
+        "prefixed": lambda: word()[:4] + "_" + pick(LOW + UP + DIGITS, 20, 40),
+        "capitals": lambda: pick(UP + DIGITS, 16, 40),
+        "password": lambda: word().capitalize() + pick(DIGITS + "=+-_.", 3, 6) + pick(UP + DIGITS, 3, 5),
+        "grouped": lambda: "-".join(pick(UP + DIGITS, 4, 6) for _ in range(int(r.integers(3, 6)))),
+        "uuid": lambda: "-".join(pick("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)),
+        "underlined": lambda: "_".join(pick(LOW + DIGITS, 6, 10) for _ in range(3)),
+        "dashed": lambda: "-".join(pick(LOW + DIGITS, 5, 9) for _ in range(4)),
+        "signed": lambda: ".".join(pick(LOW + UP + DIGITS + "_-", 12, 30) for _ in range(3)),
+    }
+    other = {
+        "site": lambda: ".".join([*some(2), "com"]) + "/" + word() + pick(DIGITS, 1, 2),
+        "path": lambda: "/".join(some(4)) + pick(DIGITS, 1, 1),
+        "compound": lambda: "".join(w.capitalize() for w in some(3)) + pick(DIGITS, 1, 2),
+        "date": lambda: f"20{pick(DIGITS, 2, 2)}-{pick(DIGITS, 2, 2)}-{pick(DIGITS, 2, 2)}T{pick(DIGITS, 6, 6)}Z",
+        "version": lambda: f"v{pick(DIGITS, 1, 2)}.{pick(DIGITS, 1, 2)}.{pick(DIGITS, 1, 3)}-{word()}-{word()}",
+        "words": lambda: "_".join(some(3)),
+        "word": lambda: word(8, 14),
+        "mail": lambda: f"{word()}.{pick(DIGITS, 2, 2)}.{word()}{pick(DIGITS, 1, 1)}.example.com",
+        "numbered": lambda: word() + "_" + pick(DIGITS, 4, 8) + "." + word()[:3],
+        "stamped": lambda: word() + ".20" + pick(DIGITS, 6, 6) + "." + word(),
+        "span": lambda: f"20{pick(DIGITS, 6, 6)}-{pick(DIGITS, 4, 8)}" + "-" + word(),
+        "slug": lambda: "-".join(some(4)) + "-" + pick(DIGITS, 1, 3),
+        "stamp": lambda: word() + "-20" + pick(DIGITS, 6, 6) + "-" + pick(DIGITS, 4, 4) + ".log",
+    }
+    return secret, other
+
+
+def made_findings(count: int, seed: int = 3, unseen: bool | None = None) -> list[tuple[str, int]]:
+    """Findings labelled by how they were made, whatever the fixed patterns say of them: random keys in many shapes against names,
+    numbers, dates, paths and addresses. Half of either kind stand behind a credential's name, so the context alone tells nothing.
+    ``unseen`` picks the shapes that training lacks, or only the others."""
     r = np.random.default_rng(seed)
-    pick = lambda s, n: "".join(s[i] for i in r.integers(0, len(s), n))
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: pick(low, int(r.integers(2, 9)))
-    good = [
-        lambda: pick(low + up + dig, int(r.integers(20, 45))),
-        lambda: pick("0123456789abcdef", int(r.integers(32, 64))),
-        lambda: pick(low + up + dig + "+/", int(r.integers(24, 60))) + "==",
-        lambda: word()[:4] + "_" + pick(low + up + dig, 32),
-        lambda: "AKIA" + pick(up + dig, 16),
-    ]
-    bad = [
-        lambda: f"{word()}.{word()}{pick(dig, 2)}@{word()}.com".replace("@", "."),
-        lambda: "/".join(word() for _ in range(4)) + pick(dig, 1),
-        lambda: f"{word()}{word()}{word()}{pick(dig, 2)}",
-        lambda: f"2024-{pick(dig, 2)}-{pick(dig, 2)}T{pick(dig, 6)}Z.{word()}",
-        lambda: "-".join(word() for _ in range(4)) + pick(dig, 2),
-        lambda: f"v{pick(dig, 1)}.{pick(dig, 2)}.{pick(dig, 3)}-{word()}-{word()}",
-    ]
+    makers = [[make for name, make in kind.items() if unseen is None or (name in UNSEEN) == unseen] for kind in shapes(r)]
+    word = lambda: "".join(LOW[i] for i in r.integers(0, 26, int(r.integers(2, 9))))
     out = []
     for i in range(count):
-        shapes = good if i % 2 == 0 else bad
-        value = shapes[int(r.integers(len(shapes)))]()
+        kind = makers[i % 2]
+        value = kind[int(r.integers(len(kind)))]()
         left = " ".join(word() for _ in range(4)) + " "
-        if i % 2 == 0 and r.random() < 0.5:
-            left += str(r.choice(["token", "secret", "key", "password", "auth"])) + str(r.choice([" = ", ": ", "="]))
+        if r.random() < 0.5:
+            left += str(r.choice(["token", "secret", "key", "password", "auth", "file", "name", "id"])) + str(r.choice([" = ", ": ", "="]))
         text = left + value + " " + word()
         out.append((window(text, len(left), len(left) + len(value)), 1 - i % 2))
     return out
 
 
+def value_start(text: str, start: int, kind: int) -> int:
+    """Where the value of a base finding begins."""
+    return ASSIGN.match(text, start).start(2) if kind == 0 else start
+
+
 def labelled(text: str) -> list[tuple[str, int]]:
-    """Findings of one text: base findings are secrets, other candidates are not."""
+    """Findings of one text: values that the fixed patterns find are secrets, and what is plainly something else is none.
+    Other candidates have no label, and training leaves them out."""
     base = base_findings(text)
-    found = []
-    for s, e, kind in base:
-        if kind == 0:
-            s = ASSIGN.match(text, s).start(2)
-        found.append((window(text, s, e), 1))
-    return found + [(window(text, s, e), 0) for s, e in other_candidates(text, base)]
+    found = [(window(text, value_start(text, s, kind), e), 1) for s, e, kind in base]
+    return found + [(window(text, s, e), 0) for s, e in other_candidates(text, base) if PLAIN.fullmatch(text[s:e])]
 
 
 def train(findings: list[tuple[str, int]], recall: float = RECALL) -> Network:
-    """Fit on four fifths of the findings (and of those made by rule), calibrate on the rest."""
-    findings = findings + made_findings(1_200)
-    x, y = encode([w for w, _ in findings]), np.array([v for _, v in findings], float)
+    """Fit on four fifths of the findings and of those made by rule; calibrate on the rest and on shapes that training lacks."""
+    findings = findings + made_findings(MADE_FINDINGS, unseen=False)
     held = np.array([int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 5 == 0 for w, _ in findings])
+    x, y = encode([w for w, _ in findings]), np.array([v for _, v in findings], float)
     network = Network()
     network.fit(x[~held], y[~held])
-    network.calibrate(x[held], y[held], recall)
+    unseen = made_findings(MADE_FINDINGS // 5, seed=4, unseen=True)
+    network.calibrate(np.concatenate([x[held], encode([w for w, _ in unseen])]), np.r_[y[held], [v for _, v in unseen]], recall)
     return network
 
 
@@ -215,18 +254,20 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int = TRAIN_FINDINGS, recall: float = RECALL, seed: str = "findings", carry: bool = True, mark: str | None = None) -> DataFrame:
-    """Secrets of every text in whole: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
+    """Secrets of every text in whole: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_doubted``.
 
     The network is fitted on a bounded labelled sample drawn from ``docs`` and on findings made by rule; its threshold is
-    the highest that keeps ``recall`` of the held-out secrets. It judges every candidate of every text, long ones in overlapping windows of which the highest counts; those at or above the
-    threshold join the base findings as kind ``model``. Base findings always stay, whatever the network says. ``spans`` lists
+    the highest that keeps ``recall`` of the held-out secrets, among them shapes that training lacks. It judges every
+    candidate of every text, long ones in overlapping windows of which the highest counts; those at or above the threshold
+    join the base findings as kind ``model``. Base findings are judged too, and always stay: ``n_doubted`` is the number of
+    those below the threshold. ``spans`` lists
     kind:start:end in code points, end exclusive, by start and then kind. Returns the columns of ``docs`` (with
-    ``carry=False`` only ``doc_id``) and the five; columns of those names in ``docs`` give way. Null text counts as empty and
+    ``carry=False`` only ``doc_id``) and the six; columns of those names in ``docs`` give way. Null text counts as empty and
     stays null; with ``mark`` each finding in ``text`` is replaced by it (overlapping ones by one); texts without findings have zero counts, the digest of the empty string and empty spans. Repeated rows
     are scanned each; empty input gives no rows.
     """
     ship_package(docs.sparkSession)
-    made = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    made = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_doubted"]
     kept = docs.select([c for c in docs.columns if c not in made] if carry else ["doc_id", "text"])
     columns = kept.columns
     at = columns.index("text")
@@ -240,25 +281,30 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
                 base = base_findings(text) if text else []
                 bases.append(base)
                 if text:
-                    for s, e in other_candidates(text, base):
-                        parts = windows(text, s, e)
+                    judged = [(s, e, 3) for s, e in other_candidates(text, base)] + base
+                    for s, e, kind in judged:
+                        parts = windows(text, value_start(text, s, kind), e)
                         owners += [i] * len(parts)
-                        places += [(s, e, 3)] * len(parts)
+                        places += [(s, e, kind)] * len(parts)
                         shown += parts
             spans = [list(b) for b in bases]
+            doubted = [len(b) for b in bases]
             if shown:
                 reached = np.flatnonzero(np.concatenate([net.probability(encode(shown[k : k + 4096])) for k in range(0, len(shown), 4096)]) >= net.threshold).tolist()
                 for owner, place in dict.fromkeys((owners[k], places[k]) for k in reached):
-                    spans[owner].append(place)
+                    if place[2] == 3:
+                        spans[owner].append(place)
+                    else:
+                        doubted[owner] -= 1
             counts = [pa.array([sum(f[2] == k for f in b) for b in bases], pa.int64()) for k in range(3)]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases], pa.string())
             mine = [batch.column(columns.index(c)) for c in out_columns]
             if mark is not None:
                 clean = [t if not x else replaced(t, x, mark) for t, x in zip(batch.column(at).to_pylist(), spans)]
                 mine[at] = pa.array(clean, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*mine, *counts, digest, pa.array([joined(s) for s in spans], pa.string())], names=[*out_columns, *made])
+            yield pa.RecordBatch.from_arrays([*mine, *counts, digest, pa.array([joined(s) for s in spans], pa.string()), pa.array(doubted, pa.int64())], names=[*out_columns, *made])
 
-    fields = [*kept.select(out_columns).schema.fields, *(StructField(c, LongType()) for c in made[:3]), *(StructField(c, StringType()) for c in made[3:])]
+    fields = [*kept.select(out_columns).schema.fields, *(StructField(c, LongType()) for c in made[:3]), *(StructField(c, StringType()) for c in made[3:5]), StructField(made[5], LongType())]
     return kept.mapInArrow(run, StructType(fields))
 
 

@@ -86,3 +86,32 @@ def test_long_candidates_are_seen_whole():
         inner = "".join(w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in secrets.windows(text, 3, end))
         assert set(text[3:end]) == set(inner) - {"\1"}
     assert secrets.windows(text, 3, 40) == [secrets.window(text, 3, 40)]
+
+
+def test_shapes_that_training_lacks():
+    """Recall and precision on held-out shapes, which neither fitting nor the fixed patterns know."""
+    network = secrets.train([])
+    shown = secrets.made_findings(600, seed=123, unseen=True)
+    found = network.probability(secrets.encode([w for w, _ in shown])) >= network.threshold
+    y = np.array([v for _, v in shown]) == 1
+    assert found[y].mean() >= 0.9 and (found & y).sum() / found.sum() >= 0.85
+
+
+def test_network_adds_spans(spark):
+    """A secret that no fixed pattern finds comes out as ``model``; what is none does not; candidates behind a name may be short."""
+    key, short = "xq_9fK2mZ7pLw4RtY8vB3nC6dH1s", "Hx9-Kq2-77ZT"
+    texts = [f"clean words {key} and more", f"the auth = {short} here", "see example.org.site/path/words7 and archive-of-words_today1 now", "seen on 2024-03-04T101112Z by someone", "key: somewhere in the text", f"token = {key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    at = texts[0].index(key)
+    assert found[0].spans == f"model:{at}:{at + len(key)}" and found[0].n_assign == 0
+    assert found[1].spans == f"model:{texts[1].index(short)}:{texts[1].index(short) + len(short)}"
+    assert [found[i].spans for i in (2, 3, 4)] == ["", "", ""]
+    assert found[5].spans == f"assign:0:{len(texts[5])}" and found[5].n_doubted == 0
+
+
+def test_many_findings_in_one_text():
+    """Candidates of a text with very many findings, in time that grows with the text."""
+    text = " ".join(f"token=abcdefgh{i} zz{i}QyWx0123456789ab" for i in range(20_000))
+    base = secrets.base_findings(text)
+    assert len(base) == 20_000 and len(secrets.other_candidates(text, base)) == 20_000
