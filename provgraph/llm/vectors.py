@@ -19,8 +19,10 @@ from .common import ship_package, table
 
 #: Rows in a block of candidates and in a block of queries: with 64 components about 4 MB and 1 MB of doubles.
 BLOCK, QUERY_BLOCK = 8192, 1024
-#: Scaled components beyond this leave the exact range of 64-bit sums.
-LARGEST = 2**26
+#: Sums that may pass this are taken in numbers of any length, and count as the ends of a long where they leave it.
+LARGEST = float(2**62)
+#: Bits that a rotated query's components are rounded to for the packed estimates.
+PLANES = 6
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -60,7 +62,8 @@ def read_in_bound_order(lower: np.ndarray, upper: np.ndarray, k: int, exact: Cal
     found = []
     for first in range(0, int(place.max(initial=-1)) + 1, at_once):
         now = np.flatnonzero((place >= first) & (place < first + at_once))
-        now = now[upper[query[now], cand[now]] >= top[query[now]].min(axis=1)]
+        least = np.nextafter(np.nextafter(top[query[now]].min(axis=1), -np.inf), -np.inf)  # the scores may be long integers
+        now = now[upper[query[now], cand[now]] >= least]
         if not len(now):
             break
         scores = exact(query[now], cand[now])
@@ -79,34 +82,69 @@ def cell_bounds(queries: np.ndarray, points: np.ndarray, bits: int) -> tuple[np.
     width = np.maximum((high - low) / 2**bits, 1e-300)
     code = np.minimum((points - low) // width, 2**bits - 1).astype(np.uint8 if bits <= 8 else np.uint16)
     middle = queries @ (low + (code + 0.5) * width).T
-    slack = (np.abs(queries) @ (width / 2))[:, None] * (1 + 1e-9) + 1e-9 * np.abs(middle) + 1e-9
+    slack = (np.abs(queries) @ (width / 2))[:, None] * (1 + 1e-9) + 1e-12 * (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)))[:, None] + 1e-9
     return middle - slack, middle + slack
 
 
+def whole_products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Exact inner products, row by row, of whole numbers held as doubles; at the ends of a long where they leave it."""
+    out = np.zeros(len(queries), np.int64)
+    safe = (np.abs(queries) * np.abs(points)).sum(axis=1) < LARGEST
+    out[safe] = (queries[safe].astype(np.int64) * points[safe].astype(np.int64)).sum(axis=1)
+    for i in np.flatnonzero(~safe).tolist():
+        total = sum(int(a) * int(b) for a, b in zip(queries[i], points[i]))
+        out[i] = min(max(total, -(2**63)), 2**63 - 1)
+    return out
+
+
 def rotation(dims: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
 
 
+def packed_words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def packed_products(queries: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of each query's components where a code has a one, minus where it has a zero, and the queries' rounding step.
+
+    Components are rounded to ``PLANES`` bits, and each plane of bits meets the packed codes by AND and a count of ones.
+    """
+    low = queries.min(axis=1)
+    step = np.maximum((queries.max(axis=1) - low) / (2**PLANES - 1), 1e-300)
+    level = np.rint((queries - low[:, None]) / step[:, None]).astype(np.int64)
+    ones = np.zeros((len(queries), len(codes)), np.int32)
+    for plane in range(PLANES):
+        words = packed_words((level >> plane) & 1 == 1)
+        for word in range(words.shape[1]):
+            ones += np.bitwise_count(words[:, word, None] & codes[None, :, word]).astype(np.int32) << plane
+    set_bits = np.bitwise_count(codes).sum(axis=1)
+    inside = low[:, None] * set_bits[None, :] + step[:, None] * ones
+    return 2 * inside - (low * queries.shape[1] + step * level.sum(axis=1))[:, None], step
+
+
 def code_bounds(queries: np.ndarray, points: np.ndarray, seed: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
     """Probable bounds of inner products from one-bit codes.
 
-    A point is its block's centre plus a residual; the code holds the signs of the rotated residual, and the correction
-    scalars are its length and its cosine with the code. The estimate divides by that cosine; its error is at most
-    ``spread`` standard deviations with high probability.
+    A point is its block's centre plus a residual; the code holds the signs of the rotated residual in packed words, and
+    the correction scalars are its length and its cosine with the code. The estimate divides by that cosine; its error is
+    at most ``spread`` standard deviations with high probability, those of the query's rounding among them.
     """
     dims = points.shape[1]
     turn = rotation(dims, seed)
     centre = points.mean(axis=0)
     turned = (points - centre) @ turn
     length = np.linalg.norm(turned, axis=1)
-    packed = np.packbits(turned > 0, axis=1)
     cosine = np.abs(turned).sum(axis=1) / np.maximum(length * math.sqrt(dims), 1e-300)
     cosine[length == 0] = 1
-    signs = np.unpackbits(packed, axis=1, count=dims).astype(np.float32) * 2 - 1
-    rough = (queries @ turn).astype(np.float32) @ signs.T / math.sqrt(dims)
-    estimate = (queries @ centre)[:, None] + rough * (length / cosine)
-    error = np.linalg.norm(queries, axis=1)[:, None] * (length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * spread / math.sqrt(max(dims - 1, 1))) + 1e-6
+    rough, step = packed_products(queries @ turn, packed_words(turned > 0))
+    scale = length / cosine
+    estimate = (queries @ centre)[:, None] + rough * (scale / math.sqrt(dims))
+    error = np.linalg.norm(queries, axis=1)[:, None] * (scale * np.sqrt(np.maximum(1 - cosine**2, 0)) * spread / math.sqrt(max(dims - 1, 1)))
+    error += (step * spread / math.sqrt(12))[:, None] * scale + 1e-6
     return estimate - error, estimate + error
 
 
@@ -143,19 +181,18 @@ def exact_top_k(points: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6
     quantised cells give bounds, and exact vectors are read by falling upper bound (inner product stands for nearness, so
     this is the order of lower distance bounds) until the k-th score is certain. Returns ``query_id``, ``rank`` from 1,
     ``vec_id``, ``score``; ties go to the smaller vec_id; a query meets only vectors of its own length and never its
-    own id. Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without an id or
-    vectors with a scaled component beyond 2**26, whose sums could leave a long. Repeated ids are candidates each; a
+    own id. Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without an
+    id. Scores are exact at any size; one that leaves a long counts as its end. Repeated ids are candidates each; a
     repeated query id's results are ranked together. No queries or no points: no rows. Other columns are ignored.
     """
-    scaled = lambda df: valid_vectors(df).withColumn("embedding", F.transform("embedding", lambda e: F.floor(e * 256.0).cast("double"))).where(F.forall("embedding", lambda e: F.abs(e) <= LARGEST))
+    scaled = lambda df: valid_vectors(df).withColumn("embedding", F.transform("embedding", lambda e: F.floor(e * 256.0).cast("double")))
 
     def pair(q, query_ids, x, ids):
         lower, upper = cell_bounds(q, x, bits)
         own = query_ids[:, None] == ids[None, :]
         lower[own] = upper[own] = -np.inf
-        whole_q, whole_x = q.astype(np.int64), x.astype(np.int64)
-        query, cand, score = read_in_bound_order(lower, upper, k, lambda i, j: (whole_q[i] * whole_x[j]).sum(axis=1), 16)
-        score = (whole_q[query] * whole_x[cand]).sum(axis=1)
+        query, cand, _ = read_in_bound_order(lower, upper, k, lambda i, j: whole_products(q[i], x[j]), 16)
+        score = whole_products(q[query], x[cand])
         keep = best(query, ids[cand], score, k)
         return query_ids[query[keep]], ids[cand[keep]], score[keep]
 

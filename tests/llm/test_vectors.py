@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -75,3 +76,24 @@ def test_few_zero_and_empty(spark):
     assert [(r.query_id, r.vec_id) for r in vectors.nearest_by_codes(df, df.where("vec_id % 20 = 0")).collect()] == [(0, 3)]
     none = df.limit(0)
     assert vectors.nearest_by_codes(none, none).count() == 0 and vectors.exact_top_k(df, none).count() == 0
+
+
+def test_large_components(spark):
+    """Finite vectors of any size take part, with exact scores; beyond a long they stand at its ends."""
+    rows = [(0, [1.0, 2.0]), (50, [3e5, 1.0]), (100, [-3e5, 3e5]), (3, [2.0**40, -1.0]), (4, [2.0**40, -2.0]), (5, [0.0, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [min(max(math.floor(256 * x), -(2**63)), 2**63 - 1) for x in v] for i, v in rows}
+    clip = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted(((-clip(sum(int(float(a)) * int(float(b)) for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    assert sorted(tuple(r) for r in vectors.exact_top_k(df, vectors.every_nth(df, 50), 5).collect()) == sorted(want)
+
+
+def test_packed_products():
+    rng = np.random.default_rng(3)
+    for dims in (1, 7, 64, 100):
+        q, bits = rng.normal(size=(9, dims)), rng.random((40, dims)) < 0.5
+        found, step = vectors.packed_products(q, vectors.packed_words(bits))
+        assert (np.abs(found - q @ (bits * 2.0 - 1).T) <= step[:, None] / 2 * dims + 1e-9).all()
