@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import table, word_count, written
 
 #: Size classes per factor e of the size, and the parts that each class is dealt to, so that one source's rows spread.
 CLASSES, PARTS = 20, 16
@@ -50,10 +50,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     sum of expected copies starts from one offset drawn from ``seed`` and the source's name, and a document is taken
     once for each integer that its own step crosses. Order by size keeps the words taken near the target. The running
     number of a document is the count of all earlier (class, part) cells, a short table, plus its place in its own cell,
-    so no task holds a source.
+    so no task holds a source. Words are counted once, and the sizes stand in the shared folder.
 
     Null source: a source of its own, last in order. Null or blank text: size 0, taken 0. Null doc_id: part 0, first in
-    order. Repeated rows count as separate documents. A corpus without words: all targets 0. Empty input: no rows.
+    order. Repeated rows count as separate documents; of equal ids and sizes the text
+    decides the order, so reruns agree. A corpus without words: all targets 0. Empty input: no rows.
     """
     made = ["size", "source_size", "target", "copies", "taken", "source_key", "cell_class", "cell_part", "earlier", "rate", "offset", "place"]
     counted = size if size is not None else word_count(F.col("text"))
@@ -67,7 +68,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
             .withColumn("cell_part", F.coalesce(F.pmod("doc_id", F.lit(PARTS)), F.lit(0)))
         )
 
-    totals = cells(["doc_id"]).groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    sized = written(cells(["doc_id"]))
+    totals = sized.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sources = totals.groupBy("source_key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("source_key") != "null", F.expr("substring(source_key, 2)")))
     targets = source_targets(sources, weights, cap)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("source_key"))), 1, 12), 16, 10).cast("double") / float(2**48)
@@ -77,8 +79,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
         .join(targets, "source_key")
         .select(*cell, "earlier", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), draw.alias("offset"))
     )
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id")
-    placed = cells(kept).withColumn("place", F.row_number().over(inside)).join(plan, cell)
+    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", *([F.xxhash64("text")] if "text" in kept else []))
+    placed = (cells(kept) if carry else sized).withColumn("place", F.row_number().over(inside)).join(plan, cell)
     upto = lambda i: F.floor(F.col("offset") + F.col("rate") * i)
     number = F.col("earlier") + F.col("place")
     return placed.withColumn("copies", F.least(F.lit(cap), upto(number) - upto(number - 1)).cast("long")).select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
