@@ -139,7 +139,8 @@ class Model:
         """By how much a seen bigram's surprise lies below that of its back-off, in steps."""
         total = np.maximum(self.followers[first], 1)
         rest = -(self.context[first] + self.word[second]).astype(float) / STEP
-        seen = (counts - self.cuts[np.minimum(counts, 3)]) / total + np.exp(rest)
+        shared = np.where(second == OTHER, OPEN_WORDS, 1)  # a word of the last class has its part of the class's probability
+        seen = (counts - self.cuts[np.minimum(counts, 3)]) / total / shared + np.exp(rest)
         return np.maximum(np.rint((np.log(seen) - rest) * STEP), 0).astype(np.int64)
 
 

@@ -22,13 +22,11 @@ def brute(texts, vocabulary):
     def probability(b, c):
         total = sum(before.values())
         p = (before[c] - lower[min(before[c], 3)]) / total + sum(lower[min(n, 3)] for n in before.values()) / total / quality.OPEN_WORDS
-        if c == "<other>":
-            p = max(p / quality.OPEN_WORDS, 1 / quality.OPEN_WORDS**2)
         after = {k: n for k, n in counts.items() if k[0] == b}
         if after:
             n, total = counts[(b, c)], sum(after.values())
             p = (n - upper[min(n, 3)]) / total + sum(upper[min(m, 3)] for m in after.values()) / total * p
-        return p
+        return max(p / quality.OPEN_WORDS, 1 / quality.OPEN_WORDS**2) if c == "<other>" else p
 
     return lambda t: -sum(math.log(probability(b, c)) for b, c in zip(number(t), number(t)[1:]))
 
