@@ -250,8 +250,9 @@ def fit(texts: DataFrame, most_words: int = VOCABULARY, head: int = HEAD) -> tup
     cuts, lower = discounts(list(of), True), discounts(before)
     total = max(int(before.sum()), 1)
     kept = before - lower[np.minimum(before, 3)]
-    p = kept / total + (lower[np.minimum(before, 3)].sum() / total if before.any() else 1.0) / OPEN_WORDS
-    p[OTHER] = max(p[OTHER] / OPEN_WORDS, 1 / OPEN_WORDS**2)
+    rest = lower[np.minimum(before, 3)].sum() / total if before.any() else 1.0
+    p = kept / total + rest / OPEN_WORDS
+    p[OTHER] = (kept[OTHER] / total + rest) / OPEN_WORDS
     left = np.where(after > 0, (cuts[1] * n1 + cuts[2] * n2 + cuts[3] * n3) / np.maximum(after, 1), 1.0)
     model = Model(vocabulary, np.rint(-np.log(p) * STEP).astype(np.int64), np.rint(-np.log(np.maximum(left, 1e-9)) * STEP).astype(np.int64), after, cuts, shards, np.zeros((0, 0), np.int16))
     model.square = head_square(counts, model, min(head, len(vocabulary)))

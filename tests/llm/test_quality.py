@@ -20,13 +20,15 @@ def brute(texts, vocabulary):
     upper, lower = quality.discounts(list(counts.values())), quality.discounts(list(before.values()))
 
     def probability(b, c):
-        total = sum(before.values())
-        p = (before[c] - lower[min(before[c], 3)]) / total + sum(lower[min(n, 3)] for n in before.values()) / total / quality.OPEN_WORDS
+        """Of a word of the last class: its share of the class, which also has what is left for unseen words."""
+        share = quality.OPEN_WORDS if c == "<other>" else 1
+        total, rest = sum(before.values()), sum(lower[min(n, 3)] for n in before.values())
+        p = (before[c] - lower[min(before[c], 3)]) / total / share + rest / total / quality.OPEN_WORDS
         after = {k: n for k, n in counts.items() if k[0] == b}
         if after:
             n, total = counts[(b, c)], sum(after.values())
-            p = (n - upper[min(n, 3)]) / total + sum(upper[min(m, 3)] for m in after.values()) / total * p
-        return max(p / quality.OPEN_WORDS, 1 / quality.OPEN_WORDS**2) if c == "<other>" else p
+            p = (n - upper[min(n, 3)]) / total / share + sum(upper[min(m, 3)] for m in after.values()) / total * p
+        return p
 
     return lambda t: -sum(math.log(probability(b, c)) for b, c in zip(number(t), number(t)[1:]))
 
@@ -48,6 +50,17 @@ def test_against_dictionaries(spark, monkeypatch, vocabulary, head, chunk):
         assert r.n_words == n and abs(r.surprise - want(text)) < 0.002 * (n + 1), text
 
 
+def test_unknown_words_count_against_a_text(spark):
+    """Also behind one another, where training has seen rare words in a row."""
+    texts = [f"the cat sat on the mat rare{i} odd{i} and the dog ran" for i in range(60)]
+    model, counts = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"), 3 + 9, 4)
+    asked = ["the cat sat on the mat and the dog ran", "qq1 qq2 qq3 qq4 qq5 qq6 qq7 qq8 qq9 qq10"]
+    rows = [(bytearray(hashlib.md5(t.encode()).digest()), t) for t in asked]
+    found = {bytes(r.text_key): r.surprise / r.n_words for r in quality.surprises(spark.createDataFrame(rows, "text_key binary, text string"), model, counts).collect()}
+    clean, odd = (found[bytes(k)] for k, _ in rows)
+    assert clean < 4 and odd > 10
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1000):
