@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """Use ``spark.checkpoint.dir``. Where that is unset, a folder of our own: on one machine a temporary one, on a cluster one
+    beside the warehouse, never an executor's own disk."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="provgraph-checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="provgraph-checkpoints-")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/provgraph-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -33,10 +33,18 @@ def lag_windows(seq: DataFrame, lags: int = LAGS) -> DataFrame:
 
 
 def training_windows(seq: DataFrame, lags: int = LAGS) -> DataFrame:
-    """Full windows that end with their own target: ``seq`` of the target and ``window``."""
+    """Full windows that end with their own target: ``seq`` of the target and ``window``.
+
+    A sequence shorter than a window gives one, filled with zero vectors at its end, for its last position.
+    """
     sent = seq.select(F.col("vec").alias("seen"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"), F.col("seq").alias("from"))
-    whole = sent.groupBy((F.col("from") + F.col("lag")).alias("seq")).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("lag")).alias("k"), "seen"))), lambda x: x["seen"]).alias("window"))
-    return whole.join(seq.select("seq"), "seq").where(F.size("window") == lags)
+    grouped = sent.groupBy((F.col("from") + F.col("lag")).alias("seq")).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("lag")).alias("k"), "seen"))), lambda x: x["seen"]).alias("window"))
+    last = seq.agg(F.max("seq").alias("last"))
+    whole = grouped.join(seq.select("seq"), "seq").crossJoin(F.broadcast(last))
+    short = (F.col("last") < lags - 1) & (F.col("seq") == F.col("last"))
+    zero = F.transform(F.col("window")[0], lambda x: x * 0.0)
+    filled = F.concat("window", F.array_repeat(zero, F.lit(lags) - F.size("window")))
+    return whole.where((F.size("window") == lags) | short).select("seq", filled.alias("window"))
 
 
 def chronological_split(seq: DataFrame, share: float = 0.8) -> DataFrame:

@@ -12,15 +12,16 @@ from provgraph.schema import PROCESS_TYPE, RESOURCE_TYPES
 def ancestors(pairs: DataFrame) -> DataFrame:
     """``node``, ``ancestor``: all that reach a node along the edges; a node on a cycle is its own ancestor.
 
-    Each round joins the newest pairs with themselves and all known ones, so the reach doubles until nothing new comes.
+    Each round joins the newest pairs with all known ones, on either side, so the reach doubles until nothing new comes.
     """
-    known = checkpointed(pairs.select(F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct())
+    known = newest = checkpointed(pairs.select(F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct())
     while True:
-        onward = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
-        grown = checkpointed(known.join(onward, "ancestor").select("node", F.col("far").alias("ancestor")).union(known).distinct())
-        if grown.count() == known.count():
+        onward = lambda df: df.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
+        longer = newest.join(onward(known), "ancestor").union(known.join(onward(newest), "ancestor")).select("node", F.col("far").alias("ancestor"))
+        newest = checkpointed(longer.distinct().join(known, ["node", "ancestor"], "left_anti"))
+        if newest.isEmpty():
             return known
-        known = grown
+        known = checkpointed(known.union(newest))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -95,13 +95,13 @@ def score_listing(scored: DataFrame) -> DataFrame:
 
 
 def node_report(vertices: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """A line per snapshot: totals, labelled count, type histogram, first ten nodes with the number of the rest."""
+    """A line per snapshot: totals, labelled count, type histogram, and every node with its status, by name."""
     types = type_histogram(vertices, keys).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "type", "n"))), ",").alias("types"))
     status = F.when(F.col("label") == 1, "malicious").otherwise("benign")
-    names = top_with_rest(vertices, keys, ["name"], 10).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "name", status))), ",").alias("nodes"), F.max("more").alias("more"))
-    sums = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_vertices"), F.sum(F.col("label").cast("long")).alias("n_labelled"))
+    nodes = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "name", status))), ",")
+    sums = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_vertices"), F.sum(F.col("label").cast("long")).alias("n_labelled"), nodes.alias("nodes"))
     edges = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"))
-    return sums.join(edges, keys, "left").join(types, keys).join(names, keys).withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    return sums.join(edges, keys, "left").join(types, keys).withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -115,9 +115,9 @@ def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
 
 
 def write_snapshots(vertices: DataFrame, pairs: DataFrame, sequence: DataFrame, path: str) -> None:
-    """The snapshot store: three Parquet tables."""
+    """The snapshot store: three Parquet tables, each in a folder for every category where it has that column."""
     for name, rows in (("vertices", vertices), ("edges", pairs), ("snapshot_index", sequence)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.write.mode("overwrite").partitionBy([c for c in ("category",) if c in rows.columns and len(rows.columns) > 1]).parquet(f"{path}/{name}")
 
 
 def read_snapshots(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

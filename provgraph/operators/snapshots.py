@@ -16,7 +16,7 @@ def time_snapshots(edges: DataFrame, width_us: int = FIVE_MINUTES, keys: list[st
     keys = keys or []
     timed = edges.where("us is not null")
     low = timed.groupBy(*keys).agg(F.min("us").alias("low"))
-    joined = timed.join(F.broadcast(low), keys) if keys else timed.crossJoin(F.broadcast(low))
+    joined = timed.join(low, keys) if keys else timed.crossJoin(F.broadcast(low))
     return joined.withColumn("snapshot_id", F.floor((F.col("us") - F.col("low")) / width_us)).drop("low")
 
 

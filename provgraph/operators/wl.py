@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.cluster import dense_ids
+from provgraph.cluster import checkpointed, dense_ids
 from provgraph.functions import hash60, uniform
 
 
@@ -19,17 +19,18 @@ def neighbours(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def rooted_subgraphs(vertices: DataFrame, pairs: DataFrame, keys: list[str], depth: int, hashed: bool = False) -> DataFrame:
     """``depth``, ``rsg`` of every vertex for all depths up to ``depth``; ``hashed`` keeps each round's text at 32 characters.
 
-    A round is a join of the neighbours' last texts, sorted and put behind the vertex's own.
+    A round is a join of the neighbours' last texts, sorted and put behind the vertex's own. Neighbours and each round's state
+    are written, so the plan of a round does not hold those before it.
     """
-    near = neighbours(pairs, keys)
+    near = checkpointed(neighbours(pairs, keys)) if depth else None
     shrink = F.md5 if hashed else (lambda c: c)
-    state = vertices.select(*keys, "name", shrink(F.array_join("properties", " ")).alias("rsg"))
+    state = checkpointed(vertices.select(*keys, "name", shrink(F.array_join("properties", " ")).alias("rsg")))
     rounds = [state.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
         seen = near.join(state.withColumnRenamed("name", "other"), [*keys, "other"])
         parts = seen.groupBy(*keys, "name").agg(F.array_join(F.sort_array(F.collect_list(F.concat("actions", F.lit(":"), "rsg"))), "_").alias("parts"))
         grown = F.concat("rsg", F.lit("-("), "parts", F.lit(")"))
-        state = state.join(parts, [*keys, "name"], "left").select(*keys, "name", F.when(F.col("parts").isNull(), F.col("rsg")).otherwise(shrink(grown)).alias("rsg"))
+        state = checkpointed(state.join(parts, [*keys, "name"], "left").select(*keys, "name", F.when(F.col("parts").isNull(), F.col("rsg")).otherwise(shrink(grown)).alias("rsg")))
         rounds.append(state.withColumn("depth", F.lit(d)))
     out = rounds[0]
     for r in rounds[1:]:
@@ -62,18 +63,41 @@ def xor_rounds(labels: DataFrame, near: DataFrame, keys: list[str], rounds: int)
     """``round``, ``label`` of every node after each round; ``labels``: ``name``, ``label`` (text), ``near``: typed neighbours.
 
     A new label is the hash of the old one XOR the hashes of (type, neighbour's label), so the neighbours' order does not
-    matter and partial aggregates combine before the shuffle.
+    matter and partial aggregates combine before the shuffle. Each round's state is written.
     """
-    state, out = labels.select(*keys, "name", "label"), None
+    state, out = checkpointed(labels.select(*keys, "name", "label")), None
+    near = checkpointed(near)
     for r in range(1, rounds + 1):
         seen = near.join(state.withColumnRenamed("name", "other").withColumnRenamed("label", "seen"), [*keys, "other"])
         mixed = seen.groupBy(*keys, "name").agg(F.bit_xor(hash60(F.concat("type", F.lit("|"), "seen"))).alias("mix"))
-        state = state.join(mixed, [*keys, "name"]).select(*keys, "name", hash60(F.col("label")).bitwiseXOR(F.col("mix")).cast("string").alias("label"))
+        state = checkpointed(state.join(mixed, [*keys, "name"]).select(*keys, "name", hash60(F.col("label")).bitwiseXOR(F.col("mix")).cast("string").alias("label")))
         now = state.withColumn("round", F.lit(r))
         out = now if out is None else out.unionByName(now)
     return out
 
 
+def carried_labels(state: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels to start a snapshot's rounds from: those that a node has from earlier snapshots, else its first. Both: ``name``, ``label``."""
+    old = state.select("name", F.col("label").alias("old"))
+    return labels.join(old, "name", "left").select("name", F.coalesce("old", "label").alias("label"))
+
+
+def persistent_rounds(snapshots: list[tuple[DataFrame, DataFrame]], rounds: int) -> DataFrame:
+    """Rounds over snapshots in time order, where a node keeps its last label from one snapshot to the next.
+
+    Each snapshot is (first labels: ``name``, ``label``; typed neighbours). Returns ``snapshot`` (its place), ``round``,
+    ``name``, ``label``. Nodes that a snapshot lacks keep theirs.
+    """
+    state = out = None
+    for at, (labels, near) in enumerate(snapshots):
+        start = labels.select("name", "label") if state is None else carried_labels(state, labels)
+        done = checkpointed(xor_rounds(start.withColumn("snapshot", F.lit(at)), near.withColumn("snapshot", F.lit(at)), ["snapshot"], rounds))
+        last = done.where(F.col("round") == rounds).select("name", "label")
+        state = checkpointed(last if state is None else last.union(state.join(last, "name", "left_anti")))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 def label_histogram(rounds: DataFrame, keys: list[str]) -> DataFrame:
     """How often each label came up, one for each node and round."""
     return rounds.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("cnt"))

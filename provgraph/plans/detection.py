@@ -145,11 +145,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         FROM sv JOIN classed USING (snapshot_id) WHERE class = 'FP' AND (type = 'NETFLOW_OBJECT' OR type = 'SUBJECT_PROCESS' AND CAST(substr(name, 2) AS INT) % 10 = 3))) WHERE place <= 5""", LABELS, CLASSED)),
     "fn_report": (lambda s, d: report.missed(*classed(s, d), ["snapshot_id"]), over_edges("SELECT snapshot_id, sum(label)::BIGINT AS n_labelled, avg(label) * 100 AS ratio_pct FROM sv JOIN classed USING (snapshot_id) WHERE class = 'FN' GROUP BY snapshot_id", LABELS, CLASSED)),
     "tn_summary": (lambda s, d: report.quiet_summary(*classed(s, d)), over_edges("SELECT snapshot_id, (SELECT count(*) FROM classed WHERE class = 'TN') AS n_quiet, type, count(*) AS n FROM sv WHERE snapshot_id = (SELECT min(snapshot_id) FROM classed WHERE class = 'TN') GROUP BY ALL", LABELS, CLASSED)),
-    "node_report": (node_report, over_edges("""SELECT a.snapshot_id, n_vertices, n_labelled, n_edges, types, nodes, greatest(n_vertices - 10, 0) AS more FROM
+    "node_report": (node_report, over_edges("""SELECT a.snapshot_id, n_vertices, n_labelled, n_edges, types, nodes FROM
         (SELECT snapshot_id, count(*) AS n_vertices, sum(label)::BIGINT AS n_labelled FROM sv GROUP BY ALL) a
         JOIN (SELECT snapshot_id, count(DISTINCT (actorID, objectID)) AS n_edges FROM snap GROUP BY ALL) b USING (snapshot_id)
         JOIN (SELECT snapshot_id, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS types FROM (SELECT snapshot_id, type, count(*) AS n FROM sv GROUP BY ALL) GROUP BY ALL) c USING (snapshot_id)
-        JOIN (SELECT snapshot_id, string_agg(x, ',' ORDER BY x) AS nodes FROM (SELECT snapshot_id, name || ':' || CASE WHEN label = 1 THEN 'malicious' ELSE 'benign' END AS x, row_number() OVER (PARTITION BY snapshot_id ORDER BY name) AS k FROM sv) WHERE k <= 10 GROUP BY ALL) f USING (snapshot_id)""", LABELS, CLASSED)),
+        JOIN (SELECT snapshot_id, string_agg(x, ',' ORDER BY x) AS nodes FROM (SELECT snapshot_id, name || ':' || CASE WHEN label = 1 THEN 'malicious' ELSE 'benign' END AS x FROM sv) GROUP BY ALL) f USING (snapshot_id)""", LABELS, CLASSED)),
     "snapshot_store_roundtrip": (store_roundtrip, over_edges("SELECT snapshot_id, n_vertices, frequency, n_edges FROM (SELECT snapshot_id, count(*) AS n_vertices, sum(frequency)::BIGINT AS frequency FROM sv GROUP BY ALL) JOIN (SELECT snapshot_id, count(DISTINCT (actorID, objectID)) AS n_edges FROM snap GROUP BY ALL) USING (snapshot_id)", LABELS, CLASSED)),
     "triple_split": (lambda s, d: embed.triple_split(triples(s, d)).groupBy("part").agg(F.count(F.lit(1)).alias("n")), over_edges("""SELECT part, count(*) AS n FROM (SELECT CASE WHEN u <= 0.8 THEN 'train' WHEN u <= 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'validation' END AS part
         FROM (SELECT (('0x' || substr(md5(h || '|' || r || '|' || t), 1, 15))::BIGINT + 1)::DOUBLE / 1152921504606846976.0::DOUBLE AS u FROM tri)) GROUP BY part""", TRIPLES)),

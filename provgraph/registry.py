@@ -28,10 +28,10 @@ class CdmSource:
     per_subgraph: Callable[[DataFrame], DataFrame] | None = None
 
     def load(self, spark: SparkSession, base: str) -> DataFrame:
-        return cdm.extract_events(cdm.read_lines(spark, base))
+        return cdm.load_edges(spark, base)
 
     def snapshots(self, edges: DataFrame) -> DataFrame:
-        found = snapshots.time_snapshots(edges, self.width_us)
+        found = snapshots.time_snapshots(edges, self.width_us, ["scene", "category"])
         return self.per_subgraph(found) if self.per_subgraph else found
 
 
@@ -43,8 +43,7 @@ class DotSource:
     rate: float = 0.3
 
     def load(self, spark: SparkSession, base: str) -> DataFrame:
-        statements = dot.read_statements(spark, base)
-        return dot.typed_edges(dot.extract_edges(statements), dot.extract_nodes(statements))
+        return dot.load_edges(spark, base)
 
     def snapshots(self, edges: DataFrame) -> DataFrame:
         return snapshots.node_budget_snapshots(edges, self.budget, self.rate)
@@ -94,6 +93,8 @@ class Autoregression:
     weights: DataFrame | None = field(default=None, repr=False)
 
     def train(self, seq: DataFrame) -> DataFrame:
+        if (n := seq.count()) <= self.lags:
+            raise ValueError(f"{n} snapshots do not make a sequence of {self.lags}")
         windows = detect.lag_windows(seq, self.lags)
         self.weights = detect.fit_autoregression(detect.gram(detect.lagged_values(windows), self.lags), self.ridge, self.lags)
         return self.weights

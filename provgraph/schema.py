@@ -31,6 +31,13 @@ CDM_EVENT = StructType([StructField("datum", StructType([StructField(f"{CDM}.Eve
     StructField("predicateObject2Path", _text),
 ]))]))])
 
+_map = StructType([StructField("map", MapType(StringType(), StringType()))])
+CDM_NODE = StructType([StructField("datum", StructType([
+    StructField(f"{CDM}.NetFlowObject", StructType([StructField(c, StringType()) for c in ("uuid", "localAddress", "localPort", "remoteAddress", "remotePort")])),
+    StructField(f"{CDM}.Subject", StructType([StructField("uuid", StringType()), StructField("cmdLine", _text), StructField("properties", _map)])),
+    StructField(f"{CDM}.FileObject", StructType([StructField("uuid", StringType()), StructField("filename", StringType()), StructField("baseObject", StructType([StructField("properties", _map)]))])),
+]))])
+
 
 def entity_types(spark: SparkSession) -> DataFrame:
     """The type lookup: ``code``, ``type``."""
