@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from provgraph.cluster import checkpointed, dense_ids
@@ -9,7 +10,7 @@ from provgraph.operators import detect, embed, graph, report, snapshots
 from provgraph.sources import tables
 
 from .base import LABELS, Query, over_edges
-from .features import counts
+from .features import COUNTS, DAY_CTE, HASHED, counts
 from .graphs import SNAP, TRIPLES, triples
 
 SEQ = "v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS seq, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label FROM embeddings)"
@@ -100,11 +101,23 @@ def store_roundtrip(s, d):
 
 
 def als(s, d):
+    """Whether each snapshot's vector lies nearer to the features that it has than to drawn ones that it lacks."""
     bags = counts(s, d)
     vocabulary = dense_ids(bags, "rsg", "rsg_id")
     rated = checkpointed(bags.join(vocabulary, "rsg").select("rsg_id", "cnt", F.col("day").alias("seq")))
     model = embed.snapshot_factors(rated, 16, 3)
-    return embed.snapshot_vectors(model).select("seq", F.size("vec").alias("dim"))
+    vectors = embed.snapshot_vectors(model)
+    features = embed.feature_vectors(model, vocabulary).select("rsg_id", F.col("vec").alias("other"))
+    product = F.aggregate(F.zip_with("vec", "other", lambda x, y: (x * y).cast("double")), F.lit(0.0).cast("double"), lambda t, x: t + x)
+    mean = lambda rows, name: rows.join(vectors, "seq").join(features, "rsg_id").groupBy("seq").agg(F.avg(product).alias(name))
+    both = mean(rated.select("seq", "rsg_id"), "own").join(mean(embed.negatives(rated, vocabulary, 100), "lacking"), "seq")
+    return vectors.join(both, "seq").select("seq", F.size("vec").alias("dim"), (F.col("own") > F.col("lacking")).alias("own_nearer"))
+
+
+def word_vectors(s, d):
+    found = embed.word_vectors(triples(s, d), rounds=1).select("word", vector_to_array("vector").alias("vec"))
+    length = F.aggregate("vec", F.lit(0.0).cast("double"), lambda t, x: t + x * x)
+    return found.select("word", F.size("vec").alias("dim"), (length > 0).alias("filled"))
 
 
 def vector_lookup(s, d):
@@ -155,7 +168,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         FROM (SELECT (('0x' || substr(md5(h || '|' || r || '|' || t), 1, 15))::BIGINT + 1)::DOUBLE / 1152921504606846976.0::DOUBLE AS u FROM tri)) GROUP BY part""", TRIPLES)),
     "vector_lookup": (vector_lookup, over_edges("""SELECT name, CASE WHEN name IN (SELECT h FROM tri) OR name = 'EVENT_CLICK' AND name IN (SELECT r FROM tri) THEN 'entity' WHEN name IN (SELECT r FROM tri) THEN 'relation' END AS kind,
         CASE WHEN name IN (SELECT h FROM tri) OR name IN (SELECT r FROM tri) THEN length(name)::DOUBLE END AS x FROM (SELECT t AS name FROM tri UNION SELECT r FROM tri)""", TRIPLES)),
-    "snapshot_embeddings_als": (als, None),
-    "word2vec_relations": (lambda s, d: embed.word_vectors(triples(s, d), rounds=1).select("word"), None),
-    "transe_vectors": (lambda s, d: embed.translation_vectors(triples(s, d)).select("kind", "name", F.size("vec").alias("dim")), None),
+    "snapshot_embeddings_als": (als, over_edges("SELECT DISTINCT day AS seq, 16 AS dim, true AS own_nearer FROM counts", DAY_CTE, HASHED, COUNTS)),
+    "word2vec_relations": (word_vectors, over_edges("SELECT DISTINCT word, 30 AS dim, true AS filled FROM (SELECT h AS word FROM tri UNION SELECT r FROM tri UNION SELECT t FROM tri)", TRIPLES)),
+    "transe_vectors": (lambda s, d: embed.translation_vectors(triples(s, d)).select("kind", "name", F.size("vec").alias("dim")), over_edges("SELECT kind, name, 16 AS dim FROM (SELECT 'entity' AS kind, h AS name FROM tri UNION SELECT 'entity', t FROM tri UNION SELECT 'relation', r FROM tri)", TRIPLES)),
 }

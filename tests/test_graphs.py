@@ -265,3 +265,16 @@ def test_labels_persist_over_snapshots(spark):
         given.append((near.select("name", F.col("name").alias("label")).distinct(), near))
     found = wl.persistent_rounds(given, 2)
     assert {(r.snapshot, r["round"], r.name, r.label) for r in found.collect()} == want
+
+
+def test_translations_learn(spark):
+    """Head + relation comes nearer to the tail than it starts, and nearer than to other tails."""
+    facts = spark.createDataFrame([(f"h{i}", "r", f"t{i}") for i in range(12)], "h string, r string, t string")
+
+    def distances(epochs):
+        v = {(r.kind, r.name): r.vec for r in embed.translation_vectors(facts, 8, epochs, 0.1).collect()}
+        far = lambda i, j: sum((a + b - c) ** 2 for a, b, c in zip(v[("entity", f"h{i}")], v[("relation", "r")], v[("entity", f"t{j}")]))
+        return sum(far(i, i) for i in range(12)) / 12, sum(far(i, j) for i in range(12) for j in range(12) if i != j) / 132
+
+    before, after = distances(0), distances(8)
+    assert after[0] < before[0] and after[0] < after[1]
