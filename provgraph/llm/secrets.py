@@ -56,7 +56,9 @@ def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[
     least = [f[0] for f in by_end] + [len(text) + 1]
     for i in range(len(by_end) - 1, -1, -1):
         least[i] = min(least[i], least[i + 1])
-    spans = {m.span() for m in TOKEN.finditer(text) if MIXED.match(m[0])} | {m.span(1) for m in NAMED.finditer(text)}
+    spans = {m.span() for m in TOKEN.finditer(text) if MIXED.match(m[0])}
+    if ":" in text or "=" in text:
+        spans |= {m.span(1) for m in NAMED.finditer(text)}
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
         if least[bisect.bisect_right(ends, start)] >= end and (not out or start >= out[-1][1]):
