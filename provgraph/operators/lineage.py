@@ -77,32 +77,41 @@ def normalised(weights: DataFrame, source: str = "src", weight: str = "weight")
     return weights.withColumn(weight, F.col(weight) / F.sum(weight).over(Window.partitionBy(source)))
 
 
-def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame, longest: int = 4) -> DataFrame:
+def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame, longest: int = 11) -> DataFrame:
     """``length`` of wanted pairs (``src``, ``dst``): fewest vertices on an undirected simple path that passes a resource.
 
-    Paths of all pairs grow together, one vertex each round and without repeats; a pair that has found its length stops,
-    so later rounds carry only the unresolved ones. Pairs without such a path of up to ``longest`` vertices are absent.
+    Half paths grow from both ends in turn, one vertex each round, and meet in a vertex; halves over the same inner vertices
+    are one. A pair that has found its length stops, and the search ends when no pair is open or no half can grow. Pairs
+    without such a path of up to ``longest`` vertices are absent, and so are pairs of a node with itself.
     """
     near = pairs.select("src", "dst").union(pairs.select("dst", "src")).where("src <> dst").distinct().toDF("at", "next")
-    resources = types.where(F.col("type").isin(*RESOURCE_TYPES)).select(F.col("name").alias("next"), F.lit(True).alias("resource"))
+    resources = types.where(F.col("type").isin(*RESOURCE_TYPES)).select(F.col("name").alias("next"), F.lit(True).alias("resource")).distinct()
     near = checkpointed(near.join(resources, "next", "left").select("at", "next", F.coalesce("resource", F.lit(False)).alias("resource")))
-    open_ = checkpointed(wanted.select("src", "dst").where("src <> dst").distinct())
-    paths = open_.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("seen"), F.lit(False).alias("passed"))
-    done = None
-    for length in range(2, longest + 1):
-        grown = paths.join(near, "at").where(~F.array_contains("seen", F.col("next")))
-        found = grown.where((F.col("next") == F.col("dst")) & F.col("passed")).select("src", "dst").distinct().withColumn("length", F.lit(length))
-        found = checkpointed(found)
-        done = found if done is None else done.unionByName(found)
-        if length < longest:
-            onward = grown.where(F.col("next") != F.col("dst")).join(found, ["src", "dst"], "left_anti")
-            paths = onward.select("src", "dst", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), (F.col("passed") | F.col("resource")).alias("passed"))
-            if length >= 3:
-                paths = checkpointed(paths)
+    asked = checkpointed(wanted.select("src", "dst").where("src <> dst").distinct())
+    done = asked.limit(0).withColumn("length", F.lit(0))
+
+    def grown(halves: DataFrame) -> DataFrame:
+        onward = halves.join(done, ["src", "dst"], "left_anti").join(near, "at").where("next <> src and next <> dst and not array_contains(inner, next)")
+        inner = F.array_sort(F.concat("inner", F.array("next"))).alias("inner")
+        return checkpointed(onward.select("src", "dst", F.col("next").alias("at"), inner, (F.col("passed") | F.col("resource")).alias("passed")).distinct())
+
+    start = lambda end: asked.select("src", "dst", F.col(end).alias("at"), F.array().cast("array<string>").alias("inner"), F.lit(False).alias("passed"))
+    ahead, behind = grown(start("src")), grown(start("dst"))
+    for length in range(3, longest + 1):
+        met = ahead.join(behind.toDF("src", "dst", "at", "others", "too"), ["src", "dst", "at"]).where("(passed or too) and size(array_intersect(inner, others)) = 1")
+        done = checkpointed(done.union(met.join(done, ["src", "dst"], "left_anti").select("src", "dst").distinct().withColumn("length", F.lit(length))))
+        if length == longest:
+            break
+        if length % 2:
+            grows = ahead = grown(ahead)
+        else:
+            grows = behind = grown(behind)
+        if grows.isEmpty():
+            break
     return done
 
 
-def process_weights(pairs: DataFrame, types: DataFrame, base: float = 1.0, delta: float = 5.0, longest: int = 4) -> DataFrame:
+def process_weights(pairs: DataFrame, types: DataFrame, base: float = 1.0, delta: float = 5.0, longest: int = 11) -> DataFrame:
     """Weights of edges between processes, raised where a resource lies on a path between their ends, normalised per source."""
     kind = lambda end: types.toDF(end, f"{end}_type")
     between = pairs.select("src", "dst").join(kind("src"), "src").join(kind("dst"), "dst").where((F.col("src_type") == PROCESS_TYPE) & (F.col("dst_type") == PROCESS_TYPE)).select("src", "dst").distinct()

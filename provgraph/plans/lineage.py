@@ -22,7 +22,10 @@ res AS (SELECT name FROM ty WHERE type <> 'SUBJECT_PROCESS'),
 l3 AS (SELECT DISTINCT src, dst FROM pp JOIN un x ON x.a = src JOIN un y ON y.a = x.b AND y.b = dst WHERE src <> dst AND x.b IN (SELECT name FROM res)),
 l4 AS (SELECT DISTINCT src, dst FROM (SELECT * FROM pp WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM l3)) JOIN un x ON x.a = src JOIN un y ON y.a = x.b JOIN un z ON z.a = y.b AND z.b = dst
   WHERE x.b NOT IN (src, dst) AND y.b NOT IN (src, dst) AND x.b <> y.b AND (x.b IN (SELECT name FROM res) OR y.b IN (SELECT name FROM res))),
-lens AS (SELECT src, dst, 3 AS length FROM l3 UNION ALL SELECT src, dst, 4 FROM l4)"""
+walk(src, dst, here, seen, passed, n) AS (
+  SELECT src, dst, src, [src], false, 1 FROM pp WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM l3) AND (src, dst) NOT IN (SELECT (src, dst) FROM l4)
+  UNION ALL SELECT w.src, w.dst, u.b, list_append(w.seen, u.b), w.passed OR u.b IN (SELECT name FROM res), w.n + 1 FROM walk w JOIN un u ON u.a = w.here WHERE w.n < 11 AND w.here <> w.dst AND NOT list_contains(w.seen, u.b)),
+lens AS (SELECT src, dst, 3 AS length FROM l3 UNION ALL SELECT src, dst, 4 FROM l4 UNION ALL SELECT src, dst, min(n) FROM walk WHERE here = dst AND passed GROUP BY ALL)"""
 
 
 def lp_cte(rounds: int) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from provgraph.functions import mask_events, mask_events_in_array, mask_events_in_map
 from provgraph.operators import community, detect, edges, embed, graph, lineage, report, snapshots, wl
+from provgraph.plans.lineage import PATHS
 from provgraph.schema import entity_types
 from provgraph.sources import cdm, dot
 
@@ -48,6 +51,44 @@ def test_process_weights(toy):
     assert {(r.dst, r.length) for r in lineage.resource_path_lengths(wanted, *toy).collect()} == {("P1", 4), ("P2", 4)}
 
 
+def shortest_by_resource(pairs, kinds, src, dst, longest):
+    """All simple paths, one after another."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    best, stack = None, [[src]]
+    while stack:
+        path = stack.pop()
+        for node in near.get(path[-1], ()):
+            if node == dst and any(kinds[n] != "SUBJECT_PROCESS" for n in path[1:]):
+                best = min(best or longest, len(path) + 1)
+            elif node != dst and node not in path and len(path) + 2 <= longest:
+                stack.append([*path, node])
+    return best
+
+
+def test_resource_paths_of_up_to_eleven_vertices(spark, against_sql, small):
+    ring = [(f"P{i}", f"P{i + 1}") for i in range(9)] + [("P9", "F0"), ("P0", "F0"), ("P0", "P9")]  # eleven vertices from P0 to P1
+    rng = random.Random(5)
+    sparse = [(f"Q{rng.randrange(14)}", rng.choice("QG") + str(rng.randrange(14))) for _ in range(24)]
+    lone = [("R0", "R1"), ("R1", "R1"), ("R1", "R2")]
+    pairs = ring + sparse + lone
+    kinds = {n: "SUBJECT_PROCESS" if n[0] in "PQR" else "FILE_OBJECT_BLOCK" for pair in pairs for n in pair}
+    g = spark.createDataFrame(pairs, "src string, dst string")
+    ty = spark.createDataFrame(list(kinds.items()), "name string, type string")
+    wanted = {(a, b) for a, b in pairs if a != b and kinds[a] == kinds[b] == "SUBJECT_PROCESS"}
+    for longest in (10, 11):
+        want = {(a, b, n) for a, b in wanted if (n := shortest_by_resource(pairs, kinds, a, b, longest)) is not None and n <= longest}
+        found = lineage.resource_path_lengths(spark.createDataFrame(list(wanted), "src string, dst string"), g, ty, longest).cache()
+        assert {tuple(r) for r in found.collect()} == want
+        assert (("P0", "P1", 11) in want) == (longest == 11)
+    tables = "SELECT DISTINCT src, dst FROM pairs_"
+    against_sql(found, f"WITH RECURSIVE g AS ({tables}), ty AS (SELECT * FROM kinds_), {PATHS} SELECT src, dst, length FROM lens", small, pairs_=g.toPandas(), kinds_=ty.toPandas())
+    assert lineage.resource_path_lengths(g.limit(0), g, ty).collect() == []
+
+
 def test_weight_listing(spark):
     rows = spark.createDataFrame([("a", "b", 0.5)], "src string, dst string, weight double")
     assert lineage.weight_listing(rows).first().line == "a -> b: 0.5000"
