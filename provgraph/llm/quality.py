@@ -406,7 +406,7 @@ def score_table(docs: DataFrame, labels: DataFrame, quantile: float, seed: str,
     return result.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("surprise", "__mean")
 
 
-MADE = ("n_words", "perplexity", "threshold", "keep", "surprise", "mean")
+MADE = ("n_words", "perplexity", "threshold", "keep", "surprise", "mean", "__key", "__language", "__mean")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -440,11 +440,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     still lies between different parts, so the pairs of a group of copies grow with its size and not with its square.
     Groups above ``CROWD`` are dealt to blocks; the members outside the group's largest part meet every block in the end.
     Equal texts are one node from the start, empty and null texts one group.
-    Returns the columns of ``docs``; repeated rows leave one; empty input gives no rows.
+    Returns the columns of ``docs``, whatever their names; repeated rows leave one; empty input gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    packed = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    keyed = packed.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     common = spark.sparkContext.broadcast(common_shingles(keyed.select("text_key", "text"), size))
 
     def sets(batches):
@@ -508,7 +509,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataF
     winners = grouped.groupBy("root").agg(F.min_by(F.struct("text_key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("w")).select(F.col("w.text_key").alias("text_key"), F.coalesce("w.doc_id", F.lit(-1)).alias("__id"), F.col("w.doc_id").isNull().alias("__null"))
     marked = keyed.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__null", F.col("doc_id").isNull())
     once = F.row_number().over(Window.partitionBy("text_key", "__id", "__null").orderBy(F.lit(0)))
-    return marked.join(winners, ["text_key", "__id", "__null"]).withColumn("__n", once).where("__n = 1").select(docs.columns)
+    return marked.join(winners, ["text_key", "__id", "__null"]).withColumn("__n", once).where("__n = 1").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,31 @@ def test_empty_input(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, none, SMALL).count() == 0
 
 
+def test_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, ties and columns that the stages make themselves."""
+    prose = spark.read.parquet(f"{SMALL}/documents.parquet").join(spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").orderBy("doc_id").first().text
+    parts = [c + v for c in "bdfghklmnprstvz" for v in "aeiou"]
+    long = " ".join(parts[i * 7919 % 75] + parts[i * i % 71] for i in range(60_000))
+    key = "token = abcdef0123456789"
+    rows = [(1, prose, "en", "web"), (1, prose, "en", "web"), (2, prose, None, None), (None, prose, "en", "web"), (3, None, "en", "web"), (4, "", None, "web"), (5, " \t ", "xx", None), (None, None, None, None), (6, long, "en", "b"), (7, key, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    for extra in ("size", "keep", "ids", "node", "root", "copies", "__key", "text_key"):
+        docs = docs.withColumn(extra, F.lit("x"))
+    stages = dict(corpus_pipeline.STAGES)
+    given = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    texts = lambda name, df=docs: sorted(((r.doc_id, r.text) for r in stages[name](spark, df, SMALL).collect()), key=repr)
+
+    assert (rated := texts("quality")) and set(rated) <= set(given) and rated.count((1, prose)) == 2
+    assert texts("deduplication") == sorted([(1, prose), (3, None), (6, long), (7, key)], key=repr)
+    clean = texts("secrets")
+    assert len(clean) == len(given) and "abcdef0123456789" not in dict(clean)[7] and (6, long) in clean and (3, None) in clean and (4, "") in clean
+    mixed = texts("mixing")
+    assert set(mixed) <= set(given) and mixed == texts("mixing")
+    found = stages["pieces"](spark, docs, SMALL).collect()
+    assert len(found) == len(given)
+    assert all((r.ids is None and r.n_pieces is None) if text is None else (r.round_trip and r.n_pieces == len(r.ids)) for r, text in ((r, dict(given).get(r.doc_id)) for r in found if r.doc_id is not None))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
     found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

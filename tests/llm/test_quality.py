@@ -88,7 +88,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_hard_rows(spark):
-    docs = spark.createDataFrame([(i, "the cat sat on the mat again " * (1 + i % 3), "en", "p") for i in range(60)] + [(100, None, "en", "p"), (101, "", None, "p"), (None, "zq xw", "xx", "p"), (102, "zz qq", "en", "p"), (102, "zz qq", "en", "p")], "doc_id long, text string, lang string, keep string")
+    docs = spark.createDataFrame([(i, "the cat sat on the mat again " * (1 + i % 3), "en", "p") for i in range(60)] + [(100, None, "en", "p"), (101, "", None, "p"), (None, "zq xw", "xx", "p"), (102, "zz qq", "en", "p"), (102, "zz qq", "en", "p")], "doc_id long, text string, lang string, keep string").withColumns({c: quality.F.lit("x") for c in ("mean", "__key", "__language", "__mean")})
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1), (3, 0), (5, 1), (5, 1)], "doc_id long, quality int")
     found = quality.rate_quality(docs, labels)
     assert found.columns == ["doc_id", "lang", "n_words", "perplexity", "threshold", "keep"] and found.count() == 65

@@ -105,9 +105,9 @@ def test_near_duplicates(spark, monkeypatch, crowd):
     least = {}
     for i, (d, _) in enumerate(rows):
         least[root[i]] = min(least.get(root[i], d), d) if d is not None else None
-    df = spark.createDataFrame([(d, t, "extra") for d, t in rows], "doc_id long, text string, node string")
+    df = spark.createDataFrame([(d, t, *["extra"] * 4) for d, t in rows], "doc_id long, text string, node string, text_key string, __id string, row string")
     found = simhash.near_duplicates(df)
-    assert found.columns == df.columns
+    assert found.columns == df.columns and found.where("node = 'extra' and text_key = 'extra' and __id = 'extra' and row = 'extra'").count() == found.count()
     assert sorted((r.doc_id for r in found.collect()), key=repr) == sorted(least.values(), key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
