@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(df: DataFrame, made: list[str]) -> list[str]:
+    """The columns of ``df`` that stay beside those that an operator makes; names differ by more than case."""
+    taken = {name.lower() for name in made}
+    return [name for name in df.columns if name.lower() not in taken]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """The batches of a task in slices of a few rows, so that little of a batch stands as Python objects at a time.
 

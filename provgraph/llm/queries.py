@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
+from .filters import OP11_SQL, op11_audit
+from .middle import OP13_SQL, op13_middle
 from .mixing import OP4_SQL, op4_mix
+from .privacy import op12_pii
 from .quality import op3_quality
 from .secrets import op10_secrets
 from .simhash import op8_simhash
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "op11_audit": op11_audit,
+    "op12_pii": op12_pii,
+    "op13_middle": op13_middle,
 }
-ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op4_mix": OP4_SQL, "op6_warc": OP6_SQL, "op9_chat": OP9_SQL, "op11_audit": OP11_SQL, "op13_middle": OP13_SQL}
