@@ -63,14 +63,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own: on one
-    machine a temporary one, on a cluster one beside the warehouse, never an executor's own disk."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local master uses a temporary
+    folder of its own; a cluster must name one, because no other folder is known to be shared."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder and context.master.split("[")[0] == "local":
-            folder = tempfile.mkdtemp(prefix="provgraph-checkpoints-")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/provgraph-checkpoints")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="provgraph-checkpoints-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import beside, table, word_count, written
 
-#: Size classes per factor e of the size, and the parts that each class is dealt to, so that one source's rows spread.
-CLASSES, PARTS = 20, 16
+#: Size classes per factor e of the size; the least number of parts that each class is dealt to, so that one source's rows spread, and the
+#: documents of the whole table for each part beyond.
+CLASSES, PARTS, PART_DOCS = 20, 16, 1_000_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -52,20 +53,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     number of a document is the count of all earlier (class, part) cells, a short table, plus its place in its own cell,
     so no task holds a source. Words are counted once, and the sizes stand in the shared folder.
 
-    Null source: a source of its own, last in order. Null or blank text: size 0, taken 0. Null doc_id: part 0, first in
+    Null source: a source of its own, last in order. Null or blank text: size 0, taken 0. Null doc_id: dealt by its text, first in
     order. Repeated rows count as separate documents; of equal ids and sizes the text
     decides the order, so reruns agree. A corpus without words: all targets 0. Empty input: no rows.
     """
-    made = ["size", "source_size", "target", "copies", "taken", "source_key", "cell_class", "cell_part", "earlier", "rate", "offset", "place"]
+    made = ["size", "source_size", "target", "copies", "taken", "source_key", "cell_class", "cell_part", "earlier", "rate", "offset", "place", "cell_hash"]
     counted = size if size is not None else word_count(F.col("text"))
-    kept = [c for c in docs.columns if c not in made] if carry else ["doc_id"]
+    kept = beside(docs, made) if carry else ["doc_id"]
     cell = ["source_key", "cell_class", "cell_part"]
 
+    parts = max(PARTS, docs.count() // PART_DOCS)
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")), 1, 8), 16, 10).cast("long")
+
     def cells(columns: list[str]) -> DataFrame:
         return (
-            docs.select(*columns, counted.alias("size"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("source_key"))
+            docs.select(*columns, counted.alias("size"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("source_key"), hashed.alias("cell_hash"))
             .withColumn("cell_class", F.when(F.col("size") > 0, F.floor(F.ln("size") * CLASSES)).otherwise(-1))
-            .withColumn("cell_part", F.coalesce(F.pmod("doc_id", F.lit(PARTS)), F.lit(0)))
+            .withColumn("cell_part", F.col("cell_hash") % parts)
+            .drop("cell_hash")
         )
 
     sized = written(cells(["doc_id"]))
@@ -99,10 +104,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce('=' || source, 'null') AS source_key
+         coalesce('=' || source, 'null') AS source_key, ('0x' || substr(md5(concat_ws(':', doc_id, text)), 1, 8))::BIGINT AS part_hash
   FROM documents
 ), c AS (
-  SELECT *, CASE WHEN size > 0 THEN floor(ln(size) * 20)::BIGINT ELSE -1 END AS cls, coalesce(((doc_id % 16) + 16) % 16, 0) AS part FROM d
+  SELECT *, CASE WHEN size > 0 THEN floor(ln(size) * 20)::BIGINT ELSE -1 END AS cls, part_hash % (SELECT greatest(16, count(*) // 1000000) FROM documents) AS part FROM d
 ), s AS (
   SELECT source_key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY source_key
 ), r AS (

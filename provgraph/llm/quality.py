@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few, scratch, ship_package, slices, table, written
+from .common import beside, checkpointed, few, scratch, ship_package, slices, table, written
 from .simhash import pieces
 
 #: Words that the model tells apart, most frequent first; all others are one class. Bounds what is broadcast.
@@ -236,8 +236,10 @@ def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> Data
 
 def fit(texts: DataFrame, most_words: int = VOCABULARY, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all ``texts`` (``text``) and its counts in shards (``shard``, ``keys``, ``counts``)."""
+    if most_words > 1 << _BITS:
+        raise ValueError(f"a vocabulary has at most {1 << _BITS} words")
     ship_package(texts.sparkSession)
-    vocabulary, n_words = count_words(texts, min(most_words, 1 << _BITS) - 3)
+    vocabulary, n_words = count_words(texts, most_words - 3)
     shards = max(LEAST_SHARDS, 1 << (n_words // SHARD_WORDS).bit_length())
     table_of_counts = count_bigrams(texts, vocabulary, shards)
     counts = table_of_counts.where("shard is not null").select("shard", "keys", "counts")
@@ -406,12 +408,11 @@ def score_table(docs: DataFrame, labels: DataFrame, quantile: float, seed: str,
     return result.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("surprise", "__mean")
 
 
-MADE = ("n_words", "perplexity", "threshold", "keep", "surprise", "mean", "__key", "__language", "__mean")
+MADE = ["n_words", "perplexity", "threshold", "keep", "surprise", "mean", "__key", "__language", "__mean"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    columns = [c for c in docs.columns if c not in MADE]
-    return docs.select(*columns, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("__key"))
+    return docs.select(*beside(docs, MADE), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("__key"))
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, seed: str = "trusted", vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
@@ -429,7 +430,7 @@ def rate_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, see
     input: no rows.
     """
     rated = score_table(keyed(docs), labels, quantile, seed, vocabulary, head)
-    return rated.select(*(c for c in docs.columns if c not in MADE and c != "text"), "n_words", "perplexity", "threshold", "keep")
+    return rated.select(*beside(docs, [*MADE, "text"]), "n_words", "perplexity", "threshold", "keep")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, seed: str = "trusted") -> DataFrame:
@@ -438,7 +439,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, see
     rated = score_table(keys, labels, quantile, seed, VOCABULARY, HEAD)
     rejected = few(checkpointed(rated.where("not keep").select("__key", "__language").distinct()))
     language = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
-    return keys.withColumn("__language", language).join(rejected, ["__key", "__language"], "left_anti").select([c for c in docs.columns if c not in MADE])
+    return keys.withColumn("__language", language).join(rejected, ["__key", "__language"], "left_anti").select(beside(docs, MADE))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

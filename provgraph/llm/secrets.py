@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ship_package, slices, table
+from .common import beside, ship_package, slices, table
 
 #: Fixed patterns of the base findings, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -270,7 +270,7 @@ def find_secrets(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_findings: int
     """
     ship_package(docs.sparkSession)
     made = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_doubted"]
-    kept = docs.select([c for c in docs.columns if c not in made] if carry else ["doc_id", "text"])
+    kept = docs.select(beside(docs, made) if carry else ["doc_id", "text"])
     columns = kept.columns
     at = columns.index("text")
     out_columns = columns if carry else ["doc_id"]

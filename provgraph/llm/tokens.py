@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import checkpointed, ship_package, slices, table
+from .common import beside, checkpointed, ship_package, slices, table
 
 SPACE = "▁"
 UNITS = 8
@@ -436,7 +436,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, check:
     spark = docs.sparkSession
     ship_package(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or default_model()))
-    kept = docs.select([c for c in docs.columns if c not in ("ids", "round_trip")])
+    kept = docs.select(beside(docs, ["ids", "round_trip"]))
     columns = kept.columns
     at = columns.index("text")
     made = ["ids", "round_trip"] if check else ["ids"]
@@ -467,7 +467,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     spark = encoded.sparkSession
     ship_package(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or default_model()))
-    kept = encoded.select([c for c in encoded.columns if c != "decoded"])
+    kept = encoded.select(beside(encoded, ["decoded"]))
     at = kept.columns.index("ids")
     names = [*kept.columns, "decoded"]
 
@@ -490,7 +490,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, carry: bool = True)
     spark = docs.sparkSession
     ship_package(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or default_model()))
-    kept = docs.select([c for c in docs.columns if c not in ("n_tokens", "score")] if carry else ["doc_id", "text"])
+    kept = docs.select(beside(docs, ["n_tokens", "score"]) if carry else ["doc_id", "text"])
     columns = kept.columns
     at, out = columns.index("text"), columns if carry else ["doc_id"]
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from provgraph.llm import mixing
 
@@ -41,6 +42,17 @@ def test_copies_and_columns(spark):
     assert {tuple(r) for r in mixing.mix_sources(df).select("doc_id", "copies").collect()} == {tuple(r) for r in mixed.select("doc_id", "copies").collect()}
 
 
+def test_names_by_case_and_even_ids(spark, monkeypatch):
+    """A column that differs from a made one by case gives way; ids that are multiples of the parts are spread all the same."""
+    df = hard(spark).withColumnRenamed("size", "Size").withColumn("doc_id", F.col("doc_id") * 16)
+    mixed = mixing.mix_sources(df)
+    assert mixed.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    few, monkeypatched = sorted(r.copies for r in mixed.collect()), monkeypatch.setattr(mixing, "PART_DOCS", 3)
+    assert len(few) == df.count() and monkeypatched is None
+    many = mixing.mix_sources(df).agg({"copies": "sum"}).first()[0]
+    assert abs(many - sum(few)) <= 5
+
+
 def test_empty_and_wordless(spark):
     df = hard(spark)
     assert mixing.mix_sources(df.limit(0)).count() == 0
