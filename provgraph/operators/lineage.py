@@ -77,38 +77,100 @@ def normalised(weights: DataFrame, source: str = "src", weight: str = "weight")
     return weights.withColumn(weight, F.col(weight) / F.sum(weight).over(Window.partitionBy(source)))
 
 
-def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame, longest: int = 11) -> DataFrame:
+def trimmed(near: DataFrame, ends: DataFrame, rounds: int = 3) -> DataFrame:
+    """Neighbours without dead ends: a node with one neighbour is inside no simple path. Nodes of ``ends`` (``at``) stay."""
+    for _ in range(rounds):
+        lone = near.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(ends, "at", "left_anti").select("at")
+        fewer = checkpointed(near.join(lone, "at", "left_anti").join(lone.withColumnRenamed("at", "next"), "next", "left_anti").select("at", "next", "resource"))
+        if fewer.count() == near.count():
+            return near
+        near = fewer
+    return near
+
+
+def detours(tried: DataFrame, near: DataFrame, longest: int) -> DataFrame:
+    """``src``, ``dst``, ``by``, ``length``: fewest vertices on a simple path by way of a vertex, up to ``longest``.
+
+    Such a path is two paths from ``by``, one to each end, that share no vertex, so it is a flow of two units of least cost. ``tried`` has the first
+    unit: ``first``, a shortest path from ``by`` to the nearer end, and ``other``, the end that is left. The second unit is a shortest path in what the first
+    leaves over: a step costs 1; a step onto the first path must go back along it, which gives the steps back, and may leave it
+    anywhere. Costs are improved in rounds; a round has at most two rows for each vertex and row of ``tried``.
+    """
+    key = ["src", "dst", "by"]
+    paths = tried.select(*key, "first", "other")
+    best = frontier = checkpointed(tried.select(*key, F.col("by").alias("at"), F.lit(False).alias("turned"), F.lit(0).alias("cost")))
+    ended = None
+    while True:
+        steps = frontier.join(near.select("at", "next"), "at").join(paths, key).where("next <> by")
+        steps = steps.withColumn("place", F.array_position("first", F.col("next"))).withColumn("own", F.array_position("first", F.col("at")))
+        steps = steps.where("place = 0 or own = 0 or place <> own + 1")
+        onto = F.expr("transform(sequence(2, cast(place as int) - 1), j -> struct(element_at(first, j) as at, true as turned, cast(cost + 1 - (place - j) as int) as cost))")
+        options = F.when(F.col("place") == 0, F.array(F.struct(F.col("next").alias("at"), F.lit(False).alias("turned"), (F.col("cost") + 1).alias("cost")))).when(F.col("place") > 2, onto)
+        moved = steps.select(*key, "other", F.explode(options).alias("to")).select(*key, "other", "to.*").where(F.col("cost") < longest)
+        cheapest = moved.groupBy(*key, "other", "at", "turned").agg(F.min("cost").alias("cost"))
+        known = best.withColumnRenamed("cost", "had")
+        frontier = checkpointed(cheapest.join(known, [*key, "at", "turned"], "left").where("had is null or cost < had").select(*key, "at", "turned", "cost", (F.col("at") == F.col("other")).alias("ends")))
+        found = frontier.where("ends").select(*key, "cost")
+        ended = found if ended is None else ended.union(found)
+        frontier = frontier.where("not ends").drop("ends")
+        if frontier.isEmpty():
+            break
+        best = checkpointed(best.union(frontier).groupBy(*key, "at", "turned").agg(F.min("cost").alias("cost")))
+    least = ended.groupBy(*key).agg(F.min("cost").alias("cost"))
+    return least.join(paths, key).select(*key, (F.size("first") + F.col("cost")).alias("length")).where(F.col("length") <= longest)
+
+
+def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame, longest: int = 11, at_once: int = 8) -> DataFrame:
     """``length`` of wanted pairs (``src``, ``dst``): fewest vertices on an undirected simple path that passes a resource.
 
-    Half paths grow from both ends in turn, one vertex each round, and meet in a vertex; halves over the same inner vertices
-    are one. A pair that has found its length stops, and the search ends when no pair is open or no half can grow. Pairs
-    without such a path of up to ``longest`` vertices are absent, and so are pairs of a node with itself.
+    For each pair, distances from either end that avoid the other grow by one step a round, each with one shortest path; a pair and a vertex have one row
+    for each end. The sum of a resource's two distances bounds its paths from below, so resources are taken in order of that sum.
+    Where its two shortest paths share nothing else, the sum is its length; otherwise ``detours`` gives the exact
+    one, for up to ``at_once`` resources of a pair at a time. A pair stops at the first sum that equals a length found.
+    Pairs without such a path of up to ``longest`` vertices are absent, and so are pairs of a node with itself.
     """
     near = pairs.select("src", "dst").union(pairs.select("dst", "src")).where("src <> dst").distinct().toDF("at", "next")
     resources = types.where(F.col("type").isin(*RESOURCE_TYPES)).select(F.col("name").alias("next"), F.lit(True).alias("resource")).distinct()
     near = checkpointed(near.join(resources, "next", "left").select("at", "next", F.coalesce("resource", F.lit(False)).alias("resource")))
     asked = checkpointed(wanted.select("src", "dst").where("src <> dst").distinct())
-    done = asked.limit(0).withColumn("length", F.lit(0))
-
-    def grown(halves: DataFrame) -> DataFrame:
-        onward = halves.join(done, ["src", "dst"], "left_anti").join(near, "at").where("next <> src and next <> dst and not array_contains(inner, next)")
-        inner = F.array_sort(F.concat("inner", F.array("next"))).alias("inner")
-        return checkpointed(onward.select("src", "dst", F.col("next").alias("at"), inner, (F.col("passed") | F.col("resource")).alias("passed")).distinct())
-
-    start = lambda end: asked.select("src", "dst", F.col(end).alias("at"), F.array().cast("array<string>").alias("inner"), F.lit(False).alias("passed"))
-    ahead, behind = grown(start("src")), grown(start("dst"))
+    near = trimmed(near, checkpointed(asked.select(F.explode(F.array("src", "dst")).alias("at")).distinct()))
+    key = ["src", "dst"]
+    done = lengths = asked.limit(0).withColumn("length", F.lit(0))
+    open_pairs = asked
+
+    def grown(frontier: DataFrame, settled: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        onward = frontier.select(*key, "at", "path").join(open_pairs, key, "left_semi").join(near, "at").where("next <> src and next <> dst")
+        fresh = onward.groupBy(*key, F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"), F.first("resource").alias("resource"))
+        fresh = checkpointed(fresh if settled is None else fresh.join(settled, [*key, "at"], "left_anti"))
+        return fresh, fresh if settled is None else settled.union(fresh)
+
+    start = lambda end: asked.select("src", "dst", F.col(end).alias("at"), F.array(end).alias("path"))
+    (ahead, reached), (behind, reached_back) = grown(start("src"), None), grown(start("dst"), None)
     for length in range(3, longest + 1):
-        met = ahead.join(behind.toDF("src", "dst", "at", "others", "too"), ["src", "dst", "at"]).where("(passed or too) and size(array_intersect(inner, others)) = 1")
-        done = checkpointed(done.union(met.join(done, ["src", "dst"], "left_anti").select("src", "dst").distinct().withColumn("length", F.lit(length))))
-        if length == longest:
-            break
-        if length % 2:
-            grows = ahead = grown(ahead)
+        if length > 3:
+            (ahead, reached), (behind, reached_back) = grown(ahead, reached), grown(behind, reached_back)
+        met = reached.where("resource").join(open_pairs, key, "left_semi").select(*key, "at", "path").join(reached_back.select(*key, "at", F.col("path").alias("back")), [*key, "at"])
+        met = checkpointed(met.where(F.size("path") + F.size("back") - 1 == length).withColumn("simple", F.size(F.array_intersect("path", "back")) == 1))
+        ready = met.where("simple").select(*key).union(lengths.where(F.col("length") <= length).select(*key)).distinct()
+        done = checkpointed(done.union(ready.join(open_pairs, key, "left_semi").withColumn("length", F.lit(length))))
+        open_pairs = asked.join(done, key, "left_anti")
+        ahead_first = F.size("path") <= F.size("back")
+        rest = met.join(open_pairs, key, "left_semi").select(*key, F.col("at").alias("by"), F.reverse(F.when(ahead_first, F.col("path")).otherwise(F.col("back"))).alias("first"), F.when(ahead_first, F.col("dst")).otherwise(F.col("src")).alias("other"))
+        if not met.where("not simple").isEmpty():
+            rest = checkpointed(rest.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("by")) - 1) / at_once)))
+            turns = rest.agg(F.max("turn")).first()[0]
         else:
-            grows = behind = grown(behind)
-        if grows.isEmpty():
+            turns = None
+        for turn in range(0 if turns is None else turns + 1):
+            tried = rest.where(F.col("turn") == turn).join(open_pairs, key, "left_semi")
+            found = checkpointed(detours(tried, near, longest).groupBy(*key).agg(F.min("length").alias("length")))
+            lengths = checkpointed(lengths.union(found))
+            done = checkpointed(done.union(found.where(F.col("length") == length)))
+            open_pairs = asked.join(done, key, "left_anti")
+        if open_pairs.isEmpty() or (ahead.isEmpty() and behind.isEmpty()):
             break
-    return done
+    late = lengths.join(done, key, "left_anti").groupBy(*key).agg(F.min("length").alias("length"))
+    return done.unionByName(late)
 
 
 def process_weights(pairs: DataFrame, types: DataFrame, base: float = 1.0, delta: float = 5.0, longest: int = 11) -> DataFrame:

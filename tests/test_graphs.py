@@ -13,13 +13,14 @@ from provgraph.plans.lineage import PATHS
 from provgraph.schema import entity_types
 from provgraph.sources import cdm, dot
 
-TOY = [("P0", "S"), ("P1", "S"), ("P4", "P1"), ("P4", "P2"), ("F", "P3"), ("F", "P2"), ("P0", "F"), ("F", "P1")]
+#: Processes A to F, a file G and a socket N: a chain through the file, a process that writes it alone, and a ring that closes over the socket.
+SMALL_GRAPH = [("A", "B"), ("B", "G"), ("F", "G"), ("G", "C"), ("G", "D"), ("E", "D"), ("E", "C"), ("C", "N"), ("E", "N"), ("A", "N")]
 
 
 @pytest.fixture(scope="module")
 def toy(spark):
-    pairs = spark.createDataFrame(TOY, "src string, dst string")
-    kinds = [(f"P{i}", "SUBJECT_PROCESS") for i in range(5)] + [("S", "NETFLOW_OBJECT"), ("F", "FILE_OBJECT_BLOCK")]
+    pairs = spark.createDataFrame(SMALL_GRAPH, "src string, dst string")
+    kinds = [(name, "SUBJECT_PROCESS") for name in "ABCDEF"] + [("N", "NETFLOW_OBJECT"), ("G", "FILE_OBJECT_BLOCK")]
     return pairs, spark.createDataFrame(kinds, "name string, type string")
 
 
@@ -27,7 +28,7 @@ def test_ancestors(toy):
     found = {}
     for r in lineage.ancestors(toy[0]).collect():
         found.setdefault(r.node, set()).add(r.ancestor)
-    assert found == {"F": {"P0"}, "P3": {"F", "P0"}, "P1": {"F", "P0", "P4"}, "P2": {"F", "P0", "P4"}, "S": {"F", "P0", "P1", "P4"}}
+    assert found == {"B": {"A"}, "G": set("ABF"), "C": set("ABEFG"), "D": set("ABEFG"), "N": set("ABCEFG")}
 
 
 def test_ancestors_on_a_cycle(spark):
@@ -37,18 +38,18 @@ def test_ancestors_on_a_cycle(spark):
 
 def test_resource_access_and_clusters(toy):
     links = lineage.resource_links(*toy)
-    assert {r.resource: r.processes for r in lineage.resource_access(links).collect()} == {"S": ["P0", "P1"], "F": ["P0", "P1", "P2", "P3"]}
+    assert {r.resource: r.processes for r in lineage.resource_access(links).collect()} == {"G": ["B", "C", "D", "F"], "N": ["A", "C", "E"]}
     clusters = lineage.shared_ancestor_clusters(links, lineage.ancestors(toy[0]))
-    assert {(r.resource, r.process): r.cluster for r in clusters.collect()} == {("S", "P0"): "P0", ("S", "P1"): "P1", ("F", "P0"): "P0", ("F", "P1"): "P1", ("F", "P2"): "P1", ("F", "P3"): "P1"}
+    assert {(r.resource, r.process): r.cluster for r in clusters.collect()} == {("G", "B"): "B", ("G", "C"): "B", ("G", "D"): "B", ("G", "F"): "F", ("N", "A"): "A", ("N", "C"): "C", ("N", "E"): "E"}
     weights = {(r.resource, r.process): round(r.weight, 6) for r in lineage.resource_weights(links, clusters).collect()}
-    assert weights[("F", "P0")] == 0.1 and weights[("F", "P1")] == 0.3 and weights[("S", "P0")] == 0.5
+    assert [weights[("G", p)] for p in "BCDF"] == [0.3, 0.3, 0.3, 0.1] and weights[("N", "A")] == 0.333333
 
 
 def test_process_weights(toy):
-    found = {(r.src, r.dst): r.weight for r in lineage.process_weights(*toy).collect()}
-    assert found == {("P4", "P1"): 0.5, ("P4", "P2"): 0.5}
-    wanted = toy[0].where("src = 'P4'")
-    assert {(r.dst, r.length) for r in lineage.resource_path_lengths(wanted, *toy).collect()} == {("P1", 4), ("P2", 4)}
+    found = {(r.src, r.dst): round(r.weight, 6) for r in lineage.process_weights(*toy).collect()}
+    assert found == {("A", "B"): 1.0, ("E", "D"): 0.457627, ("E", "C"): 0.542373}
+    wanted = toy[0].where("dst in ('B', 'C', 'D') and src <> 'G'")
+    assert {(r.src, r.dst, r.length) for r in lineage.resource_path_lengths(wanted, *toy).collect()} == {("A", "B", 5), ("E", "D", 4), ("E", "C", 3)}
 
 
 def shortest_by_resource(pairs, kinds, src, dst, longest):
@@ -69,6 +70,68 @@ def shortest_by_resource(pairs, kinds, src, dst, longest):
     return best
 
 
+def kinds_of(pairs):
+    return {n: "SUBJECT_PROCESS" if n[0] in "PQ" else "FILE_OBJECT_BLOCK" for p in pairs for n in p}
+
+
+def path_lengths(spark, pairs, wanted, longest=11, **settings):
+    g, ty = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(list(kinds_of(pairs).items()), "name string, type string")
+    found = lineage.resource_path_lengths(spark.createDataFrame(list(wanted), "src string, dst string"), g, ty, longest, **settings).collect()
+    assert len({(r.src, r.dst) for r in found}) == len(found)
+    return {(r.src, r.dst): r.length for r in found}
+
+
+#: From P0 to P1 the shortest walks by way of a resource turn back at P2; a simple path must go round.
+TRAPS = [("P0", "P2"), ("P2", "P1"), ("P2", "F0"), ("F0", "P3"), ("P3", "P4"), ("P4", "P1"), ("P0", "P1"), ("P2", "F1"), ("F1", "P5"), ("P5", "P2"), ("P2", "F2")]
+
+
+CROSSING = [("Q0", "Q1"), ("Q0", "Q2"), ("Q2", "Q3"), ("Q3", "G0"), ("G0", "Q4"), ("Q4", "Q2"), ("Q4", "Q1"), ("Q3", "Q5"), ("Q5", "Q1"), ("Q0", "Q6"), ("Q6", "Q7"), ("Q7", "Q3")]
+
+
+def test_shortest_walks_that_turn_back(spark):
+    want = {("P0", "P1"): 6, ("P2", "P5"): 3, ("P1", "P4"): 5, ("P0", "P2"): 6}
+    others = [(a, b) for a in ("Q0", "Q2", "Q5") for b in ("Q1", "Q4", "Q6")]
+    wanted = [*want, *others]
+    want |= {(a, b): n for a, b in others if (n := shortest_by_resource(CROSSING, kinds_of(CROSSING), a, b, 11))}
+    assert path_lengths(spark, TRAPS + CROSSING, wanted, at_once=1) == want
+
+
+def test_random_graphs_against_all_simple_paths(spark):
+    """Three graphs at once, cut vertices among them; every pair of processes."""
+    rng, edges, wanted = random.Random(11), [], []
+    for g in range(8):
+        nodes = [f"P{g}_{i}" for i in range(6)] + [f"F{g}_{i}" for i in range(2)]
+        edges += [tuple(rng.sample(nodes, 2)) for _ in range(11)]
+        wanted += [(a, b) for a in nodes[:6] for b in nodes[:6] if a < b]
+    kinds = kinds_of(edges)
+    wanted = [(a, b) for a, b in wanted if a in kinds and b in kinds]
+    want = {(a, b): n for a, b in wanted if (n := shortest_by_resource(edges, kinds, a, b, 8))}
+    assert len(set(want.values())) >= 4 and path_lengths(spark, edges, wanted, 8) == want
+
+
+def test_dense_graph_in_bounded_rows(spark, monkeypatch):
+    """200 processes, most joined to one another: no round has more rows than pairs times vertices times the two ends."""
+    rng = random.Random(3)
+    edges = [(f"P{i}", f"P{j}") for i in range(200) for j in range(i + 1, 200) if rng.random() < 0.6] + [("P7", "F0"), ("F0", "P8"), ("P9", "F1")]
+    wanted = [(f"P{i}", f"P{i + 1}") for i in range(20, 30)]
+    rows, plain = [], lineage.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count() if "src" in out.columns and "at" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(lineage, "checkpointed", counted)
+    found = path_lengths(spark, edges, wanted)
+    joined = {frozenset(e) for e in edges}
+    want = {}
+    for s, t in wanted:
+        one = any(frozenset((a, x)) in joined and frozenset((b, y)) in joined for a, b in ((s, t), (t, s)) for x, y in (("P7", "P8"),))
+        want[(s, t)] = 5 if one else 6
+    assert found == want
+    assert max(rows) <= len(wanted) * 202 * 2
+
+
 def test_resource_paths_of_up_to_eleven_vertices(spark, against_sql, small):
     ring = [(f"P{i}", f"P{i + 1}") for i in range(9)] + [("P9", "F0"), ("P0", "F0"), ("P0", "P9")]  # eleven vertices from P0 to P1
     rng = random.Random(5)
