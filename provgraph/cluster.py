@@ -10,26 +10,48 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``. Where that is unset, a folder of our own: on one machine a temporary one, on a cluster one
-    beside the warehouse, never an executor's own disk."""
+    """Use ``spark.checkpoint.dir``. Where that is unset, a local master uses a temporary folder of its own; a cluster must name one,
+    because no other folder is known to be shared."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.split("[")[0] == "local":
-            folder = tempfile.mkdtemp(prefix="provgraph-checkpoints-")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/provgraph-checkpoints")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="provgraph-checkpoints-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared folder. (``checkpoint()`` would keep the plan's size estimate, which the
     joins of a loop multiply each round.)"""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def remove_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing is computed from any more; absent ones are passed over."""
+    for path in paths:
+        place, system = _place(spark, path)
+        system.delete(place, True)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least reachable node) of an undirected graph ``a``, ``b`` of any ordered type.
 

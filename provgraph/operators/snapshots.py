@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from provgraph.cluster import checkpointed
 
 from .edges import ends
 
@@ -65,79 +66,102 @@ def snapshot_bounds(sequence: DataFrame, categories: tuple[str, ...] = ("benign"
     return names.join(found, "category", "left").na.fill(-1)
 
 
-BUDGET_SCHEMA = StructType([
-    StructField("scene", StringType()), StructField("snapshot_id", LongType()), StructField("nodes", ArrayType(StringType())),
-    StructField("frequencies", ArrayType(LongType())), StructField("n_edges", LongType()), StructField("until_us", LongType()),
-])
+#: A cut as the rule makes it: the live nodes, how often each node was mentioned since the cut before, and the live edges' number.
+CUT_SCHEMA = "scene string, snapshot_id long, nodes array<string>, touched array<string>, counts array<long>, n_edges long, until_us long"
+CUT_COLUMNS = [field.split()[0] for field in CUT_SCHEMA.split(", ")]
 
 
 class NodeBudget:
-    """The live graph of one scene: cut at ``budget`` nodes, then whenever it has grown by ``rate``, after forgetting."""
+    """The live graph of one scene: cut at ``budget`` nodes, then whenever it has grown by ``rate``, after forgetting.
+
+    Nodes that are forgotten leave nothing here: their mentions go out with the next cut. So at most ``budget * (1 + rate)`` nodes are held, those
+    between two cuts, whatever the scene's length.
+    """
 
     def __init__(self, budget: int, rate: float) -> None:
         self.budget, self.forget = budget, int(budget * rate)
         self.seen: dict[str, int] = {}
-        self.frequency: dict[str, int] = {}
+        self.touched: dict[str, int] = {}
         self.edges: dict[str, set] = {}
-        self.cut_once = False
-        self.until = 0
+        self.number, self.until = 0, 0
 
-    def add(self, src: str, dst: str, us: int) -> list[tuple] | None:
+    def add(self, src: str, dst: str, us: int) -> tuple | None:
         for node in (src, dst):
             self.seen[node] = us
-            self.frequency[node] = self.frequency.get(node, 0) + 1
-        self.edges.setdefault(src, set()).add((src, dst))
-        self.edges.setdefault(dst, set()).add((src, dst))
+            self.touched[node] = self.touched.get(node, 0) + 1
+        self.link(src, dst)
         self.until = us
         live = len(self.seen)
-        if not self.cut_once and live >= self.budget:
-            self.cut_once = True
-            return self.snapshot()
-        if self.cut_once and live >= self.budget + self.forget:
+        if not self.number and live >= self.budget:
+            return self.cut()
+        if self.number and live >= self.budget + self.forget:
             for node in sorted(self.seen, key=self.seen.get)[: self.forget]:
                 del self.seen[node]
                 for edge in self.edges.pop(node, set()):
                     for end in edge:
                         if end in self.edges:
                             self.edges[end].discard(edge)
-            return self.snapshot()
+            return self.cut()
         return None
 
-    def snapshot(self) -> tuple:
-        names = sorted(self.seen)
-        return names, [self.frequency[n] for n in names], len({e for n in names for e in self.edges.get(n, ())}), self.until
+    def link(self, src: str, dst: str) -> None:
+        self.edges.setdefault(src, set()).add((src, dst))
+        self.edges.setdefault(dst, set()).add((src, dst))
 
+    def live_edges(self) -> set[tuple[str, str]]:
+        return {edge for edges in self.edges.values() for edge in edges}
 
-def node_budget_snapshots(edges: DataFrame, budget: int = 300, rate: float = 0.3, scene: str = "scene") -> DataFrame:
-    """Sliding snapshots of each scene's stream in time order; the last state is always a snapshot.
+    def cut(self) -> tuple:
+        touched = sorted(self.touched.items())
+        row = self.number, sorted(self.seen), [n for n, _ in touched], [c for _, c in touched], len(self.live_edges()), self.until
+        self.number, self.touched = self.number + 1, {}
+        return row
+
+
+def node_budget_cuts(edges: DataFrame, budget: int = 300, rate: float = 0.3, scene: str = "scene") -> DataFrame:
+    """The cuts of each scene's stream in time order (``CUT_SCHEMA``); the last state is always one.
 
     The rule depends on every row before it, so a scene is one sequence; scenes run side by side, and rows stream through
     the task in sorted order while only the live graph is held. For one huge scene use ``count_snapshots``.
     """
-    names = [f.name for f in BUDGET_SCHEMA.fields]
 
     def run(batches):
         import pandas as pd
 
-        state, at, number = None, None, 0
-
-        def row(snapshot):
-            return (at, number, *snapshot)
-
+        state, at = None, None
         for batch in batches:
             out = []
             for s, src, dst, us in zip(batch["scene"], batch["src"], batch["dst"], batch["us"]):
                 if state is None or s != at:
                     if state is not None:
-                        out.append(row(state.snapshot()))
-                    state, at, number = NodeBudget(budget, rate), s, 0
+                        out.append((at, *state.cut()))
+                    state, at = NodeBudget(budget, rate), s
                 cut = state.add(src, dst, int(us))
                 if cut is not None:
-                    out.append(row(cut))
-                    number += 1
-            yield pd.DataFrame(out, columns=names)
+                    out.append((at, *cut))
+            yield pd.DataFrame(out, columns=CUT_COLUMNS)
         if state is not None:
-            yield pd.DataFrame([row(state.snapshot())], columns=names)
+            yield pd.DataFrame([(at, *state.cut())], columns=CUT_COLUMNS)
 
     ordered = edges.select(F.col(scene).alias("scene"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "us", "event_id").repartition("scene").sortWithinPartitions("scene", "us", "event_id")
-    return ordered.select("scene", "src", "dst", "us").mapInPandas(run, BUDGET_SCHEMA)
+    return ordered.select("scene", "src", "dst", "us").mapInPandas(run, CUT_SCHEMA)
+
+
+def with_frequencies(cuts: DataFrame) -> DataFrame:
+    """``scene``, ``snapshot_id``, ``nodes``, ``frequencies``, ``n_edges``, ``until_us``: mentions of each live node since the scene began.
+
+    Cuts carry only the mentions since the cut before; a node's running sum over them is keyed by scene and node, so nodes that were forgotten
+    and come back go on from their old count without anyone having held it.
+    """
+    live = cuts.select("scene", "snapshot_id", F.explode("nodes").alias("name"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("live"))
+    fresh = cuts.select("scene", "snapshot_id", F.explode(F.arrays_zip("touched", "counts")).alias("x")).select("scene", "snapshot_id", F.col("x.touched").alias("name"), F.col("x.counts").alias("n"), F.lit(0).alias("live"))
+    each = live.union(fresh).groupBy("scene", "snapshot_id", "name").agg(F.sum("n").alias("n"), F.max("live").alias("live"))
+    upto = Window.partitionBy("scene", "name").orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = each.withColumn("frequency", F.sum("n").over(upto)).where("live = 1")
+    listed = running.groupBy("scene", "snapshot_id").agg(F.array_sort(F.collect_list(F.struct("name", "frequency"))).alias("x"))
+    return cuts.select("scene", "snapshot_id", "n_edges", "until_us").join(listed, ["scene", "snapshot_id"]).select("scene", "snapshot_id", F.col("x.name").alias("nodes"), F.col("x.frequency").alias("frequencies"), "n_edges", "until_us")
+
+
+def node_budget_snapshots(edges: DataFrame, budget: int = 300, rate: float = 0.3, scene: str = "scene") -> DataFrame:
+    """Sliding snapshots by node budget with their nodes' frequencies; see ``node_budget_cuts``. The cuts are written once."""
+    return with_frequencies(checkpointed(node_budget_cuts(edges, budget, rate, scene)))

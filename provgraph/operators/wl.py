@@ -76,28 +76,6 @@ def xor_rounds(labels: DataFrame, near: DataFrame, keys: list[str], rounds: int)
     return out
 
 
-def carried_labels(state: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels to start a snapshot's rounds from: those that a node has from earlier snapshots, else its first. Both: ``name``, ``label``."""
-    old = state.select("name", F.col("label").alias("old"))
-    return labels.join(old, "name", "left").select("name", F.coalesce("old", "label").alias("label"))
-
-
-def persistent_rounds(snapshots: list[tuple[DataFrame, DataFrame]], rounds: int) -> DataFrame:
-    """Rounds over snapshots in time order, where a node keeps its last label from one snapshot to the next.
-
-    Each snapshot is (first labels: ``name``, ``label``; typed neighbours). Returns ``snapshot`` (its place), ``round``,
-    ``name``, ``label``. Nodes that a snapshot lacks keep theirs.
-    """
-    state = out = None
-    for at, (labels, near) in enumerate(snapshots):
-        start = labels.select("name", "label") if state is None else carried_labels(state, labels)
-        done = checkpointed(xor_rounds(start.withColumn("snapshot", F.lit(at)), near.withColumn("snapshot", F.lit(at)), ["snapshot"], rounds))
-        last = done.where(F.col("round") == rounds).select("name", "label")
-        state = checkpointed(last if state is None else last.union(state.join(last, "name", "left_anti")))
-        out = done if out is None else out.unionByName(done)
-    return out
-
-
 def label_histogram(rounds: DataFrame, keys: list[str]) -> DataFrame:
     """How often each label came up, one for each node and round."""
     return rounds.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("cnt"))
