@@ -51,20 +51,6 @@ def resource_access(links: DataFrame) -> DataFrame:
     return links.groupBy("resource").agg(F.sort_array(F.collect_list("process")).alias("processes"))
 
 
-def shared_ancestor_clusters(links: DataFrame, up: DataFrame) -> DataFrame:
-    """``resource``, ``process``, ``cluster``: processes of a resource joined by common ancestors, else alone.
-
-    Processes meet through their ancestors instead of in pairs: the graph process - ancestor within a resource has the
-    same components and one edge for each pair of the two.
-    """
-    tag = lambda kind, c: F.concat("resource", F.lit(f"|{kind}|"), c)
-    meet = links.join(up.toDF("process", "ancestor"), "process").select(tag("p", "process").alias("a"), tag("z", "ancestor").alias("b"))
-    roots = connected_components(meet)
-    marked = links.withColumn("node", tag("p", "process")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min("process").over(Window.partitionBy("root"))
-    return marked.withColumn("cluster", first).select("resource", "process", "cluster")
-
-
 def resource_weights(links: DataFrame, clusters: DataFrame) -> DataFrame:
     """``weight`` of each process at a resource: its cluster's size over the sum of all its processes' sizes."""
     size = F.count(F.lit(1)).over(Window.partitionBy("resource", "cluster"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provgraph.operators import community, graph, lineage
+from provgraph.operators import community, graph, lineage, reach
 from provgraph.sources import tables
 
 from .base import Query, over_edges
@@ -46,7 +46,7 @@ def links(s, d):
 
 
 def clusters(s, d):
-    return lineage.shared_ancestor_clusters(links(s, d), lineage.ancestors(pairs(s, d)))
+    return reach.clusters_by_ancestors(links(s, d), pairs(s, d))
 
 
 def rounded(df, column="weight"):
@@ -55,9 +55,10 @@ def rounded(df, column="weight"):
 
 def overlap(s, d):
     """Pairs of linked processes that share an ancestor."""
-    up = lineage.ancestors(pairs(s, d)).groupBy("node").agg(F.collect_set("ancestor").alias("up"))
-    one, two = up.toDF("src", "a"), up.toDF("dst", "b")
-    return pairs(s, d).join(one, "src").join(two, "dst").select("src", "dst", F.arrays_overlap("a", "b").alias("shared"))
+    p = pairs(s, d)
+    below = p.select(F.col("dst").alias("src")).distinct()
+    found = reach.share_ancestor(p.join(below, "src", "left_semi").toDF("x", "y"), p)
+    return found.toDF("src", "dst", "shared")
 
 
 def number_membership(s, d):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provgraph.functions import mask_events, mask_events_in_array, mask_events_in_map
-from provgraph.operators import community, detect, edges, embed, graph, lineage, report, snapshots, wl
+from provgraph.operators import community, detect, edges, embed, graph, lineage, reach, report, snapshots, wl
 from provgraph.plans.lineage import PATHS
 from provgraph.schema import entity_types
 from provgraph.sources import cdm, dot
@@ -39,12 +39,58 @@ def test_ancestors_on_a_cycle(spark):
 def test_resource_access_and_clusters(toy):
     links = lineage.resource_links(*toy)
     assert {r.resource: r.processes for r in lineage.resource_access(links).collect()} == {"G": ["B", "C", "D", "F"], "N": ["A", "C", "E"]}
-    clusters = lineage.shared_ancestor_clusters(links, lineage.ancestors(toy[0]))
+    clusters = reach.clusters_by_ancestors(links, toy[0])
     assert {(r.resource, r.process): r.cluster for r in clusters.collect()} == {("G", "B"): "B", ("G", "C"): "B", ("G", "D"): "B", ("G", "F"): "F", ("N", "A"): "A", ("N", "C"): "C", ("N", "E"): "E"}
     weights = {(r.resource, r.process): round(r.weight, 6) for r in lineage.resource_weights(links, clusters).collect()}
     assert [weights[("G", p)] for p in "BCDF"] == [0.3, 0.3, 0.3, 0.1] and weights[("N", "A")] == 0.333333
 
 
+def closure(pairs):
+    up = {}
+    for a, b in pairs:
+        up.setdefault(b, set()).add(a)
+    done = {}
+    for node in {n for p in pairs for n in p}:
+        seen, todo = set(), [node]
+        while todo:
+            for a in up.get(todo.pop(), ()):
+                if a not in seen:
+                    seen.add(a)
+                    todo.append(a)
+        done[node] = seen
+    return done
+
+
+def test_ancestors_shared_without_the_closure(spark):
+    """Random graphs with cycles, self-loops and many roots, against sets of all ancestors; labels of two roots leave pairs to search for."""
+    rng = random.Random(9)
+    pairs = [(f"g{g}n{rng.randrange(16)}", f"g{g}n{rng.randrange(16)}") for g in range(4) for _ in range(14)] + [(f"r{i}", "m") for i in range(6)] + [("m", "x"), ("r5", "y"), ("r6", "y"), ("r7", "y"), ("r6", "z"), ("r8", "z"), ("r9", "z")]
+    up = closure(pairs)
+    g = spark.createDataFrame(pairs, "src string, dst string")
+    parts = {r.node: (r.root, r.cyclic) for r in reach.strong_components(g).collect()}
+    same = lambda a, b: a == b or (a in up[b] and b in up[a])
+    assert parts == {n: (min(m for m in up if same(n, m)), n in up[n]) for n in up}
+    names = sorted(up)
+    asked = [tuple(rng.sample(names, 2)) for _ in range(150)] + [("x", "y"), ("y", "z"), ("x", "z"), ("x", "absent"), ("r0", "r0"), ("m", "r0")]
+    found = {(r.x, r.y): r.shared for r in reach.share_ancestor(spark.createDataFrame(asked, "x string, y string"), g, 2).collect()}
+    assert found == {(a, b): bool(up.get(a, set()) & up.get(b, set())) for a, b in asked}
+    links = sorted({(f"res{i % 5}", rng.choice(names)) for i in range(60)}) + [("res0", "absent")]
+    want, left = {}, {}
+    for resource, p in links:
+        left.setdefault(resource, []).append(p)
+    for resource, processes in left.items():
+        for p in processes:
+            group, todo = {p}, [p]
+            while todo:
+                q = todo.pop()
+                for other in processes:
+                    if other not in group and up.get(q, set()) & up.get(other, set()):
+                        group.add(other)
+                        todo.append(other)
+            want[resource, p] = min(group)
+    assert {(r.resource, r.process): r.cluster for r in reach.clusters_by_ancestors(spark.createDataFrame(links, "resource string, process string"), g).collect()} == want
+
+
 def test_process_weights(toy):
     found = {(r.src, r.dst): round(r.weight, 6) for r in lineage.process_weights(*toy).collect()}
     assert found == {("A", "B"): 1.0, ("E", "D"): 0.457627, ("E", "C"): 0.542373}
