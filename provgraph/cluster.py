@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that Python tasks can import it anywhere."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped:
+        return
+    if root.is_dir():
+        archive = os.path.join(tempfile.mkdtemp(prefix="provgraph-"), "provgraph_library.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted((root / "provgraph").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.cluster import checkpointed
+from provgraph.cluster import checkpointed, ship_package
 
 from .edges import ends
 
@@ -143,6 +143,7 @@ def node_budget_cuts(edges: DataFrame, budget: int = 300, rate: float = 0.3, sce
         if state is not None:
             yield pd.DataFrame([(at, *state.cut())], columns=CUT_COLUMNS)
 
+    ship_package(edges.sparkSession)
     ordered = edges.select(F.col(scene).alias("scene"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "us", "event_id").repartition("scene").sortWithinPartitions("scene", "us", "event_id")
     return ordered.select("scene", "src", "dst", "us").mapInPandas(run, CUT_SCHEMA)
 

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from provgraph.cluster import checkpointed, dense_ids
+from provgraph.functions import hash60
 from provgraph.operators import detect, embed, graph, report, snapshots
 from provgraph.sources import tables
 
@@ -114,10 +115,48 @@ def als(s, d):
     return vectors.join(both, "seq").select("seq", F.size("vec").alias("dim"), (F.col("own") > F.col("lacking")).alias("own_nearer"))
 
 
-def word_vectors(s, d):
-    found = embed.word_vectors(triples(s, d), rounds=1).select("word", vector_to_array("vector").alias("vec"))
-    length = F.aggregate("vec", F.lit(0.0).cast("double"), lambda t, x: t + x * x)
-    return found.select("word", F.size("vec").alias("dim"), (length > 0).alias("filled"))
+def members(s, d):
+    """Customers and suppliers with their nation and region: ``h``, ``n``, ``g``."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    nations = tables.table(s, d, "nation").select(text("n", "n_nationkey").alias("n"), text("g", "n_regionkey").alias("g"))
+    both = tables.table(s, d, "customer").select(text("c", "c_custkey").alias("h"), text("n", "c_nationkey").alias("n"))
+    return both.union(tables.table(s, d, "supplier").select(text("s", "s_suppkey"), text("n", "s_nationkey"))).join(nations, "n").select("h", "n", "g"), nations
+
+
+def translations(s, d, epochs=100):
+    """Regions of members that training has not seen, from their nations: whether the true one is nearer than nine in ten entities, by region."""
+    of, nations = members(s, d)
+    asked = checkpointed(embed.triple_split(of.select("h", F.lit("in_region").alias("r"), F.col("g").alias("t"))))
+    known = of.select("h", F.lit("in_nation").alias("r"), F.col("n").alias("t")).union(nations.select("n", F.lit("in_region"), "g")).union(asked.where("part = 'train'").select("h", "r", "t"))
+    ranks = embed.tail_ranks(asked.where("part <> 'train'"), embed.translation_vectors(known, epochs=epochs))
+    return ranks.groupBy("t").agg(F.count(F.lit(1)).alias("n"), (F.avg("share") > 0.9).alias("true_nearer"))
+
+
+def word_vectors(s, d, rounds=100):
+    """Whether the words of a nation's members lie nearer to the mean of its other members than to those of other nations, by nation.
+
+    Half of the members, by hash, make their nation's mean; the other half is compared with it.
+    """
+    of, _ = members(s, d)
+    of = checkpointed(of.withColumn("half", hash60(F.col("h")) % 2))
+    found = embed.word_vectors(of.select("h", F.lit("in_nation").alias("r"), F.col("n").alias("t")), rounds=rounds)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0).cast("double"), lambda t, v: t + v)
+    unit = lambda c: F.transform(c, lambda v: v / F.sqrt(dot(F.col(c), F.col(c))))
+    placed = checkpointed(of.join(found.select(F.col("word").alias("h"), vector_to_array("vector").alias("vec")), "h").withColumn("vec", unit("vec")))
+
+    def summed(rows, *by):
+        cells = rows.select(*by, F.posexplode("vec").alias("pos", "v")).groupBy(*by, "pos").agg(F.sum("v").alias("v"))
+        return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("vec"))
+
+    means = checkpointed(summed(placed.where("half = 0"), "n").withColumn("vec", unit("vec")))
+    every = summed(means).select(F.col("vec").alias("every")).crossJoin(means.agg(F.count(F.lit(1)).alias("m")))
+    met = placed.where("half = 1").join(means.select("n", F.col("vec").alias("mean")), "n").crossJoin(F.broadcast(every)).withColumn("own", dot("vec", "mean"))
+    others = (dot("vec", "every") - F.col("own")) / (F.col("m") - 1)
+    return met.groupBy("n").agg(F.count(F.lit(1)).alias("members"), (F.avg(F.col("own") - others) > 0.3).alias("own_nearer"))
+
+
+MEMBERS = """WITH m AS (SELECT 'c' || c_custkey AS h, 'n' || c_nationkey AS n FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+f AS (SELECT h, n, 'g' || n_regionkey AS t FROM m JOIN nation ON n = 'n' || n_nationkey)"""
 
 
 def vector_lookup(s, d):
@@ -169,6 +208,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "vector_lookup": (vector_lookup, over_edges("""SELECT name, CASE WHEN name IN (SELECT h FROM tri) OR name = 'EVENT_CLICK' AND name IN (SELECT r FROM tri) THEN 'entity' WHEN name IN (SELECT r FROM tri) THEN 'relation' END AS kind,
         CASE WHEN name IN (SELECT h FROM tri) OR name IN (SELECT r FROM tri) THEN length(name)::DOUBLE END AS x FROM (SELECT t AS name FROM tri UNION SELECT r FROM tri)""", TRIPLES)),
     "snapshot_embeddings_als": (als, over_edges("SELECT DISTINCT day AS seq, 16 AS dim, true AS own_nearer FROM counts", DAY_CTE, HASHED, COUNTS)),
-    "word2vec_relations": (word_vectors, over_edges("SELECT DISTINCT word, 30 AS dim, true AS filled FROM (SELECT h AS word FROM tri UNION SELECT r FROM tri UNION SELECT t FROM tri)", TRIPLES)),
-    "transe_vectors": (lambda s, d: embed.translation_vectors(triples(s, d)).select("kind", "name", F.size("vec").alias("dim")), over_edges("SELECT kind, name, 16 AS dim FROM (SELECT 'entity' AS kind, h AS name FROM tri UNION SELECT 'entity', t FROM tri UNION SELECT 'relation', r FROM tri)", TRIPLES)),
+    "word2vec_relations": (word_vectors, MEMBERS + """ SELECT n, count(*) FILTER (half = 1) AS members, true AS own_nearer
+        FROM (SELECT *, ('0x' || substr(md5(h), 1, 15))::BIGINT % 2 AS half FROM f) GROUP BY n HAVING min(half) = 0 AND max(half) = 1"""),
+    "transe_vectors": (translations, MEMBERS + """ SELECT t, count(*) AS n, true AS true_nearer FROM f
+        WHERE (('0x' || substr(md5(h || '|in_region|' || t), 1, 15))::BIGINT + 1)::DOUBLE / 1152921504606846976.0::DOUBLE > 0.8 GROUP BY t"""),
 }

@@ -66,7 +66,7 @@ class Words:
 
     dim: int = 30
     window: int = 5
-    rounds: int = 5
+    rounds: int = 100
 
     def train(self, triples: DataFrame) -> DataFrame:
         return embed.word_vectors(triples, self.dim, self.window, self.rounds)
@@ -77,7 +77,7 @@ class Translations:
     """Entity and relation vectors of triples."""
 
     dim: int = 30
-    epochs: int = 10
+    epochs: int = 100
 
     def train(self, triples: DataFrame) -> DataFrame:
         return embed.translation_vectors(triples, self.dim, self.epochs)

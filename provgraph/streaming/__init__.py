@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provgraph.cluster import remove_paths
+from provgraph.cluster import remove_paths, ship_package
 from provgraph.operators.snapshots import CUT_COLUMNS, CUT_SCHEMA, NodeBudget
 
 from .labels import PersistentLabels
@@ -88,6 +88,7 @@ def stream_node_budget(edges: DataFrame, budget: int = 300, rate: float = 0.3) -
     ``edges``: ``scene``, ``src``, ``dst``, ``us``, ``event_id``; rows of a batch go in time order, and a batch's rows of one scene meet in one task, so
     the source should bound a batch. The last state is not cut, because a stream has no end. The session's state store becomes RocksDB, which maps in state need.
     """
+    ship_package(edges.sparkSession)
     edges.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = edges.select("scene", "src", "dst", "us", "event_id").groupBy("scene")
     return keyed.transformWithStateInPandas(NodeBudgetProcessor(budget, rate), CUT_SCHEMA, "Append", "None")

@@ -313,6 +313,11 @@ def test_fold_in_and_negatives(spark):
     bags = {(0, 0), (0, 1), (1, 2)}
     drawn = [tuple(r) for r in embed.negatives(counts, vocabulary, 5).collect()]
     assert len(drawn) == 10 and not bags & set(drawn)
+    few = spark.createDataFrame([(i, f"r{i}") for i in range(6)], "rsg_id long, rsg string")
+    assert {tuple(r) for r in embed.negatives(counts.where("seq = 1"), few, 5).collect()} == {(1, i) for i in (0, 1, 3, 4, 5)}
+    most = spark.createDataFrame([(7, i, 1) for i in range(97)] + [(8, 99, 1)], "seq long, rsg_id long, cnt long")
+    drawn = [tuple(r) for r in embed.negatives(most, spark.createDataFrame([(i, f"r{i}") for i in range(100)], "rsg_id long, rsg string"), 20).collect()]
+    assert {i for s, i in drawn if s == 7} == {97, 98, 99} and sum(s == 8 for s, _ in drawn) == 20 == len({i for s, i in drawn if s == 8})
 
 
 def test_isolated_vertex_keeps_its_text(spark):
@@ -391,6 +396,28 @@ def test_short_sequences(spark):
         create(DETECTORS, "autoregression").train(seq)
 
 
+def test_blocks_meet_once():
+    for blocks in (1, 2, 6, 8):
+        met = [frozenset((a, b)) for bucket in embed.meetings(blocks)[1:] for a in range(blocks) for b in range(a + 1, blocks) if bucket[a] == bucket[b]]
+        assert len(met) == len(set(met)) == blocks * (blocks - 1) // 2
+
+
+def test_queries_fail_without_training(spark, small):
+    """What the two queries of learned vectors return is false where nothing was learned."""
+    from provgraph.plans import detection
+
+    assert not any(r.true_nearer for r in detection.translations(spark, small, epochs=0).collect())
+    assert not any(r.own_nearer for r in detection.word_vectors(spark, small, rounds=1).collect())
+
+
+def test_blocks_in_rotation_learn(spark):
+    """Several blocks of entities learn what one does: members follow their group's region."""
+    facts = [(f"m{i}", "in", f"n{i % 6}") for i in range(60)] + [(f"n{i}", "of", f"g{i % 2}") for i in range(6)] + [(f"m{i}", "of", f"g{i % 2}") for i in range(50)]
+    v = embed.translation_vectors(spark.createDataFrame(facts, "h string, r string, t string"), 16, 60, 0.05, block=18, visits=6)
+    asked = spark.createDataFrame([(f"m{i}", "of", f"g{i % 2}") for i in range(50, 60)], "h string, r string, t string")
+    assert embed.tail_ranks(asked, v).agg({"share": "avg"}).first()[0] > 0.9 and v.count() == 60 + 6 + 2 + 2
+
+
 def test_translations_learn(spark):
     """Head + relation comes nearer to the tail than it starts, and nearer than to other tails."""
     facts = spark.createDataFrame([(f"h{i}", "r", f"t{i}") for i in range(12)], "h string, r string, t string")
