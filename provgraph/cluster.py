@@ -32,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table is broadcast; beyond, what it is joined with is shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table to join with, broadcast if it has been counted to be short. ``df`` must be cheap to read twice."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     ensure_checkpoint_dir(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.cluster import checkpointed, dense_ids
+from provgraph.cluster import checkpointed, dense_ids, small
 from provgraph.functions import hash60, uniform
 
 
@@ -16,10 +16,40 @@ def neighbours(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, acts.alias("actions"), F.explode(ends).alias("x")).select(*keys, "actions", "x.*")
 
 
-def rooted_subgraphs(vertices: DataFrame, pairs: DataFrame, keys: list[str], depth: int, hashed: bool = False) -> DataFrame:
+#: Parts of a vertex's text that one row holds; a hub's go to ranges of about so many.
+PARTS = 1000
+
+
+def joined_parts(seen: DataFrame, keys: list[str], most: int = PARTS) -> DataFrame:
+    """``parts`` of each vertex from rows of ``part``: sorted and joined, equal ones once with their number.
+
+    Equal parts are counted before anything is gathered. A vertex with more than ``most`` different parts has them dealt to ranges by hash, about ``most`` to
+    a range; a range is the digest of its sorted parts, and digests of ranges are joined in order, ``most`` at a time until few are left. So no row and no task holds a hub.
+    """
+    vertex = [*keys, "name"]
+    counted = checkpointed(seen.groupBy(*vertex, "part").agg(F.count(F.lit(1)).alias("n")))
+    counted = counted.withColumn("text", F.when(F.col("n") > 1, F.concat("part", F.lit("*"), F.col("n").cast("string"))).otherwise(F.col("part")))
+    together = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "_")
+    hubs = checkpointed(counted.groupBy(*vertex).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*vertex, F.ceil(F.col("n") / most).alias("ranges")))
+    largest = hubs.agg(F.max("ranges")).first()[0]
+    if largest is None:
+        return counted.groupBy(*vertex).agg(together("text").alias("parts"))
+    hubs = small(hubs)
+    plain = counted.join(hubs, vertex, "left_anti").groupBy(*vertex).agg(together("text").alias("parts"))
+    ranged = counted.join(hubs, vertex).withColumn("range", F.pmod(hash60(F.col("part")), F.col("ranges")))
+    digests = ranged.groupBy(*vertex, "range").agg(F.md5(together("text")).alias("digest"))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"]), "_")
+    while largest > most:
+        digests = digests.withColumn("upper", F.floor(F.col("range") / most)).groupBy(*vertex, "upper").agg(F.md5(in_order).alias("digest")).withColumnRenamed("upper", "range")
+        largest = -(-largest // most)
+    return plain.union(digests.groupBy(*vertex).agg(in_order.alias("parts")))
+
+
+def rooted_subgraphs(vertices: DataFrame, pairs: DataFrame, keys: list[str], depth: int, hashed: bool = False, most: int = PARTS) -> DataFrame:
     """``depth``, ``rsg`` of every vertex for all depths up to ``depth``; ``hashed`` keeps each round's text at 32 characters.
 
-    A round is a join of the neighbours' last texts, sorted and put behind the vertex's own. Neighbours and each round's state
+    A round is a join of the neighbours' last texts, sorted and put behind the vertex's own. With ``hashed`` a vertex with very many neighbours has their digest
+    by ranges (``joined_parts``); without, the text is whole by definition and grows with the neighbours. Neighbours and each round's state
     are written, so the plan of a round does not hold those before it.
     """
     near = checkpointed(neighbours(pairs, keys)) if depth else None
@@ -27,8 +57,11 @@ def rooted_subgraphs(vertices: DataFrame, pairs: DataFrame, keys: list[str], dep
     state = checkpointed(vertices.select(*keys, "name", shrink(F.array_join("properties", " ")).alias("rsg")))
     rounds = [state.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        seen = near.join(state.withColumnRenamed("name", "other"), [*keys, "other"])
-        parts = seen.groupBy(*keys, "name").agg(F.array_join(F.sort_array(F.collect_list(F.concat("actions", F.lit(":"), "rsg"))), "_").alias("parts"))
+        seen = near.join(state.withColumnRenamed("name", "other"), [*keys, "other"]).select(*keys, "name", F.concat("actions", F.lit(":"), "rsg").alias("part"))
+        if hashed:
+            parts = joined_parts(seen, keys, most)
+        else:
+            parts = seen.groupBy(*keys, "name").agg(F.array_join(F.sort_array(F.collect_list("part")), "_").alias("parts"))
         grown = F.concat("rsg", F.lit("-("), "parts", F.lit(")"))
         state = checkpointed(state.join(parts, [*keys, "name"], "left").select(*keys, "name", F.when(F.col("parts").isNull(), F.col("rsg")).otherwise(shrink(grown)).alias("rsg")))
         rounds.append(state.withColumn("depth", F.lit(d)))

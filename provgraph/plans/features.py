@@ -18,17 +18,34 @@ dp AS (SELECT day, actorID AS src, objectID AS dst, string_agg(DISTINCT action,
 nb AS (SELECT day, src AS name, dst AS other, actions FROM dp UNION ALL SELECT day, dst, src, actions FROM dp)"""
 
 
-def rsg_cte(wrap: str) -> str:
-    step = lambda n: f"""r{n} AS (SELECT a.day, a.name, CASE WHEN parts IS NULL THEN a.rsg ELSE {wrap.format("a.rsg || '-(' || parts || ')'")} END AS rsg FROM r{n - 1} a LEFT JOIN (
-        SELECT nb.day, nb.name, string_agg(actions || ':' || rsg, '_' ORDER BY actions || ':' || rsg) AS parts FROM nb JOIN r{n - 1} b ON b.day = nb.day AND b.name = nb.other GROUP BY ALL) g ON g.day = a.day AND g.name = a.name)"""
+#: Parts that a row of a hashed text holds here, few enough that the tables have hubs beyond it.
+MOST = 12
+H = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+def rsg_cte(hashed: bool) -> str:
+    """Texts of depth 0 to 2; hashed ones by parts that are counted, and by ranges where there are many."""
+    wrap = "md5({})" if hashed else "{}"
+    seen = lambda n: f"SELECT nb.day, nb.name, actions || ':' || rsg AS part FROM nb JOIN r{n - 1} b ON b.day = nb.day AND b.name = nb.other"
+
+    def step(n: int) -> str:
+        if not hashed:
+            joined = f"g{n} AS (SELECT day, name, string_agg(part, '_' ORDER BY part) AS parts FROM ({seen(n)}) GROUP BY ALL)"
+        else:
+            joined = f"""p{n} AS (SELECT day, name, part, part || CASE WHEN count(*) > 1 THEN '*' || count(*) ELSE '' END AS text FROM ({seen(n)}) GROUP BY day, name, part),
+            q{n} AS (SELECT *, CASE WHEN k > {MOST} THEN {H.format("part")} % ceil(k / {MOST})::BIGINT ELSE -1 END AS range FROM (SELECT *, count(*) OVER (PARTITION BY day, name) AS k FROM p{n})),
+            o{n} AS (SELECT day, name, range, string_agg(text, '_' ORDER BY text) AS j FROM q{n} GROUP BY day, name, range),
+            g{n} AS (SELECT day, name, string_agg(CASE WHEN range < 0 THEN j ELSE md5(j) END, '_' ORDER BY range) AS parts FROM o{n} GROUP BY day, name)"""
+        grown = wrap.format("a.rsg || '-(' || parts || ')'")
+        return f"{joined}, r{n} AS (SELECT a.day, a.name, CASE WHEN parts IS NULL THEN a.rsg ELSE {grown} END AS rsg FROM r{n - 1} a LEFT JOIN g{n} g ON g.day = a.day AND g.name = a.name)"
+
     union = "rsgs AS (SELECT day, name, rsg, 0 AS depth FROM r0 UNION ALL SELECT day, name, rsg, 1 FROM r1 UNION ALL SELECT day, name, rsg, 2 FROM r2)"
     return ", ".join([f"r0 AS (SELECT day, name, {wrap.format('props')} AS rsg FROM dv)", step(1), step(2), union])
 
 
-RSG = rsg_cte("{}")
-HASHED = rsg_cte("md5({})")
+RSG = rsg_cte(False)
+HASHED = rsg_cte(True)
 COUNTS = "counts AS (SELECT day, rsg, sum(frequency)::BIGINT AS cnt FROM rsgs JOIN dv USING (day, name) GROUP BY ALL)"
-H = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 XOR_CTE = f"""
 tn AS (SELECT DISTINCT day, actorID AS name, objectID AS other, action AS type FROM de UNION SELECT DISTINCT day, objectID, actorID, 'rev_' || action FROM de),
 w0 AS (SELECT day, name, props AS label FROM dv),
@@ -46,7 +63,7 @@ def parts(s, d):
 
 def rsgs(s, d, depth=2, hashed=False):
     v, p = parts(s, d)
-    return wl.rooted_subgraphs(v, p, KEYS, depth, hashed)
+    return wl.rooted_subgraphs(v, p, KEYS, depth, hashed, MOST)
 
 
 def xor(s, d):
@@ -58,7 +75,7 @@ def xor(s, d):
 
 def counts(s, d, hashed=True):
     v, p = parts(s, d)
-    return wl.rsg_counts(wl.rooted_subgraphs(v, p, KEYS, 2, hashed), v, KEYS)
+    return wl.rsg_counts(wl.rooted_subgraphs(v, p, KEYS, 2, hashed, MOST), v, KEYS)
 
 
 def action_counts(s, d):

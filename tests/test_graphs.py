@@ -327,6 +327,17 @@ def test_isolated_vertex_keeps_its_text(spark):
     assert found[("c", 2)] == "z" and found[("a", 1)] == "x-(E:y)" and found[("a", 2)] == "x-(E:y)-(E:y-(E:x))"
 
 
+def test_hubs_are_digested_in_ranges(spark):
+    """No row of a hub's text holds many parts, equal parts are one, and the digest depends on the parts alone."""
+    v = spark.createDataFrame([(0, f"n{i}", [f"p{i % 40}"]) for i in range(201)], "day int, name string, properties array<string>")
+    edges = [(0, "n200", f"n{i}", ["E"]) for i in range(200)]
+    found = [wl.rooted_subgraphs(v, spark.createDataFrame(e, "day int, src string, dst string, actions array<string>"), ["day"], 1, True, 6).where("name = 'n200' and depth = 1").first().rsg for e in (edges, edges[::-1], edges[1:])]
+    assert found[0] == found[1] != found[2] and len(found[0]) == 32
+    seen = spark.createDataFrame([(0, "hub", f"part{i % 700}") for i in range(1000)] + [(0, "leaf", "a"), (0, "leaf", "a"), (0, "leaf", "b")], "day int, name string, part string")
+    rows = {r.name: r.parts for r in wl.joined_parts(seen, ["day"], 6).collect()}
+    assert rows["leaf"] == "a*2_b" and len(rows["hub"].split("_")) <= 6 and all(len(x) == 32 for x in rows["hub"].split("_"))
+
+
 def test_unquoted_dot_names(spark):
     rows = ['\\nproc_1 [x=1, type="process"]', '\\n"a b" [type=file]', '\\nproc_1 -> "a b" [capacity=1, type="read" timestamp=3]', '\\n"a b" -> other one [capacity=1, type=write timestamp=4]', 'digraph { "lost" [type="file"]']
     statements = spark.createDataFrame([(r.encode().decode("unicode_escape"),) for r in rows], "value string")
