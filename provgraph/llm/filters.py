@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count, permutations
 
@@ -15,21 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from provgraph.cluster import dense_ids
-
 from .common import ship_package, slices, table, written
 
 #: Bounds of one shard of the matrix, and the bytes of a text that are cut into words at a time.
-SHARD_ROWS, SHARD_BYTES, PIECE = 2048, 2 << 20, 1 << 20
+SHARD_ROWS, SHARD_BYTES, PIECE = 1 << 16, 32 << 20, 1 << 20
 #: Words of more bytes stand in the dictionary by a space, which no word holds, and their SHA-256.
 LONG_WORD = 64
-#: A word in more shards than both is joined by broadcast: at most ``HOT_WORDS`` words can be.
-HOT_SHARDS, HOT_WORDS = 1000, 100_000
+#: The least number of buckets of the dictionary, and (shard, word) rows for each bucket beyond.
+BUCKETS, BUCKET_ROWS = 64, 200_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 UPPER, SYMBOLS = bytes(range(65, 91)), b"#$%&*|"
 FILTERS = "ABCDE"
 
-RAW = "shard string, docs array<struct<doc_id:bigint,part:string,digest:binary,c:boolean,d:boolean>>, starts binary, columns binary, counts binary, words array<string>"
+RAW = "shard long, docs array<struct<doc_id:bigint,part:string,digest:binary,c:boolean,d:boolean>>, starts binary, steps binary, counts binary, words array<string>"
+SHARDS = RAW.split(", words")[0].replace("steps", "columns")
 _DOC = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_())])
 
 
@@ -43,6 +42,15 @@ def pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed: steps and counts are mostly small."""
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(packed_numbers: bytes, how_many: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed_numbers, 4 * how_many, codec="zstd", asbytes=True), "<i4")
+
+
 def dictionary_key(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b" " + hashlib.sha256(word).hexdigest().encode()
 
@@ -53,7 +61,7 @@ class Shard:
     def __init__(self) -> None:
         self.local: dict[bytes, int] = defaultdict(count().__next__)
         self.docs: list[dict] = []
-        self.found: list[tuple[int, np.ndarray]] = []
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.bytes = 0
 
     def add(self, doc_id: int | None, part: str | None, text: bytes) -> None:
@@ -61,24 +69,27 @@ class Shard:
         capitals = len(text) - len(text.translate(None, UPPER))
         many = 100 * capitals > 5 * (len(text) - points)
         marked = len(text.translate(None, SYMBOLS)) < len(text)
+        words: Counter[bytes] = Counter()
         for piece in pieces(text):
-            words = piece.split()
-            self.found.append((len(self.docs), np.fromiter(map(self.local.__getitem__, words), np.int32, len(words))))
+            words.update(piece.split())
+        columns = np.fromiter(map(self.local.__getitem__, words), np.int32, len(words))
+        order = np.argsort(columns)
+        self.found.append((columns[order], np.fromiter(words.values(), np.int32, len(words))[order]))
         self.docs.append({"doc_id": doc_id, "part": part or "", "digest": hashlib.sha256(text).digest(), "c": many, "d": marked})
         self.bytes += len(text)
 
     def full(self) -> bool:
         return len(self.docs) >= SHARD_ROWS or self.bytes >= SHARD_BYTES
 
-    def row(self, name: str) -> pa.RecordBatch:
-        """The shard as compressed sparse rows: where each document's entries start, their columns and their counts."""
-        width = max(len(self.local), 1)
-        cells, counts = np.unique(np.concatenate([row * width + ids.astype(np.int64) for row, ids in self.found] or [np.zeros(0, np.int64)]), return_counts=True)
-        starts = np.searchsorted(cells, np.arange(len(self.docs) + 1, dtype=np.int64) * width)
+    def row(self, name: int) -> pa.RecordBatch:
+        """The shard as compressed sparse rows: where each document's entries start, the steps from each entry's column to the next one's, which
+        are mostly small, and the counts."""
+        starts = np.concatenate([[0], np.cumsum([len(columns) for columns, _ in self.found], dtype=np.int64)])
+        columns, counts = (np.concatenate([x[i] for x in self.found] or [np.zeros(0, np.int32)]) for i in (0, 1))
         words = pa.array([dictionary_key(w) for w in self.local], pa.binary()).cast(pa.string())
-        binary = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-        columns = [pa.array([name]), pa.array([self.docs], pa.list_(_DOC)), binary(starts, "<i8"), binary(cells % width, "<i4"), binary(counts, "<i4"), pa.array([words.to_pylist()], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "starts", "columns", "counts", "words"])
+        binary = [pa.array([x], pa.binary()) for x in (starts.astype("<i8").tobytes(), packed(np.diff(columns, prepend=0)), packed(counts))]
+        columns = [pa.array([name], pa.int64()), pa.array([self.docs], pa.list_(_DOC)), *binary, pa.array([words.to_pylist()], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "starts", "steps", "counts", "words"])
 
 
 def local_shards(docs: DataFrame) -> DataFrame:
@@ -91,42 +102,46 @@ def local_shards(docs: DataFrame) -> DataFrame:
             for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 shard.add(doc_id, part, text or b"")
                 if shard.full():
-                    yield shard.row(f"{task}-{number}")
+                    yield shard.row(task << 32 | number)
                     shard, number = Shard(), number + 1
         if shard.docs:
-            yield shard.row(f"{task}-{number}")
+            yield shard.row(task << 32 | number)
 
     return docs.select(F.col("doc_id").cast("long"), "part", "text").mapInArrow(run, RAW)
 
 
 def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix as shards of compressed sparse rows, and its dictionary (``word``, ``word_id`` from 0 in order of words).
+    """The document-term matrix as shards of compressed sparse rows, and its dictionary (``word``, ``word_id``).
 
     ``docs``: ``doc_id``, ``part``, ``text``. A shard holds up to ``SHARD_ROWS`` documents or about ``SHARD_BYTES`` of text: ``docs``, ``starts``
-    (64-bit), ``columns`` (64-bit word ids), ``counts`` (32-bit). Words are numbered within their shard first, so the corpus-wide dictionary is joined
-    with each shard's distinct words and not with every word of every text. A word in very many shards would be a hot key;
-    those are joined by broadcast, at most ``HOT_WORDS`` whatever the corpus. Words over ``LONG_WORD`` bytes stand in the dictionary by digest.
+    (64-bit), ``columns`` (64-bit word ids), ``counts`` (32-bit). Words are numbered within their shard first, so the corpus meets in the
+    dictionary with each shard's distinct words, not with every word of every text. Those are dealt to buckets by hash and ranked there; a word's id is its rank
+    times the number of buckets plus its bucket. One shuffle takes the words to their ids and one the ids back to their shards; a word has at most one row for each
+    shard, so frequent ones make no hot bucket. Words over ``LONG_WORD`` bytes stand in the dictionary by digest.
 
     Null text: a row without entries. Repeated rows: a row each. A longer text is cut into words piece by piece.
     Empty input: no shards and an empty dictionary.
     """
     local = written(local_shards(docs))
     words = local.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = written(dense_ids(words, "word", "word_id"))
-    spread = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    bound = max(HOT_SHARDS, words.count() // HOT_WORDS)
-    hot = F.broadcast(written(spread.where(F.col("n") > bound).join(dictionary, "word").select("word", "word_id")))
-    rest = words.join(hot, "word", "left_anti").join(dictionary, "word")
-    ids = rest.unionByName(words.join(hot, "word")).groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word_id"))), lambda x: x["word_id"]).alias("ids"))
+    buckets = max(BUCKETS, (local.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET_ROWS)
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long")
+    encoded = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets))).withColumn("word_id", (rank - 1) * buckets + F.col("bucket"))
+    ids = encoded.groupBy("shard").agg(F.collect_list("at").alias("at"), F.collect_list("word_id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            ids = batch.column(4)[0].values
-            wide = np.zeros(0, np.int64) if ids is None else ids.to_numpy()[np.frombuffer(batch.column(3)[0].as_py(), "<i4")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([wide.astype("<i8").tobytes()], pa.binary()), batch.column(5)], names=["shard", "docs", "starts", "columns", "counts"])
-
-    joined = local.drop("words").join(ids, "shard", "left").select("shard", "docs", "starts", "columns", "ids", "counts")
-    return joined.mapInArrow(run, ", ".join(RAW.split(", ")[:-1])), dictionary
+            at, ids = batch.column(4)[0].values, batch.column(5)[0].values
+            starts = np.frombuffer(batch.column(2)[0].as_py(), "<i8")
+            steps, counts = (unpacked(batch.column(i)[0].as_py(), int(starts[-1])) for i in (3, 6))
+            wide = np.zeros(0 if ids is None else len(ids), np.int64)
+            if ids is not None:
+                wide[at.to_numpy()] = ids.to_numpy()
+            binary = [pa.array([x.tobytes()], pa.binary()) for x in (wide[np.cumsum(steps)].astype("<i8"), counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *binary], names=["shard", "docs", "starts", "columns", "counts"])
+
+    joined = local.drop("words").join(ids, "shard", "left").select("shard", "docs", "starts", "steps", "at", "ids", "counts")
+    return joined.mapInArrow(run, SHARDS), encoded.select("word", "word_id").distinct()
 
 
 def word_flags(shards: DataFrame, least_words: int = 50, least_distinct: int = 65) -> DataFrame:
