@@ -1,4 +1,4 @@
-"""Communities of directed graphs: label propagation, modularity, local moving with bounded sizes."""
+"""Communities of directed graphs: label propagation, modularity, local moving and refinement, with bounded sizes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provgraph.cluster import checkpointed, connected_components
+from provgraph.functions import uniform
 
 
 def label_propagation(pairs: DataFrame, rounds: int = 3) -> DataFrame:
@@ -27,21 +28,29 @@ def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return sums.withColumn("m", F.sum("out").over(Window.partitionBy(F.lit(0)))).agg(F.sum(F.col("inner") / F.col("m") - F.col("out") * F.col("into") / (F.col("m") * F.col("m")).cast("double")).alias("modularity"))
 
 
-def local_moving(weights: DataFrame, parents: DataFrame, rounds: int = 12) -> DataFrame:
-    """``node``, ``community`` after half-rounds of moves to the neighbouring community of greatest modularity gain.
-
-    ``weights``: ``src``, ``dst``, ``w``; ``parents``: ``node``, ``parent``; moves stay inside a parent. In each half-round
-    only the nodes of one parity of a hash may move, which keeps neighbours from swapping for ever.
-    """
+def linked(weights: DataFrame, parents: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbours inside a parent (``node``, ``other``, ``w``), and each node's weights out and in (``k_out``, ``k_in``) with the whole weight of its graph
+    (``total``). ``graphs``: ``node``, ``parent``; each is a graph of its own, as a community that is split again is."""
     kin = lambda end: parents.toDF(end, f"{end}_parent")
     inside = checkpointed(weights.join(kin("src"), "src").join(kin("dst"), "dst").where("src_parent = dst_parent").select("src", "dst", "w"))
-    total = weights.agg(F.sum("w")).first()[0] or 0.0
-    if not total:
-        return parents.select("node", F.col("node").alias("community"))
     ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.col("w").alias("out"), F.lit(0.0).alias("into")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0.0).alias("out"), F.col("w").alias("into")))
     degrees = checkpointed(weights.select(F.explode(ends).alias("x")).select("x.*").groupBy("node").agg(F.sum("out").alias("k_out"), F.sum("into").alias("k_in")))
     near = checkpointed(inside.where("src <> dst").select(F.explode(ends).alias("x")).select("x.node", "x.other", (F.col("x.out") + F.col("x.into")).alias("w")))
-    state = checkpointed(parents.select("node", F.col("node").alias("community")))
+    graph_of = graphs.toDF("node", "graph")
+    totals = weights.join(graph_of.toDF("src", "graph"), "src").groupBy("graph").agg(F.sum("w").alias("total"))
+    return near, checkpointed(degrees.join(graph_of, "node").join(totals, "graph").drop("graph"))
+
+
+def local_moving(weights: DataFrame, parents: DataFrame, rounds: int = 12, start: DataFrame | None = None) -> DataFrame:
+    """``node``, ``community`` after half-rounds of moves to the neighbouring community of greatest modularity gain.
+
+    ``weights``: ``src``, ``dst``, ``w``; ``parents``: ``node``, ``parent``; moves stay inside a parent. ``start``: the communities to begin with, else
+    each node its own. In each half-round only the nodes of one parity of a hash may move, which keeps neighbours from swapping for ever.
+    """
+    alone = parents.select("node", F.col("node").alias("community"))
+    near, degrees = linked(weights, parents, parents)
+    total = F.col("total")
+    state = checkpointed(alone if start is None else start.select("node", "community"))
     still = 0
     for turn in range(rounds):
         placed = state.join(degrees, "node")
@@ -63,19 +72,56 @@ def local_moving(weights: DataFrame, parents: DataFrame, rounds: int = 12) -> Da
     return state
 
 
-def communities(pairs: DataFrame, parents: DataFrame | None = None, levels: int = 2, rounds: int = 12) -> DataFrame:
-    """``node``, ``community``: local moving, contraction, again; last each community is split into its connected parts."""
+def refined(weights: DataFrame, membership: DataFrame, graphs: DataFrame, rounds: int = 4) -> DataFrame:
+    """``node``, ``community``: each community of ``membership`` taken apart and put together again from single nodes, inside it only.
+
+    In a half-round the lone nodes of one parity join a neighbouring community that has the other parity's name, with a chance in proportion
+    to the modularity gained, drawn by hash; what gains nothing stays apart. Only lone nodes move and only along an edge, so every
+    part is connected, which communities of local moving need not be.
+    """
+    parents = membership.toDF("node", "parent")
+    state = checkpointed(parents.select("node", F.col("node").alias("community")))
+    near, degrees = linked(weights, parents, graphs)
+    total = F.col("total")
+    parity = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    for turn in range(2 * rounds):
+        placed = state.join(degrees, "node")
+        sums = placed.groupBy("community").agg(F.sum("k_out").alias("sum_out"), F.sum("k_in").alias("sum_in"), F.count(F.lit(1)).alias("n"))
+        lone = placed.join(sums.where("n = 1").select("community"), "community", "left_semi").where(parity(F.col("node")) == turn % 2).select("node", "k_out", "k_in", "total")
+        links = near.join(lone, "node").join(state.toDF("other", "to"), "other").where((F.col("to") != F.col("node")) & (parity(F.col("to")) != turn % 2)).groupBy("node", "k_out", "k_in", "total", "to").agg(F.sum("w").alias("links"))
+        rated = links.join(sums.withColumnRenamed("community", "to"), "to").withColumn("gain", F.col("links") / total - (F.col("k_out") * F.col("sum_in") + F.col("k_in") * F.col("sum_out")) / (total * total))
+        race = -F.ln(uniform(F.concat_ws("|", "node", "to", F.lit(str(turn))))) / F.col("gain")
+        drawn = checkpointed(rated.where("gain > 1e-12").groupBy("node").agg(F.min_by("to", F.struct(race, "to")).alias("to")))
+        if turn and drawn.isEmpty() and still:
+            break
+        still = drawn.isEmpty()
+        state = checkpointed(state.join(drawn, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+    return state
+
+
+def communities(pairs: DataFrame, parents: DataFrame | None = None, levels: int = 2, rounds: int = 12, refine: bool = True) -> DataFrame:
+    """``node``, ``community``: local moving, refinement inside each community, contraction of the refined parts, again.
+
+    The next level's moving begins with the communities so far, so refined parts can leave theirs, which contracting whole communities rules out (``refine=False``). Last
+    each community is split into its connected parts.
+    """
     edges = checkpointed(pairs.select("src", "dst", F.lit(1.0).alias("w")))
     nodes = edges.select("src").union(edges.select("dst")).distinct().toDF("node")
     parents = checkpointed(nodes.withColumn("parent", F.lit("all")) if parents is None else parents.select("node", "parent"))
-    place = parents.select("node", F.col("node").alias("community"))
-    weights, kin = edges, parents
-    for _ in range(levels):
-        moved = local_moving(weights, kin, rounds)
-        place = checkpointed(place.withColumnRenamed("community", "old").join(moved.toDF("old", "community"), "old").select("node", "community"))
-        one, two = moved.toDF("src", "a"), moved.toDF("dst", "b")
+    place = parents.select("node", F.col("node").alias("part"))
+    weights, kin, start = edges, parents, None
+    for level in range(levels):
+        moved = local_moving(weights, kin, rounds, start)
+        if level == levels - 1:
+            break
+        parts = refined(weights, moved, kin) if refine else moved
+        place = checkpointed(place.withColumnRenamed("part", "old").join(parts.toDF("old", "part"), "old").select("node", "part"))
+        one, two = parts.toDF("src", "a"), parts.toDF("dst", "b")
         weights = checkpointed(weights.join(one, "src").join(two, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        kin = checkpointed(kin.join(moved, "node").groupBy(F.col("community").alias("node")).agg(F.min("parent").alias("parent")))
+        above = parts.withColumnRenamed("community", "part")
+        kin = checkpointed(kin.join(above, "node").groupBy(F.col("part").alias("node")).agg(F.min("parent").alias("parent")))
+        start = checkpointed(moved.join(above, "node").groupBy(F.col("part").alias("node")).agg(F.min("community").alias("community")))
+    place = checkpointed(place.join(moved.toDF("part", "community"), "part").select("node", "community"))
     src, dst = place.toDF("src", "a"), place.toDF("dst", "b")
     inner = edges.join(src, "src").join(dst, "dst").where("a = b").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     roots = connected_components(inner)

@@ -407,6 +407,38 @@ def test_short_sequences(spark):
         create(DETECTORS, "autoregression").train(seq)
 
 
+def test_refinement_beats_local_moving(spark):
+    """On this graph contracting whole communities ends at a lower modularity than contracting refined parts; parts are connected and inside theirs."""
+    rng = random.Random(0)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(95)}
+    g = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in pairs], "src string, dst string").coalesce(1).cache()
+    plain, better = (community.modularity(g, community.communities(g, levels=3, rounds=8, refine=refine)).first()[0] for refine in (False, True))
+    assert better > plain + 0.01
+    groups = spark.createDataFrame([(f"v{i}", f"c{i % 3}") for i in range(60)], "node string, community string")
+    groups = groups.join(g.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
+    parts = {r.node: r.community for r in community.refined(g.select("src", "dst", F.lit(1.0).alias("w")), groups, groups.select("node", F.lit("all").alias("parent"))).collect()}
+    near = {}
+    for a, b in pairs:
+        if parts[f"v{a}"] == parts[f"v{b}"]:
+            near.setdefault(f"v{a}", set()).add(f"v{b}")
+            near.setdefault(f"v{b}", set()).add(f"v{a}")
+    for part in set(parts.values()):
+        seen, todo = {part}, [part]
+        while todo:
+            todo += [x for x in near.get(todo.pop(), ()) if x not in seen and not seen.add(x)]
+        assert seen == {n for n, p in parts.items() if p == part} and len({int(n[1:]) % 3 for n in seen}) == 1
+    assert len(set(parts.values())) < len(parts)
+
+
+def test_large_communities_are_split_again(spark):
+    """A ring of thirty triangles: modularity joins neighbours, and a bound of five takes them apart."""
+    edges = [(f"t{i:02}{a}", f"t{i:02}{b}") for i in range(30) for a, b in ("ab", "bc", "ca")] + [(f"t{i:02}a", f"t{(i + 1) % 30:02}b") for i in range(30)]
+    g = spark.createDataFrame(edges, "src string, dst string").coalesce(1)
+    free = community.communities(g, rounds=8).groupBy("community").count().agg({"count": "max"}).first()[0]
+    sizes = community.bounded_communities(g, most=5, depth=2, rounds=8).groupBy("community").count().collect()
+    assert free > 5 >= max(r["count"] for r in sizes) and sum(r["count"] for r in sizes) >= 88
+
+
 def test_blocks_meet_once():
     for blocks in (1, 2, 6, 8):
         met = [frozenset((a, b)) for bucket in embed.meetings(blocks)[1:] for a in range(blocks) for b in range(a + 1, blocks) if bucket[a] == bucket[b]]
