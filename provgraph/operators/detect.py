@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.cluster import dense_ids
+from provgraph.cluster import checkpointed, dense_ids, ship_package
 from provgraph.functions import squared_error
 
 #: Predecessors that a forecast sees, and the error beyond which a snapshot is anomalous.
 LAGS, THRESHOLD = 12, 0.016
+#: Hashed features of a window of all dimensions; bounds the normal equations, which one machine solves.
+FEATURES = 256
 
 
 def sequence(vectors: DataFrame, order: str, vector: str) -> DataFrame:
@@ -107,13 +112,117 @@ def autoregression_forecast(windows: DataFrame, weights: DataFrame) -> DataFrame
     return windows.join(pred, "seq")
 
 
-def choose_ridge(seq: DataFrame, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), lags: int = LAGS) -> float:
-    """The ridge with the least validation error on a chronological split."""
-    windows = lag_windows(seq, lags)
-    split = chronological_split(windows)
-    cells = gram(lagged_values(split.where("part = 'train'")), lags)
-    errors = {}
-    for ridge in ridges:
-        scored = scores(autoregression_forecast(split.where("part = 'validation'"), fit_autoregression(cells, ridge, lags)))
-        errors[ridge] = scored.agg(F.avg("error").alias("e")).first()["e"] or 0.0
-    return min(ridges, key=lambda r: (errors[r], r))
+def projection(lags: int, dims: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell of a window, lag by lag, its feature and its sign, by the md5 of ``lag|dimension``; each cell its own feature if they suffice."""
+    if lags * dims <= size:
+        return np.arange(lags * dims), np.ones(lags * dims)
+    drawn = [int(hashlib.md5(f"{i}|{d}".encode()).hexdigest()[:15], 16) for i in range(lags) for d in range(dims)]
+    return np.array([h % size for h in drawn]), np.array([1.0 - 2 * (h // size % 2) for h in drawn])
+
+
+def featured(rows: pd.DataFrame, lags: int, size: int) -> np.ndarray:
+    """One row of hashed features for each window of all dimensions."""
+    cells = np.array([np.concatenate([np.asarray(v, float) for v in w]) for w in rows["window"]]).reshape(len(rows), -1)
+    index, sign = projection(lags, cells.shape[1] // lags, size)
+    out = np.zeros((len(rows), size))
+    np.add.at(out.T, index, (cells * sign).T)
+    return out
+
+
+def joint_gram(windows: DataFrame, lags: int = LAGS, size: int = FEATURES) -> DataFrame:
+    """Rows of the normal equations of all dimensions together: ``i``, ``values`` (products with every feature, then with every dimension).
+
+    A task sums over its windows and gives one row for each feature; the rows of a feature meet in one group, as many as there are tasks.
+    """
+    ship_package(windows.sparkSession)
+
+    def sums(batches):
+        total = None
+        for rows in batches:
+            if len(rows):
+                z = featured(rows, lags, size)
+                part = z.T @ np.hstack([z, np.array(rows["vec"].tolist(), float)])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": range(size), "values": total.tolist()})
+
+    def added(key, rows):
+        return pd.DataFrame({"i": [key[0]], "values": [np.sum(np.array(rows["values"].tolist()), axis=0).tolist()]})
+
+    return windows.select("window", "vec").mapInPandas(sums, "i int, values array<double>").groupBy("i").applyInPandas(added, "i int, values array<double>")
+
+
+@dataclass
+class Joint:
+    """A forecaster of all dimensions from hashed features of the window: weights by feature and dimension, and how they were chosen."""
+
+    weights: np.ndarray
+    lags: int
+    ridge: float
+    errors: dict[float, float]
+
+    def forecast(self, windows: DataFrame) -> DataFrame:
+        weights, lags, names = self.weights, self.lags, [*windows.columns, "pred"]
+        fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields] + ["pred array<double>"])
+
+        def run(batches):
+            for rows in batches:
+                yield rows.assign(pred=(featured(rows, lags, len(weights)) @ weights).tolist() if len(rows) else [])[names]
+
+        return windows.mapInPandas(run, fields)
+
+
+def fit_joint(seq: DataFrame, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), lags: int = LAGS, size: int = FEATURES) -> Joint:
+    """Fit on the first four fifths of the sequence and take the ridge of least error on the rest; the smallest on ties.
+
+    One job sums the normal equations, ``size`` rows of a fixed width; their eigenvectors give the weights of every ridge at once, and one
+    more job sums the errors of all of them.
+    """
+    split = chronological_split(lag_windows(seq, lags))
+    rows = sorted(joint_gram(split.where("part = 'train'"), lags, size).collect(), key=lambda r: r.i)
+    if not rows:
+        raise ValueError("no snapshots to train on")
+    cells = np.array([r["values"] for r in rows])
+    values, vectors = np.linalg.eigh(cells[:, :size])
+    turned = vectors.T @ cells[:, size:]
+    every = {ridge: vectors @ (turned / (np.maximum(values, 0) + ridge)[:, None]) for ridge in ridges}
+
+    def errors(batches):
+        total = dict.fromkeys(every, 0.0)
+        for rows in batches:
+            if len(rows):
+                z, y = featured(rows, lags, size), np.array(rows["vec"].tolist(), float)
+                for ridge, weights in every.items():
+                    total[ridge] += float((((z @ weights) - y) ** 2).mean(axis=1).sum())
+        yield pd.DataFrame({"ridge": list(total), "error": list(total.values())})
+
+    found = split.where("part = 'validation'").select("window", "vec").mapInPandas(errors, "ridge double, error double").groupBy("ridge").agg(F.sum("error").alias("error"))
+    by_ridge = {r.ridge: r.error for r in found.collect()}
+    best = min(ridges, key=lambda r: (round(by_ridge.get(r, 0.0), 12), r))
+    return Joint(every[best], lags, best, by_ridge)
+
+
+def choose_ridge(seq: DataFrame, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), lags: int = LAGS) -> DataFrame:
+    """``ridge``, ``error``, ``best``: validation errors of forecasts dimension by dimension for every ridge on a chronological split, in one job.
+
+    The ridge stands in the key of the groups that are solved and of the values that are forecast, so no value waits for another.
+    """
+    split = chronological_split(lag_windows(seq, lags))
+    cells = checkpointed(gram(lagged_values(split.where("part = 'train'")), lags))
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.zeros((lags, lags)), np.zeros(lags)
+        for i, j, v in zip(rows["i"], rows["j"], rows["value"]):
+            if j == lags:
+                b[i] = v
+            else:
+                a[i, j] = a[j, i] = v
+        solved = [np.linalg.solve(a + ridge * np.eye(lags), b).tolist() for ridge in ridges]
+        return pd.DataFrame({"dim": int(rows["dim"].iloc[0]), "ridge": list(ridges), "weights": solved})
+
+    weights = cells.groupBy("dim").applyInPandas(solve, "dim int, ridge double, weights array<double>")
+    each = lagged_values(split.where("part = 'validation'")).join(weights, "dim")
+    wrong = F.aggregate(F.zip_with("x", "weights", lambda x, w: x * w), F.lit(0.0).cast("double"), lambda s, v: s + v) - F.col("y")
+    errors = each.groupBy("ridge", "seq").agg(F.avg(wrong * wrong).alias("error")).groupBy("ridge").agg(F.avg("error").alias("error"))
+    first = F.min(F.struct(F.round("error", 12), "ridge")).over(Window.partitionBy(F.lit(0)))
+    return errors.withColumn("best", first["ridge"] == F.col("ridge"))

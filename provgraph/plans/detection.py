@@ -173,12 +173,35 @@ def var_errors(s, d):
     return detect.scores(detect.autoregression_forecast(windows, weights)).select("seq", "error", "flag")
 
 
+def joint_gram(s, d):
+    """Cells of the joint forecaster's normal equations: products of hashed features, and with each dimension."""
+    cells = detect.joint_gram(detect.lag_windows(seq(s, d)), size=HASHED_FEATURES).select("i", F.posexplode("values").alias("j", "value"))
+    return cells.select("i", "j", F.round("value", 6).alias("value"))
+
+
+def joint_forecast(s, d):
+    """Errors of the joint forecaster, its ridge chosen on the last fifth of the sequence."""
+    rows = seq(s, d)
+    return detect.scores(detect.fit_joint(rows).forecast(detect.lag_windows(rows)), THRESHOLD).select("seq", "error", "flag")
+
+
+#: Features of the joint forecaster whose cells are compared.
+HASHED_FEATURES = 16
+HASH = "('0x' || substr(md5(l.i || '|' || a.dim), 1, 15))::BIGINT"
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "lag_windows": (lag_windows, f"WITH {CELLS} SELECT a.seq, 12::BIGINT AS n, round(CASE WHEN a.seq = 0 THEN 12 * a.y ELSE coalesce(sum(p.y), 0) END, 6) AS total, round(CASE WHEN a.seq = 0 THEN a.y ELSE max(p.y) FILTER (p.seq = a.seq - 1) END, 6) AS last FROM x a LEFT JOIN x p ON p.dim = 0 AND p.seq BETWEEN a.seq - 12 AND a.seq - 1 WHERE a.dim = 0 GROUP BY a.seq, a.y"),
     "train_windows": (train_windows, f"WITH {CELLS} SELECT b.seq, round(a.y, 6) AS first, round(b.y, 6) AS last FROM x b JOIN x a ON a.dim = 0 AND a.seq = b.seq - 11 WHERE b.dim = 0"),
     "chrono_split": (lambda s, d: detect.chronological_split(seq(s, d)).select("seq", "vec_id", "part"), f"WITH {SEQ} SELECT seq, vec_id, CASE WHEN seq < floor(0.8::DOUBLE * (SELECT count(*) FROM v)) THEN 'train' ELSE 'validation' END AS part FROM v"),
     "var_gram": (lambda s, d: detect.gram(detect.lagged_values(detect.lag_windows(seq(s, d)))).select("dim", "i", "j", F.round("value", 6).alias("value")), f"""WITH {CELLS}, w AS (SELECT a.seq, a.dim, l.i::INT AS i, CASE WHEN a.seq = 0 THEN a.y ELSE coalesce(p.y, 0) END AS z, a.y FROM x a CROSS JOIN range(12) l(i) LEFT JOIN x p ON p.dim = a.dim AND p.seq = a.seq - 12 + l.i)
         SELECT p.dim, p.i, q.i AS j, round(sum(p.z * q.z), 6) AS value FROM w p JOIN w q ON q.dim = p.dim AND q.seq = p.seq AND q.i >= p.i GROUP BY ALL UNION ALL SELECT dim, i, 12, round(sum(z * y), 6) FROM w GROUP BY ALL"""),
+    "joint_gram": (joint_gram, f"""WITH {CELLS}, w AS (
+          SELECT a.seq, {HASH} % {HASHED_FEATURES} AS f, sum(CASE WHEN {HASH} // {HASHED_FEATURES} % 2 = 0 THEN 1 ELSE -1 END * CASE WHEN a.seq = 0 THEN a.y ELSE coalesce(p.y, 0) END) AS z
+          FROM x a CROSS JOIN range(12) l(i) LEFT JOIN x p ON p.dim = a.dim AND p.seq = a.seq - 12 + l.i GROUP BY ALL)
+        SELECT a.f::INT AS i, b.f::INT AS j, round(sum(a.z * b.z), 6) AS value FROM w a JOIN w b USING (seq) GROUP BY ALL
+        UNION ALL SELECT w.f::INT, {HASHED_FEATURES} + x.dim, round(sum(z * y), 6) FROM w JOIN x USING (seq) GROUP BY ALL"""),
+    "joint_forecast": (joint_forecast, None),
+    "ridge_choice": (lambda s, d: detect.choose_ridge(seq(s, d)), None),
     "forecast_error": (lambda s, d: scored(s, d).select("seq", F.round("error", 9).alias("error")), f"WITH {SCORED} SELECT seq, round(error, 9) AS error FROM scored"),
     "anomaly_flags": (lambda s, d: scored(s, d).select("seq", "flag", "truth"), f"WITH {SCORED} SELECT seq, flag, truth FROM scored"),
     "score_listing": (lambda s, d: report.score_listing(scored(s, d)).withColumn("error", F.round("error", 9)), f"WITH {SCORED} SELECT seq, round(error, 9) AS error, CASE WHEN flag = 1 THEN 'anomalous' ELSE 'normal' END AS status FROM scored"),

@@ -87,6 +87,15 @@ def bounded(s, d):
     return both.select("nodes", (F.col("last") + 1 == F.col("n")).alias("numbered"), (F.col("parts") == F.col("n")).alias("connected"), (F.col("modularity") > F.col("propagated")).alias("above_propagation"))
 
 
+def community_snapshots(s, d):
+    """Vertices and edges of every community as a snapshot."""
+    p, membership = number_membership(s, d)
+    vertices, edges = community.community_snapshots(membership.select(F.col("node").alias("name")), p, membership)
+    n_edges = edges.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edges"))
+    counted = vertices.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("nodes")).join(n_edges, "snapshot_id", "left")
+    return counted.select(F.col("snapshot_id").alias("community"), "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "ancestors": (lambda s, d: lineage.ancestors(pairs(s, d)), over_edges("SELECT node, ancestor FROM up", G, UP)),
     "components": (lambda s, d: lineage.components(pairs(s, d)), over_edges("SELECT node, root FROM comp", G, COMP)),
@@ -102,6 +111,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "normalised_weights": (lambda s, d: rounded(lineage.normalised(tables.event_edges(s, d).groupBy(F.col("actorID").alias("src"), F.col("objectID").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight")))), over_edges("SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS weight FROM (SELECT actorID AS src, objectID AS dst, count(*)::DOUBLE AS w FROM e GROUP BY ALL)")),
     "label_propagation": (lambda s, d: community.label_propagation(pairs(s, d), 3), over_edges("SELECT node, label FROM lp3", G, lp_cte(3))),
     "community_members": (lambda s, d: community.members(community.label_propagation(pairs(s, d), 2).withColumnRenamed("label", "community")).withColumn("members", F.array_join("members", "|")), over_edges("SELECT label AS community, string_agg(node, '|' ORDER BY node) AS members FROM lp2 GROUP BY label", G, lp_cte(2))),
+    "community_snapshots": (community_snapshots, over_edges("""SELECT a.community, a.nodes, coalesce(b.edges, 0) AS edges FROM (SELECT CAST(substr(n, 2) AS INT) % 5 AS community, count(*) AS nodes FROM (SELECT src AS n FROM g UNION SELECT dst FROM g) GROUP BY ALL) a
+        LEFT JOIN (SELECT CAST(substr(src, 2) AS INT) % 5 AS community, count(*) AS edges FROM g WHERE CAST(substr(src, 2) AS INT) % 5 = CAST(substr(dst, 2) AS INT) % 5 GROUP BY ALL) b USING (community)""", G)),
     "modularity_score": (lambda s, d: community.modularity(*number_membership(s, d)).select(F.round("modularity", 9).alias("modularity")), over_edges("""SELECT round(sum(inner_ / m - o * i / (m * m)), 9) AS modularity FROM (
         SELECT c, sum(o)::DOUBLE AS o, sum(i)::DOUBLE AS i, sum(n)::DOUBLE AS inner_, (SELECT count(*) FROM g)::DOUBLE AS m FROM (
           SELECT CAST(substr(src, 2) AS INT) % 5 AS c, 1 AS o, 0 AS i, (CAST(substr(src, 2) AS INT) % 5 = CAST(substr(dst, 2) AS INT) % 5)::INT AS n FROM g

@@ -430,13 +430,41 @@ def test_refinement_beats_local_moving(spark):
     assert len(set(parts.values())) < len(parts)
 
 
-def test_large_communities_are_split_again(spark):
+def test_large_communities_are_split_again(spark, monkeypatch):
     """A ring of thirty triangles: modularity joins neighbours, and a bound of five takes them apart."""
     edges = [(f"t{i:02}{a}", f"t{i:02}{b}") for i in range(30) for a, b in ("ab", "bc", "ca")] + [(f"t{i:02}a", f"t{(i + 1) % 30:02}b") for i in range(30)]
     g = spark.createDataFrame(edges, "src string, dst string").coalesce(1)
-    free = community.communities(g, rounds=8).groupBy("community").count().agg({"count": "max"}).first()[0]
-    sizes = community.bounded_communities(g, most=5, depth=2, rounds=8).groupBy("community").count().collect()
-    assert free > 5 >= max(r["count"] for r in sizes) and sum(r["count"] for r in sizes) >= 88
+    largest, plain = [], community.communities
+
+    def noted(*args, **settings):
+        found = plain(*args, **settings)
+        largest.append(found.groupBy("community").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(community, "communities", noted)
+    sizes = [r["count"] for r in community.bounded_communities(g, most=5, depth=2, rounds=8).groupBy("community").count().collect()]
+    assert largest[0] > 5 >= max(sizes) and sum(sizes) >= 88
+
+
+def test_joint_forecaster_sees_other_dimensions(spark):
+    """One series repeats another with a delay: forecasts by dimension miss it, the joint ones do not, with features of their own and with shared ones."""
+    rng = random.Random(4)
+    noise = [rng.gauss(0, 1) for _ in range(160)]
+    seq = spark.createDataFrame([(i, [noise[i], noise[i - 1] if i else 0.0, 0.5 * noise[i - 2] if i > 1 else 0.0]) for i in range(160)], "seq long, vec array<double>").cache()
+    windows = detect.lag_windows(seq, 4)
+    error = lambda forecasts: forecasts.where("seq > 10").select(F.posexplode(F.zip_with("pred", "vec", lambda p, x: (p - x) * (p - x))).alias("dim", "e")).where("dim > 0").agg(F.avg("e")).first()[0]
+    alone = error(detect.autoregression_forecast(windows, detect.fit_autoregression(detect.gram(detect.lagged_values(windows), 4), 1.0, 4)))
+    model = detect.fit_joint(seq, lags=4)
+    assert alone > 0.4 and error(model.forecast(windows)) < 0.02 and model.ridge in model.errors and set(model.errors) == {0.01, 0.1, 1.0, 10.0}
+    assert error(detect.fit_joint(seq, lags=4, size=10).forecast(windows)) < alone
+    with pytest.raises(ValueError):
+        detect.fit_joint(seq.limit(0), lags=4)
+
+
+def test_ridge_is_chosen_in_one_job(spark):
+    seq = spark.createDataFrame([(i, [float(i % 3), float(i % 2)]) for i in range(60)], "seq long, vec array<double>")
+    rows = detect.choose_ridge(seq, (10.0, 0.01, 100.0), 4).collect()
+    assert {r.ridge for r in rows} == {0.01, 10.0, 100.0} and [r.ridge for r in rows if r.best] == [0.01] == [min(rows, key=lambda r: (r.error, r.ridge)).ridge]
 
 
 def test_blocks_meet_once():
