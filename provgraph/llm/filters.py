@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count, permutations
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from .common import ship_package, slices, table, written
 
 #: Bounds of one shard of the matrix, and the bytes of a text that are cut into words at a time.
 SHARD_ROWS, SHARD_BYTES, PIECE = 1 << 16, 32 << 20, 1 << 20
+#: Words that a shard holds as Python objects at a time.
+HELD_WORDS = 100_000
 #: Words of more bytes stand in the dictionary by a space, which no word holds, and their SHA-256.
 LONG_WORD = 64
 #: The least number of buckets of the dictionary, and (shard, word) rows for each bucket beyond.
@@ -56,12 +58,14 @@ def dictionary_key(word: bytes) -> bytes:
 
 
 class Shard:
-    """Rows of the matrix under construction; columns are numbered as words come up."""
+    """Rows of the matrix under construction: each document's different words and their counts, one document after the other."""
 
     def __init__(self) -> None:
-        self.local: dict[bytes, int] = defaultdict(count().__next__)
         self.docs: list[dict] = []
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.lengths: list[int] = []
+        self.words: list[bytes] = []
+        self.counts: list[int] = []
+        self.closed: list[tuple[pa.Array, np.ndarray]] = []
         self.bytes = 0
 
     def add(self, doc_id: int | None, part: str | None, text: bytes) -> None:
@@ -72,23 +76,35 @@ class Shard:
         words: Counter[bytes] = Counter()
         for piece in pieces(text):
             words.update(piece.split())
-        columns = np.fromiter(map(self.local.__getitem__, words), np.int32, len(words))
-        order = np.argsort(columns)
-        self.found.append((columns[order], np.fromiter(words.values(), np.int32, len(words))[order]))
+        self.lengths.append(len(words))
+        self.words += words
+        self.counts += words.values()
+        if len(self.words) >= HELD_WORDS:
+            self.close()
         self.docs.append({"doc_id": doc_id, "part": part or "", "digest": hashlib.sha256(text).digest(), "c": many, "d": marked})
         self.bytes += len(text)
 
+    def close(self) -> None:
+        """Words so far out of Python's hands."""
+        keys = [w if len(w) <= LONG_WORD else dictionary_key(w) for w in self.words]
+        self.closed.append((pa.array(keys, pa.binary()), np.array(self.counts, np.int32)))
+        self.words, self.counts = [], []
+
     def full(self) -> bool:
         return len(self.docs) >= SHARD_ROWS or self.bytes >= SHARD_BYTES
 
     def row(self, name: int) -> pa.RecordBatch:
         """The shard as compressed sparse rows: where each document's entries start, the steps from each entry's column to the next one's, which
         are mostly small, and the counts."""
-        starts = np.concatenate([[0], np.cumsum([len(columns) for columns, _ in self.found], dtype=np.int64)])
-        columns, counts = (np.concatenate([x[i] for x in self.found] or [np.zeros(0, np.int32)]) for i in (0, 1))
-        words = pa.array([dictionary_key(w) for w in self.local], pa.binary()).cast(pa.string())
-        binary = [pa.array([x], pa.binary()) for x in (starts.astype("<i8").tobytes(), packed(np.diff(columns, prepend=0)), packed(counts))]
-        columns = [pa.array([name], pa.int64()), pa.array([self.docs], pa.list_(_DOC)), *binary, pa.array([words.to_pylist()], pa.list_(pa.string()))]
+        self.close()
+        words = pa.concat_arrays([w for w, _ in self.closed]).dictionary_encode()
+        starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
+        columns, width = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+        order = np.argsort(np.repeat(np.arange(len(self.docs)), self.lengths) * width + columns)
+        steps, counts = np.diff(columns[order], prepend=0), np.concatenate([c for _, c in self.closed])[order]
+        binary = [pa.array([x], pa.binary()) for x in (starts.astype("<i8").tobytes(), packed(steps), packed(counts))]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string()))
+        columns = [pa.array([name], pa.int64()), pa.array([self.docs], pa.list_(_DOC)), *binary, listed]
         return pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "starts", "steps", "counts", "words"])
 
 
