@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +146,94 @@ def weighted_sketch(histogram: DataFrame, keys: list[str], slots: int, weight: s
     return raced.groupBy(*keys, "slot").agg(F.min_by("label", F.struct(time, "label")).alias("label"))
 
 
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, ...; the last differs from 1 by less than a double can tell.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(18)]
+#: How far, in mean hits of a slot, a race is run at first beyond the log of the slots; a slot stays open with a chance of exp(-AHEAD).
+AHEAD = 3.0
+
+
+def race_events(labels: DataFrame, start: str, stop: str, slots: int) -> DataFrame:
+    """The hits of each label's own race between two of its times: ``s``, ``slot`` beside the columns of ``labels``.
+
+    A label's hits are a Poisson process of rate 1 that depends on nothing but the label: each unit of time has a number of hits, and each hit a moment and a
+    slot, all by hash. So the times at which a slot is first hit, over all labels, are independent exponentials once ``s`` is divided by the weight. ``start`` and
+    ``stop`` are columns; only the units between them are made.
+    """
+    unit = F.explode(F.sequence(F.floor(start), F.greatest(F.floor(start), F.ceil(stop) - 1)))
+    drawn = lambda *c: F.concat_ws("|", F.col("label"), *(x.cast("string") for x in c))
+    u = uniform(drawn(F.col("unit"), F.lit("n")))
+    number = sum(((u > chance).cast("int") for chance in POISSON), F.lit(0))
+    hits = labels.withColumn("unit", unit).withColumn("number", number).where("number > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("number"))))
+    s = F.col("unit") + uniform(drawn(F.col("unit"), F.col("i")))
+    slot = F.pmod(hash60(drawn(F.col("unit"), F.col("i"), F.lit("s"))), F.lit(slots)).cast("int")
+    return hits.withColumn("s", s).withColumn("slot", slot).where((F.col("s") > F.col(start)) & (F.col("s") <= F.col(stop))).drop("unit", "number", "i")
+
+
+def first_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """The slot states of hits, or of states of parts of a histogram: ``slot``, ``at``, ``label`` of the least time, the least label on ties.
+
+    Labels of the parts must differ, or the same label's weight must have grown. Partial minima combine before the shuffle.
+    """
+    return hits.groupBy(*keys, "slot").agg(F.min(F.struct("at", "label")).alias("first")).select(*keys, "slot", "first.*")
+
+
+def raced_sketch(histogram: DataFrame, keys: list[str], slots: int, weight: str = "cnt") -> DataFrame:
+    """Slot states of a consistent weighted sample: ``slot``, ``label``, ``at``; of the same law as ``weighted_sketch``, without labels times slots rows.
+
+    Hits are made in order of time and a snapshot's race stops when each slot was hit: labels of a total weight of W are run to (log(slots) + AHEAD) / W, which
+    takes about slots * (log(slots) + AHEAD) hits and one unit of each label. All hits to that time are known then, so the first in a slot is the first of all;
+    snapshots with a slot not yet hit run on to twice the time. Labels without a positive weight take no part. States merge by ``first_hits``.
+    """
+    counted = checkpointed(histogram.where(F.col(weight) > 0).groupBy(*keys, "label").agg(F.sum(weight).cast("double").alias("weight")))
+    totals = counted.groupBy(*keys).agg(F.sum("weight").alias("total"))
+    until = checkpointed(totals.select(*keys, F.lit(0.0).alias("low"), (F.lit(math.log(slots) + AHEAD) / F.col("total")).alias("high")))
+    found, races = None, counted
+    while not until.isEmpty():
+        scale = F.col("weight") * slots
+        run = races.join(small(until), keys).withColumn("start", F.col("low") * scale).withColumn("stop", F.col("high") * scale)
+        hits = race_events(run, "start", "stop", slots).withColumn("at", F.col("s") / F.col("weight"))
+        states = first_hits(hits, keys)
+        found = checkpointed(states if found is None else first_hits(found.unionByName(states), keys))
+        full = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == slots)
+        until = checkpointed(until.join(full, keys, "left_anti").select(*keys, F.col("high").alias("low"), (F.col("high") * 2).alias("high")))
+    return counted.select(*keys, F.lit(0).alias("slot"), F.lit(0.0).alias("at"), "label").limit(0) if found is None else found
+
+
+def raced_series(counts: DataFrame, time: str, rate: float, slots: int) -> DataFrame:
+    """The weighted sample of the cumulative decayed histogram after each time: ``time``, ``slot``, ``label``.
+
+    Up to a factor common to all labels a label's weight only grows, so its times in the race only fall, and the state after a time is the running
+    minimum of the states of the labels that each time has changed: a merge over one row for each time and slot. A time's labels are run to
+    (log(slots) + AHEAD) over the whole weight so far; what was first there by then is first of all. Slots that are open at some time are run to twice as far.
+    ``rate`` times the span of times must stay below 700, where a double ends.
+    """
+    origin = counts.agg(F.min(time).alias("origin"))
+    t = (F.col(time) - F.col("origin")).cast("double")
+    upto = lambda *by: Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    added = counts.where("cnt > 0").crossJoin(F.broadcast(origin)).withColumn("added", F.col("cnt") * F.exp(t * rate))
+    added = checkpointed(added.groupBy(time, "label").agg(F.sum("added").alias("added")))
+    totals = checkpointed(added.groupBy(time).agg(F.sum("added").alias("added")).withColumn("total", F.sum("added").over(upto(F.lit(0)))).drop("added"))
+    grown = added.withColumn("weight", F.sum("added").over(upto("label"))).drop("added")
+    grown = checkpointed(grown.join(small(totals), time))
+    every = checkpointed(totals.select(time, "total", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")))
+    found, low, far = None, 0.0, math.log(slots) + AHEAD
+    while True:
+        scale = F.col("weight") * slots / F.col("total")
+        run = grown.withColumn("start", scale * low).withColumn("stop", scale * far)
+        hits = race_events(run, "start", "stop", slots).withColumn("at", F.col("s") / F.col("weight"))
+        if found is not None:
+            hits = hits.join(small(open_slots), "slot")
+        states = first_hits(hits, [time])
+        found = checkpointed(states if found is None else first_hits(found.unionByName(states), [time]))
+        running = every.join(found, [time, "slot"], "left").withColumn("first", F.min(F.when(F.col("at").isNotNull(), F.struct("at", "label"))).over(upto("slot")))
+        late = F.col("first").isNull() | (F.col("first.at") > F.lit(far * slots) / F.col("total"))
+        running = checkpointed(running.select(time, "slot", "first.label", late.alias("late")))
+        open_slots = checkpointed(running.where("late").select("slot").distinct())
+        if open_slots.isEmpty():
+            return running.drop("late")
+        low, far = far, far * 2
+
+
 def sketch_series(counts: DataFrame, time: str, rate: float, slots: int) -> DataFrame:
     """The arg-max sketch of the cumulative decayed histogram after each time.
 

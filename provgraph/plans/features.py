@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from provgraph.operators import graph, wl
@@ -91,7 +93,38 @@ def zscores(s, d):
     return wl.standardised(values).select("vec_id", "pos", F.round("z", 6).alias("z"))
 
 
+SLOTS = 16
+U = "(" + H + " + 1)::DOUBLE / 1152921504606846976.0::DOUBLE"
+
+
+def race_cte(weights: str) -> str:
+    """``race``: the winner of each day and slot among ``weights`` (day, label, weight), from hits far beyond the time that fills every slot."""
+    drawn = lambda end: U.format(f"label || '|' || unit || '|' || {end}")
+    chances = ", ".join(f"'{c!r}'::DOUBLE" for c in wl.POISSON)
+    far = math.log(SLOTS) + 40
+    return f"""wt AS ({weights}), tot AS (SELECT day, sum(weight) AS total FROM wt GROUP BY day),
+    un AS (SELECT day, label, weight, unnest(range(ceil(weight * {SLOTS} * {far} / total)::BIGINT)) AS unit FROM wt JOIN tot USING (day)),
+    nm AS (SELECT *, len(list_filter([{chances}], lambda c: {drawn("'n'")} > c)) AS n FROM un),
+    ht AS (SELECT day, label, weight, unit, unnest(range(1, n + 1)) AS i FROM nm),
+    race AS (SELECT DISTINCT ON (day, slot) day, slot, label FROM (
+        SELECT day, label, ({H.format("label || '|' || unit || '|' || i || '|s'")} % {SLOTS})::INT AS slot, (unit + {drawn("i")}) / weight AS moment FROM ht) ORDER BY day, slot, moment, label)"""
+
+
+GROWN = """g AS (SELECT day, label, sum(cnt * exp(0.05::DOUBLE * t)) OVER (PARTITION BY label ORDER BY day ROWS UNBOUNDED PRECEDING) AS grown
+    FROM (SELECT *, (day - min(day) OVER ())::DOUBLE AS t FROM acts))"""
+SO_FAR = "SELECT a.day, label, max(grown) AS weight FROM (SELECT DISTINCT day FROM acts) a JOIN g ON g.day <= a.day GROUP BY a.day, label"
+
+
+def race_zscores(s, d):
+    """The weighted samples after each day as numbers, standardised slot by slot over the days."""
+    series = wl.raced_series(action_counts(s, d), "day", 0.05, SLOTS).withColumn("value", wl.slot_hash(F.col("slot"), F.col("label")).cast("double"))
+    return wl.standardised(series, "slot").select("day", "slot", "label", F.round("z", 6).alias("z"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "sketch_race": (lambda s, d: wl.raced_sketch(action_counts(s, d), KEYS, SLOTS).select("day", "slot", "label"), over_edges("SELECT day, slot, label FROM race", ACTS, race_cte("SELECT day, label, cnt::DOUBLE AS weight FROM acts"))),
+    "sketch_race_series": (race_zscores, over_edges("""SELECT day, slot, label, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN stddev_pop(value) OVER w ELSE 1 END, 6) AS z
+        FROM (SELECT *, """ + H.format("slot || '|' || label") + """::DOUBLE AS value FROM race) WINDOW w AS (PARTITION BY slot)""", ACTS, GROWN, race_cte(SO_FAR))),
     "rsg_depth1": (lambda s, d: rsgs(s, d, 1).where("depth = 1").drop("depth"), over_edges("SELECT day, name, rsg FROM r1", DAY_CTE, RSG)),
     "rsg_depth2": (lambda s, d: rsgs(s, d).where("depth = 2").drop("depth"), over_edges("SELECT day, name, rsg FROM r2", DAY_CTE, RSG)),
     "rsg_hashed": (lambda s, d: rsgs(s, d, 2, True), over_edges("SELECT day, name, rsg, depth FROM rsgs", DAY_CTE, HASHED)),

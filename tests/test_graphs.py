@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -500,3 +501,38 @@ def test_translations_learn(spark):
 
     before, after = distances(0), distances(8)
     assert after[0] < before[0] and after[0] < after[1]
+
+
+def test_races_stop_early_and_keep_the_law(spark):
+    """The sample is that of a race run to its end, of the law of the plain form, and states of parts merge."""
+    h = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    u = lambda text: (h(text) + 1) / 2.0**60
+
+    def whole_race(weights, slots):
+        best = {}
+        for label, weight in weights.items():
+            for unit in range(int(weight * slots * 60 / sum(weights.values())) + 1):
+                for i in range(1, sum(u(f"{label}|{unit}|n") > c for c in wl.POISSON) + 1):
+                    slot, at = h(f"{label}|{unit}|{i}|s") % slots, (unit + u(f"{label}|{unit}|{i}")) / weight
+                    best[slot] = min(best.get(slot, (at, label)), (at, label))
+        return {slot: label for slot, (_, label) in best.items()}
+
+    bags = {0: {"a": 1.0, "b": 3.0}, 1: {f"l{i}": 1.0 + i % 5 for i in range(300)}, 2: {"x": 1e-9, "y": 1e9}, 3: {"only": 0.25}}
+    rows = spark.createDataFrame([(k, label, w) for k, bag in bags.items() for label, w in bag.items()] + [(1, None, 0.0), (4, "none", 0.0)], "k int, label string, cnt double")
+    states = wl.raced_sketch(rows, ["k"], 64).collect()
+    for k, bag in bags.items():
+        assert {r.slot: r.label for r in states if r.k == k} == whole_race(bag, 64)
+    assert not [r for r in states if r.k == 4]
+    share = lambda found: found.where("label = 'b'").count() / 4096
+    pair = rows.where("k = 0")
+    assert abs(share(wl.raced_sketch(pair, ["k"], 4096)) - 0.75) < 0.025 and abs(share(wl.weighted_sketch(pair, ["k"], 4096)) - 0.75) < 0.025
+    one, two = (wl.raced_sketch(rows.where(f"k = 1 and {c} cast(substr(label, 2) as int) < 100"), ["k"], 64) for c in ("", "not"))
+    merged = wl.first_hits(one.unionByName(two), ["k"]).collect()
+    assert {r.slot: r.label for r in merged} == whole_race(bags[1], 64)
+    assert wl.raced_sketch(rows.limit(0), ["k"], 64).count() == 0 and wl.raced_series(rows.withColumnRenamed("k", "t").limit(0), "t", 0.1, 8).count() == 0
+
+
+def test_race_makes_few_rows(spark):
+    """Hits follow slots and labels, not their product."""
+    rows = spark.range(3000).selectExpr("0 as k", "concat('l', id) as label", "1.0D as weight", "0.0D as low").withColumn("far", F.lit((5.55 + wl.AHEAD) * 256 / 3000))
+    assert wl.race_events(rows, "low", "far", 256).count() < 3000 < 3000 * 256
