@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from provgraph.cluster import checkpointed, dense_ids
 from provgraph.functions import hash60
-from provgraph.operators import detect, embed, graph, report, snapshots
+from provgraph.operators import detect, embed, graph, quantiles, report, snapshots
 from provgraph.sources import tables
 
 from .base import LABELS, Query, over_edges
@@ -24,6 +26,11 @@ scored AS (SELECT seq, error, (error > 0.0173)::INT AS flag, (label = 0)::INT AS
 cm AS (SELECT count(*) FILTER (truth = 1 AND flag = 1) AS tp, count(*) FILTER (truth = 0 AND flag = 1) AS fp, count(*) FILTER (truth = 0 AND flag = 0) AS tn, count(*) FILTER (truth = 1 AND flag = 0) AS fn FROM scored)"""
 THRESHOLD = 0.0173
 
+#: Logarithmic buckets of errors as SQL, and the share of benign errors that a learned threshold lets pass.
+SHARE = 0.9
+LOG_GROWTH = f"{math.log(quantiles.growth())!r}::DOUBLE"
+BUCKET = f"ceil(ln(greatest(error, 1e-12)) / {LOG_GROWTH})::INT"
+
 #: Five-minute snapshots with a truth from their labels and a flag from their size.
 CLASSED = f"""{SNAP}, sv AS (
   SELECT snapshot_id, name, arg_min(type, (us, event_id, side)) AS type, count(*) AS frequency, (name IN (SELECT label FROM labels_))::INT AS label FROM (
@@ -42,6 +49,12 @@ def scored(s, d):
     return found.withColumn("truth", (F.col("label") == 0).cast("int"))
 
 
+def benign_flags(s, d):
+    """Flags beyond the quantile of all benign errors."""
+    found = checkpointed(scored(s, d).select("seq", "error", "truth"))
+    return found.crossJoin(F.broadcast(quantiles.benign_threshold(found, [], SHARE))).select("seq", "truth", F.round("threshold", 9).alias("threshold"), (F.col("error") > F.col("threshold")).cast("int").alias("flag"))
+
+
 def lag_windows(s, d):
     w = detect.lag_windows(seq(s, d))
     first = F.aggregate(F.transform("window", lambda v: v[0]), F.lit(0.0).cast("double"), lambda a, x: a + x)
@@ -204,6 +217,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ridge_choice": (lambda s, d: detect.choose_ridge(seq(s, d)), None),
     "forecast_error": (lambda s, d: scored(s, d).select("seq", F.round("error", 9).alias("error")), f"WITH {SCORED} SELECT seq, round(error, 9) AS error FROM scored"),
     "anomaly_flags": (lambda s, d: scored(s, d).select("seq", "flag", "truth"), f"WITH {SCORED} SELECT seq, flag, truth FROM scored"),
+    "benign_quantile_flags": (benign_flags, f"""WITH {SCORED}, bk AS (SELECT {BUCKET} AS bucket, count(*) AS n FROM scored WHERE truth = 0 GROUP BY ALL),
+        th AS (SELECT pow({quantiles.growth()!r}::DOUBLE, min(bucket)) AS threshold FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM bk) WHERE upto >= ceil({SHARE}::DOUBLE * total))
+        SELECT seq, truth, round(threshold, 9) AS threshold, (error > threshold)::INT AS flag FROM scored, th"""),
     "score_listing": (lambda s, d: report.score_listing(scored(s, d)).withColumn("error", F.round("error", 9)), f"WITH {SCORED} SELECT seq, round(error, 9) AS error, CASE WHEN flag = 1 THEN 'anomalous' ELSE 'normal' END AS status FROM scored"),
     "diff_vectors": (lambda s, d: detect.differences(scored(s, d)).select("seq", F.posexplode("diff").alias("dim", "v")).select("seq", "dim", F.round("v", 9).alias("diff")), f"WITH {SCORED} SELECT seq, dim, round(pred - y, 9) AS diff FROM pr JOIN scored USING (seq) WHERE flag = 1"),
     "confusion": (lambda s, d: report.confusion(scored(s, d)), f"WITH {SCORED} SELECT * FROM cm"),

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.cluster import shared_folder
+from provgraph.cluster import checkpointed, shared_folder
 from provgraph.operators import graph, snapshots
+from provgraph.operators.quantiles import growth
 from provgraph.sources import tables
-from provgraph.streaming import DecayingHistogram, LabelHistogram, run_available, stream_node_budget, stream_time_snapshots
+from provgraph.streaming import BenignThreshold, DecayingHistogram, LabelHistogram, run_available, stream_node_budget, stream_scores, stream_time_snapshots
 from provgraph.streaming.labels import PersistentLabels
 
 from .base import Query, over_edges
+from .detection import BUCKET, SEQ, SHARE, THRESHOLD, seq
 from .features import H
 
 #: Where the events are cut into four batches (microseconds), and the rounds and decay that labels take.
@@ -90,6 +92,30 @@ def stream_budget(s, d):
     return found.select("scene", "snapshot_id", F.size("nodes").cast("long").alias("n_nodes"), "n_edges", F.aggregate("frequencies", F.lit(0).cast("long"), lambda a, x: a + x).alias("frequency"), "until_us")
 
 
+#: Embeddings as vectors of four scenes in four batches, and what each is scored against.
+SCENES = f"""{SEQ}, ss AS (SELECT seq // 4 AS pos, (seq % 4)::VARCHAR AS scene, vec, (label = 0)::INT AS truth, seq * 4 // (SELECT count(*) FROM v) AS batch FROM v),
+xs AS (SELECT * EXCLUDE (vec), unnest(range(len(vec)))::INT AS dim, unnest(vec) AS y FROM ss),
+ps AS (SELECT *, CASE WHEN pos = 0 THEN y ELSE coalesce(sum(y) OVER (PARTITION BY scene, dim ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) / 12 END AS pred FROM xs),
+es AS (SELECT scene, pos, batch, truth, avg((pred - y) * (pred - y)) AS error FROM ps GROUP BY ALL),
+bs AS (SELECT scene, batch, {BUCKET} AS bucket, count(*) AS n FROM es WHERE truth = 0 GROUP BY ALL),
+cs AS (SELECT scene, b.batch, bucket, sum(n) AS n FROM bs JOIN (SELECT DISTINCT batch FROM ss) b ON bs.batch < b.batch GROUP BY ALL),
+ts AS (SELECT scene, batch, pow({growth()!r}::DOUBLE, min(bucket)) AS threshold FROM (
+    SELECT *, sum(n) OVER (PARTITION BY scene, batch ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY scene, batch) AS total FROM cs) WHERE upto >= ceil({SHARE}::DOUBLE * total) GROUP BY ALL)"""
+
+
+def stream_thresholds(s, d):
+    """Vectors scored as a stream, one micro-batch a file, each error against the benign errors of the batches before it."""
+    base = shared_folder(s, "stream")
+    rows = checkpointed(seq(s, d).select(F.col("seq"), "vec", (F.col("label") == 0).cast("int").alias("truth")))
+    rows = rows.withColumn("batch", F.floor(F.col("seq") * 4 / rows.count())).withColumn("scene", (F.col("seq") % 4).cast("string")).withColumn("seq", F.floor(F.col("seq") / 4))
+    for i in range(4):
+        rows.where(F.col("batch") == i).drop("batch").coalesce(1).write.parquet(f"{base}/in/{i}")
+    stream = s.readStream.schema(rows.drop("batch").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = BenignThreshold(f"{base}/thresholds", SHARE, THRESHOLD)
+    stream_scores(stream, keep=("truth",)).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sink.flags(s).select("scene", "seq", "truth", F.round("threshold", 9).alias("threshold"), "flag")
+
+
 def stream_snapshots(s, d):
     base = shared_folder(s, "stream")
     schema = s.read.parquet(f"{d}/events.parquet").schema
@@ -103,6 +129,8 @@ def stream_snapshots(s, d):
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "stream_snapshots": (stream_snapshots, over_edges("""SELECT us // 300000000 * 300000000 AS start_us, actorID AS src, objectID AS dst, string_agg(DISTINCT action, '|' ORDER BY action) AS actions, count(*) AS n
         FROM e WHERE (us // 300000000 + 1) * 300000000 <= (SELECT max(us) // 1000 * 1000 FROM e) - 600000000 GROUP BY ALL""")),
+    "stream_benign_threshold": (stream_thresholds, f"""WITH {SCENES} SELECT scene, pos AS seq, truth, round(coalesce(threshold, {THRESHOLD}::DOUBLE), 9) AS threshold, (error > coalesce(threshold, {THRESHOLD}::DOUBLE))::INT AS flag
+        FROM es LEFT JOIN ts USING (scene, batch)"""),
     "stream_node_budget": (stream_budget, None),
     "wl_persistent": (wl_persistent, over_edges("SELECT version, round, name, label FROM upd", labels_cte())),
     "stream_wl_histogram": (stream_wl_histogram, over_edges("""SELECT label, round(sum(exp((t - (SELECT max(us) FROM e))::DOUBLE * 1e-12)), 6) AS weight

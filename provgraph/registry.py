@@ -7,8 +7,9 @@ from dataclasses import dataclass, field, fields, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import detect, embed, snapshots
+from .operators import detect, embed, quantiles, snapshots
 from .sources import cdm, dot
 
 
@@ -83,13 +84,20 @@ class Translations:
         return embed.translation_vectors(triples, self.dim, self.epochs)
 
 
+SETTINGS = "lags int, ridge double, threshold double, quantile double"
+
+
 @dataclass
 class Autoregression:
-    """Forecasts snapshot vectors from their predecessors; ``train`` gives the weights, ``predict`` scores."""
+    """Forecasts snapshot vectors from their predecessors; ``train`` gives the weights, ``predict`` scores.
+
+    With ``quantile`` the threshold is that quantile of the training errors, of the benign ones where the sequence has a ``truth``.
+    """
 
     lags: int = detect.LAGS
     ridge: float = 1.0
     threshold: float = detect.THRESHOLD
+    quantile: float | None = None
     weights: DataFrame | None = field(default=None, repr=False)
 
     def train(self, seq: DataFrame) -> DataFrame:
@@ -97,6 +105,13 @@ class Autoregression:
             raise ValueError(f"{n} snapshots do not make a sequence of {self.lags}")
         windows = detect.lag_windows(seq, self.lags)
         self.weights = detect.fit_autoregression(detect.gram(detect.lagged_values(windows), self.lags), self.ridge, self.lags)
+        if self.quantile is not None:
+            scored = detect.scores(detect.autoregression_forecast(windows, self.weights), self.threshold)
+            benign = scored if "truth" in scored.columns else scored.withColumn("truth", F.lit(0))
+            found = quantiles.benign_threshold(benign, [], self.quantile).first()
+            if found is None:
+                raise ValueError("no benign snapshots to take a quantile of")
+            self.threshold = found.threshold
         return self.weights
 
     def predict(self, seq: DataFrame) -> DataFrame:
@@ -105,10 +120,17 @@ class Autoregression:
         return detect.scores(detect.autoregression_forecast(detect.lag_windows(seq, self.lags), self.weights), self.threshold)
 
     def save(self, path: str) -> None:
-        self.weights.write.mode("overwrite").parquet(path)
+        """Weights and settings as Parquet."""
+        if self.weights is None:
+            raise ValueError("train or load first")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        settings = [(self.lags, self.ridge, self.threshold, self.quantile)]
+        self.weights.sparkSession.createDataFrame(settings, SETTINGS).write.mode("overwrite").parquet(f"{path}/settings")
 
     def load(self, spark: SparkSession, path: str) -> None:
-        self.weights = spark.read.parquet(path)
+        self.weights = spark.read.parquet(f"{path}/weights")
+        for name, value in spark.read.parquet(f"{path}/settings").first().asDict().items():
+            setattr(self, name, value)
 
 
 #: Names of the public data sets and their formats.

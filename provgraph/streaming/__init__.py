@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provgraph.cluster import remove_paths, ship_package
+from provgraph.cluster import checkpointed, remove_paths, ship_package, small
+from provgraph.operators.quantiles import ACCURACY, bucket_counts, bucket_quantile, merged_counts
 from provgraph.operators.snapshots import CUT_COLUMNS, CUT_SCHEMA, NodeBudget
 
 from .labels import PersistentLabels
@@ -94,28 +95,64 @@ def stream_node_budget(edges: DataFrame, budget: int = 300, rate: float = 0.3) -
     return keyed.transformWithStateInPandas(NodeBudgetProcessor(budget, rate), CUT_SCHEMA, "Append", "None")
 
 
-def stream_scores(vectors: DataFrame, lags: int = 12, threshold: float = 0.016) -> DataFrame:
+def stream_scores(vectors: DataFrame, lags: int = 12, threshold: float = 0.016, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score each new vector against the mean of the ``lags`` before it, which are kept in state for each scene.
 
-    ``vectors``: ``scene``, ``seq``, ``vec``. Vectors of a batch go in order of ``seq``; missing ones count as zero.
+    ``vectors``: ``scene``, ``seq``, ``vec``, and the columns ``keep``, which go along. Vectors of a batch go in order of ``seq``; missing ones count as zero.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         past = pickle.loads(state.get[0]) if state.exists else []
-        out = []
+        errors = []
         rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, vec in zip(rows["seq"], rows["vec"]):
+        for vec in rows["vec"]:
             x = np.asarray(vec, float)
             pred = np.sum(past, axis=0) / lags if past else x
-            error = float(((pred - x) ** 2).mean())
-            out.append((key[0], int(seq), error, int(error > threshold)))
+            errors.append(float(((pred - x) ** 2).mean()))
             past = [*past, x][-lags:]
         state.update((pickle.dumps(past),))
-        yield pd.DataFrame(out, columns=["scene", "seq", "error", "flag"])
+        yield rows[["scene", "seq"]].assign(error=errors, flag=[int(e > threshold) for e in errors], **{c: rows[c] for c in keep})
 
-    return vectors.select("scene", "seq", "vec").groupBy("scene").applyInPandasWithState(step, "scene string, seq long, error double, flag int", "state binary", "append", GroupStateTimeout.NoTimeout)
+    kept = "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
+    keyed = vectors.select("scene", "seq", "vec", *keep).groupBy("scene")
+    return keyed.applyInPandasWithState(step, f"scene string, seq long, error double, flag int{kept}", "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+class BenignThreshold:
+    """A ``foreachBatch`` sink that flags errors beyond the quantile of the benign errors seen before, scene by scene.
+
+    Batches carry ``scene``, ``seq``, ``error`` and ``truth``. Bucket counts of benign errors are kept in versioned Parquet tables under ``path``, and each
+    batch's rows with ``threshold`` and ``flag`` under ``path/flags``; a scene without benign errors so far has the fixed threshold. A batch that is run again
+    writes the same tables from the same predecessor, so a restart changes nothing; counts before that go.
+    """
+
+    def __init__(self, path: str, share: float = 0.99, fixed: float = 0.016, accuracy: float = ACCURACY) -> None:
+        self.path, self.share, self.fixed, self.accuracy = path, share, fixed, accuracy
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = checkpointed(batch.select("scene", "seq", "error", "truth"))
+        fresh = bucket_counts(batch.where("truth = 0"), ["scene"], "error", self.accuracy)
+        known = batch.withColumn("threshold", F.lit(None).cast("double"))
+        if batch_id > 0:
+            known = batch.join(small(self.threshold(spark, batch_id - 1)), "scene", "left")
+            fresh = merged_counts(fresh, self.counts(spark, batch_id - 1))
+        flagged = known.withColumn("threshold", F.coalesce("threshold", F.lit(self.fixed))).withColumn("flag", (F.col("error") > F.col("threshold")).cast("int"))
+        flagged.write.mode("overwrite").parquet(f"{self.path}/flags/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        remove_paths(spark, f"{self.path}/version={batch_id - 2}")
+
+    def counts(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/version={version}").select("scene", "bucket", "n")
+
+    def threshold(self, spark: SparkSession, version: int) -> DataFrame:
+        """``scene``, ``threshold`` from all benign errors up to a batch."""
+        return bucket_quantile(self.counts(spark, version), ["scene"], self.share, self.accuracy)
+
+    def flags(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/flags").select("scene", "seq", "error", "truth", "threshold", "flag")
 
 
 class DecayingHistogram:

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from provgraph import streaming
-from provgraph.operators import detect, snapshots
+from provgraph.operators import detect, quantiles, snapshots
 from provgraph.streaming import labels
 from provgraph.registry import EMBEDDERS, SOURCES, DotSource, create
 
@@ -44,6 +44,53 @@ def test_scores(spark, tmp_path):
     assert got == want
 
 
+def test_benign_thresholds_of_batch_and_stream(spark, tmp_path):
+    """The stream ends with the batch's thresholds, no further from the sorted errors than promised, and a batch that is run again changes nothing."""
+    import math
+
+    draw = random.Random(3)
+    rows = [(f"s{i % 3}", i, draw.choice([0.0, 10 ** draw.uniform(-6, 4)]), int(draw.random() < 0.2)) for i in range(600)]
+    rows += [("s0", 600, None, 0), ("s0", 601, float("nan"), 0), ("s0", 602, float("inf"), 0), ("bad", 603, 1.0, 1)]
+    df = spark.createDataFrame(rows, "scene string, seq long, error double, truth int")
+    parts = [df.where("seq < 200"), df.where("seq >= 200 and seq < 450"), df.where("seq >= 450")]
+    sink = streaming.BenignThreshold(str(tmp_path / "t"), 0.9, 0.016)
+    feed(spark, tmp_path / "in", parts).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = {r.scene: r.threshold for r in sink.threshold(spark, 2).collect()}
+    assert last == {r.scene: r.threshold for r in quantiles.benign_threshold(df, ["scene"], 0.9).collect()}
+
+    def exact(scene, before):
+        found = sorted(e for s, i, e, t in rows if s == scene and i < before and not t and e is not None and math.isfinite(e))
+        return found[math.ceil(0.9 * len(found)) - 1]
+
+    assert last.keys() == {"s0", "s1", "s2"}
+    for scene, threshold in last.items():
+        assert exact(scene, 999) <= threshold * (1 + 1e-9) and threshold <= exact(scene, 999) * quantiles.growth() * (1 + 1e-9)
+    flags = {r.seq: r for r in sink.flags(spark).collect()}
+    assert len(flags) == len(rows) and flags[603].threshold == flags[0].threshold == 0.016 and flags[603].flag == 1
+    for i in (200, 449, 450, 599):
+        assert exact(rows[i][0], 200 if i < 450 else 450) <= flags[i].threshold * (1 + 1e-9) and flags[i].flag == int(rows[i][2] > flags[i].threshold)
+    sink(parts[2], 2)
+    assert {r.scene: r.threshold for r in sink.threshold(spark, 2).collect()} == last and sink.flags(spark).count() == len(rows)
+    assert quantiles.benign_threshold(df.limit(0), [], 0.9).count() == 0
+
+
+def test_detector_by_quantile_saved_and_loaded(spark, tmp_path):
+    from provgraph.registry import DETECTORS
+
+    seq = spark.createDataFrame([(i, [float(i % 3), float(i * i % 7)]) for i in range(80)], "seq long, vec array<double>")
+    model = create(DETECTORS, "autoregression", quantile=0.9, lags=4)
+    model.train(seq)
+    found = {r.seq: (r.error, r.flag) for r in model.predict(seq).collect()}
+    assert 0 < sum(flag for _, flag in found.values()) <= 8
+    model.save(str(tmp_path / "model"))
+    again = create(DETECTORS, "autoregression")
+    with pytest.raises(ValueError):
+        again.predict(seq)
+    again.load(spark, str(tmp_path / "model"))
+    assert (again.lags, again.threshold, again.quantile) == (4, model.threshold, 0.9)
+    assert {r.seq: (r.error, r.flag) for r in again.predict(seq).collect()} == found
+
+
 def test_decaying_histogram(spark, tmp_path):
     import math
 
