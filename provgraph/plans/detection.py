@@ -7,13 +7,14 @@ import math
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from provgraph.cluster import checkpointed, dense_ids
+from provgraph.cluster import checkpointed, dense_ids, shared_folder
 from provgraph.functions import hash60
 from provgraph.operators import detect, embed, graph, quantiles, report, snapshots
+from provgraph.operators.store import SnapshotStore
 from provgraph.sources import tables
 
 from .base import LABELS, Query, over_edges
-from .features import COUNTS, DAY_CTE, HASHED, counts
+from .features import COUNTS, DAY_CTE, H, HASHED, counts
 from .graphs import SNAP, TRIPLES, triples
 
 SEQ = "v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS seq, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label FROM embeddings)"
@@ -114,6 +115,30 @@ def store_roundtrip(s, d):
     return vertices.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.sum("frequency").alias("frequency")).join(pairs.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_edges")), "snapshot_id")
 
 
+#: Snapshots before these (days since 1970, bins of five minutes) are stored first, the others come to the store.
+CUT_DAY, CUT_BIN, DIM = 19738, 4320, 4
+
+
+def stored_join(s, d):
+    """Stored vertices joined with stored edges, bucket by bucket, after the store has grown: each source's edges and frequency."""
+    rows = checkpointed(snaps(s, d))
+    store = SnapshotStore(s, shared_folder(s, "store"), 8)
+    for part in (rows.where(F.col("snapshot_id") < CUT_BIN), rows):
+        v = graph.vertices(part, tables.event_properties(s, d), tables.event_labels(s), ["snapshot_id"])
+        store.append(v, graph.edge_actions(part, ["snapshot_id"]))
+    edges = store.table("edges").withColumnRenamed("src", "name")
+    return edges.join(store.table("vertices"), ["snapshot_id", "name"]).groupBy("snapshot_id", "name").agg(F.count(F.lit(1)).alias("n_edges"), F.max("frequency").alias("frequency"))
+
+
+def stored_vectors(s, d):
+    """Vectors of days in a store: the first days' as they were kept, the later ones' folded in from vectors of features. Both are drawn by hash here."""
+    bags = checkpointed(counts(s, d).withColumnRenamed("day", "snapshot_id"))
+    store = SnapshotStore(s, shared_folder(s, "store"), 8)
+    first = bags.where(F.col("snapshot_id") < CUT_DAY).select("snapshot_id").distinct()
+    store.keep_vectors(first.withColumn("vec", embed.start_vector(F.concat(F.lit("day"), F.col("snapshot_id").cast("string")), DIM)), bags.select("rsg").distinct().withColumn("vec", embed.start_vector(F.col("rsg"), DIM)))
+    return store.vectors(bags).select(F.col("snapshot_id").alias("day"), F.posexplode("vec").alias("pos", "x")).select("day", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 def als(s, d):
     """Whether each snapshot's vector lies nearer to the features that it has than to drawn ones that it lacks."""
     bags = counts(s, d)
@@ -202,6 +227,8 @@ def joint_forecast(s, d):
 HASHED_FEATURES = 16
 HASH = "('0x' || substr(md5(l.i || '|' || a.dim), 1, 15))::BIGINT"
 
+DRAWN = "((" + H + " + 1)::DOUBLE / 1152921504606846976.0::DOUBLE - 0.5)"
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "lag_windows": (lag_windows, f"WITH {CELLS} SELECT a.seq, 12::BIGINT AS n, round(CASE WHEN a.seq = 0 THEN 12 * a.y ELSE coalesce(sum(p.y), 0) END, 6) AS total, round(CASE WHEN a.seq = 0 THEN a.y ELSE max(p.y) FILTER (p.seq = a.seq - 1) END, 6) AS last FROM x a LEFT JOIN x p ON p.dim = 0 AND p.seq BETWEEN a.seq - 12 AND a.seq - 1 WHERE a.dim = 0 GROUP BY a.seq, a.y"),
     "train_windows": (train_windows, f"WITH {CELLS} SELECT b.seq, round(a.y, 6) AS first, round(b.y, 6) AS last FROM x b JOIN x a ON a.dim = 0 AND a.seq = b.seq - 11 WHERE b.dim = 0"),
@@ -241,6 +268,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         JOIN (SELECT snapshot_id, count(DISTINCT (actorID, objectID)) AS n_edges FROM snap GROUP BY ALL) b USING (snapshot_id)
         JOIN (SELECT snapshot_id, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS types FROM (SELECT snapshot_id, type, count(*) AS n FROM sv GROUP BY ALL) GROUP BY ALL) c USING (snapshot_id)
         JOIN (SELECT snapshot_id, string_agg(x, ',' ORDER BY x) AS nodes FROM (SELECT snapshot_id, name || ':' || CASE WHEN label = 1 THEN 'malicious' ELSE 'benign' END AS x FROM sv) GROUP BY ALL) f USING (snapshot_id)""", LABELS, CLASSED)),
+    "stored_join": (stored_join, over_edges("""SELECT snapshot_id, name, n_edges, frequency FROM (SELECT snapshot_id, actorID AS name, count(DISTINCT objectID) AS n_edges FROM snap GROUP BY ALL)
+        JOIN (SELECT snapshot_id, name, sum(frequency)::BIGINT AS frequency FROM sv GROUP BY ALL) USING (snapshot_id, name)""", LABELS, CLASSED)),
+    "stored_vectors": (stored_vectors, over_edges(f"""SELECT day, pos::INT AS pos, round(x::FLOAT::DOUBLE, 5) AS x FROM (
+        SELECT day, pos, {DRAWN.format("'day' || day || '|' || pos")} AS x FROM (SELECT DISTINCT day FROM counts WHERE day < {CUT_DAY}), range({DIM}) p(pos)
+        UNION ALL SELECT day, pos, sum(ln(1 + cnt) * {DRAWN.format("rsg || '|' || pos")}::FLOAT) / sum(ln(1 + cnt)) FROM counts, range({DIM}) p(pos) WHERE day >= {CUT_DAY} GROUP BY day, pos)""", DAY_CTE, HASHED, COUNTS)),
     "snapshot_store_roundtrip": (store_roundtrip, over_edges("SELECT snapshot_id, n_vertices, frequency, n_edges FROM (SELECT snapshot_id, count(*) AS n_vertices, sum(frequency)::BIGINT AS frequency FROM sv GROUP BY ALL) JOIN (SELECT snapshot_id, count(DISTINCT (actorID, objectID)) AS n_edges FROM snap GROUP BY ALL) USING (snapshot_id)", LABELS, CLASSED)),
     "triple_split": (lambda s, d: embed.triple_split(triples(s, d)).groupBy("part").agg(F.count(F.lit(1)).alias("n")), over_edges("""SELECT part, count(*) AS n FROM (SELECT CASE WHEN u <= 0.8 THEN 'train' WHEN u <= 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'validation' END AS part
         FROM (SELECT (('0x' || substr(md5(h || '|' || r || '|' || t), 1, 15))::BIGINT + 1)::DOUBLE / 1152921504606846976.0::DOUBLE AS u FROM tri)) GROUP BY part""", TRIPLES)),

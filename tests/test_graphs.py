@@ -536,3 +536,50 @@ def test_race_makes_few_rows(spark):
     """Hits follow slots and labels, not their product."""
     rows = spark.range(3000).selectExpr("0 as k", "concat('l', id) as label", "1.0D as weight", "0.0D as low").withColumn("far", F.lit((5.55 + wl.AHEAD) * 256 / 3000))
     assert wl.race_events(rows, "low", "far", 256).count() < 3000 < 3000 * 256
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_store_joins_without_exchange_and_grows(spark, tmp_path):
+    """A join by snapshot and node shuffles nothing, before and after new snapshots; a snapshot that is stored stays."""
+    from provgraph.operators.store import SnapshotStore
+
+    draw = random.Random(4)
+    pairs = [(k, f"n{draw.randrange(40)}", f"n{draw.randrange(40)}") for k in range(6) for _ in range(60 if k else 400)]
+    edges = spark.createDataFrame(sorted(set(pairs)), "snapshot_id long, src string, dst string")
+    vertices = edges.select("snapshot_id", F.explode(F.array("src", "dst")).alias("name")).groupBy("snapshot_id", "name").agg(F.count(F.lit(1)).alias("frequency"))
+    first = SnapshotStore(spark, str(tmp_path / "store"), 3)
+    first.append(vertices.where("snapshot_id < 4"), edges.where("snapshot_id < 4"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for last in (4, 6, 6):
+            store = SnapshotStore(spark, str(tmp_path / "store"), 99)
+            assert store.buckets == 3
+            store.append(vertices.where("snapshot_id < 6").withColumn("frequency", F.when(F.col("snapshot_id") < 4, -1).otherwise(F.col("frequency"))) if last == 6 else vertices.limit(0), edges.where(f"snapshot_id < {last}"))
+            on = [F.col("v.snapshot_id") == F.col("e.snapshot_id"), F.col("v.name") == F.col("e.src")]
+            joined = store.table("vertices").alias("v").join(store.table("edges").alias("e"), on)
+            counted = joined.groupBy("e.snapshot_id", "e.src").agg(F.sum("v.frequency").alias("n"))
+            assert exchanges(joined) == 0 and exchanges(counted) == 0
+            plain = vertices.join(edges.withColumnRenamed("src", "name"), ["snapshot_id", "name"])
+            assert exchanges(plain) > 0
+            want = plain.where(f"snapshot_id < {last}").groupBy("snapshot_id", "name").agg(F.sum("frequency").alias("n"))
+            assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_store_keeps_vectors_and_folds_in_new_ones(spark, tmp_path):
+    from provgraph.operators.store import SnapshotStore
+
+    store = SnapshotStore(spark, str(tmp_path / "store"), 2)
+    vectors = spark.createDataFrame([(1, [9.0, 9.0]), (2, [-1.0, 0.5])], "snapshot_id long, vec array<double>")
+    features = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "rsg string, vec array<double>")
+    store.keep_vectors(vectors, features)
+    counts = spark.createDataFrame([(1, "a", 5), (3, "a", 1), (3, "b", 3), (3, "unknown", 50), (4, "unknown", 2)], "snapshot_id long, rsg string, cnt long")
+    for _ in range(2):
+        again = SnapshotStore(spark, str(tmp_path / "store"))
+        found = {r.snapshot_id: [round(x, 5) for x in r.vec] for r in again.vectors(counts).collect()}
+        assert found == {1: [9.0, 9.0], 2: [-1.0, 0.5], 3: [0.33333, 0.66667], 4: [0.0, 0.0]}
+    assert again.vectors().count() == 4
