@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provgraph.cluster import dense_ids, small
+
 from .edges import ends, resolve_properties
 
 
@@ -57,8 +59,15 @@ def edge_per_action(edges: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def dense_index(nodes: DataFrame, keys: list[str], name: str = "name", index: str = "idx") -> DataFrame:
-    """Numbers from 0 in order of names within each snapshot."""
-    return nodes.select(*keys, name).distinct().withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(name)) - 1)
+    """Numbers from 0 in order of names within each snapshot.
+
+    Nodes of all snapshots are numbered together in order, in two levels, and each snapshot's first number is taken off, so no task orders a whole snapshot.
+    """
+    numbered = dense_ids(nodes.select(F.struct(*keys, name).alias("at")), "at", "id").select("at.*", "id")
+    if not keys:
+        return numbered.select(name, F.col("id").cast("int").alias(index))
+    firsts = numbered.groupBy(*keys).agg(F.min("id").alias("first"))
+    return numbered.join(small(firsts), keys).select(*keys, name, (F.col("id") - F.col("first")).cast("int").alias(index))
 
 
 def edge_index(pairs: DataFrame, keys: list[str]) -> DataFrame:

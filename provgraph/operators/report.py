@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from provgraph.functions import safe_ratio
 from provgraph.schema import PROCESS_TYPE
 
+from . import graph
+
 #: Words in a process's name that make it look suspicious.
 SUSPICIOUS_NAMES = "system|admin|service|daemon"
 
@@ -109,6 +111,23 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct(*report.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def snapshot_text(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``place``, ``value``: the lines of a text that lists every snapshot and, by name, every vertex with all its attributes."""
+    attributes = [c for c in vertices.columns if c not in keys]
+    shown = F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), F.coalesce(F.to_json(c) if vertices.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c).cast("string"), F.lit("null"))) for c in attributes))
+    numbered = vertices.join(graph.dense_index(vertices, keys), [*keys, "name"])
+    title = F.concat(F.lit("Snapshot "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), F.lit(":"))
+    heads = vertices.select(*keys).distinct()
+    lines = numbered.select(*keys, (F.col("idx") + 1).alias("place"), F.concat(F.lit("  Vertex "), F.col("idx").cast("string"), F.lit(": "), shown).alias("value"))
+    return lines.unionByName(heads.select(*keys, F.lit(0).alias("place"), title.alias("value"))).unionByName(heads.select(*keys, F.lit(2**31 - 1).alias("place"), F.lit("").alias("value")))
+
+
+def write_snapshot_text(vertices: DataFrame, keys: list[str], path: str) -> None:
+    """``snapshot_text`` as files whose names are in the text's order; a large snapshot goes over several."""
+    lines = snapshot_text(vertices, keys).repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "place")
+    lines.select("value").write.mode("overwrite").text(path)
+
+
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     """``id<TAB>text`` lines."""
     vocabulary.select(F.concat_ws("\t", "rsg_id", "rsg").alias("value")).write.mode("overwrite").text(path)

@@ -583,3 +583,43 @@ def test_store_keeps_vectors_and_folds_in_new_ones(spark, tmp_path):
         found = {r.snapshot_id: [round(x, 5) for x in r.vec] for r in again.vectors(counts).collect()}
         assert found == {1: [9.0, 9.0], 2: [-1.0, 0.5], 3: [0.33333, 0.66667], 4: [0.0, 0.0]}
     assert again.vectors().count() == 4
+
+
+def test_snapshots_as_text(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", ["y"], None), (2, "a", ["x", "z"], 3), (1, "c", [], 1)], "snapshot_id long, name string, properties array<string>, frequency long")
+    report.write_snapshot_text(rows, ["snapshot_id"], str(tmp_path / "t"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
+    assert text == 'Snapshot 1:\n  Vertex 0: name=c, properties=[], frequency=1\n\nSnapshot 2:\n  Vertex 0: name=a, properties=["x","z"], frequency=3\n  Vertex 1: name=b, properties=["y"], frequency=null\n\n'
+
+
+def test_jobs_train_and_evaluate(spark, tmp_path):
+    """Quiet days repeat; a day with a labelled stranger is found, also one that training has not seen, and what was stored stays."""
+    from provgraph import jobs
+    from provgraph.registry import DETECTORS, create
+    from provgraph.schema import PROCESS_TYPE
+
+    def day(category, n, odd):
+        rows = [(f"p{i}", f"f{i}", "EVENT_READ", f"/f{i}") for i in range(6)] + ([(f"evil{i}", "k", "EVENT_EXECUTE", "/k") for i in range(40)] if odd else [])
+        return [(a, PROCESS_TYPE, b, "FILE_OBJECT_BLOCK", action, "sh", path, category, n * 100 + i, n * 100 + i, n) for i, (a, b, action, path) in enumerate(rows)]
+
+    odd = {4, 9, 17}
+    rows = [r for n in range(30) for r in day("benign", n, False)] + [r for n in range(20) for r in day("malicious", n, n in odd)]
+    names = "actorID string, actor_type string, objectID string, object string, action string, exec string, path string, category string, event_id long, us long, snapshot_id long"
+    edges = spark.createDataFrame(rows, names)
+    properties = spark.createDataFrame([], "kind string, node_id string, property string, load_order int")
+    labels = spark.createDataFrame([("evil1",)], "label string")
+    seen = edges.where("category = 'benign' or snapshot_id < 12")
+    model = jobs.train(spark, seen, properties, labels, str(tmp_path), depth=1, dim=8, rounds=5, buckets=2, detector=create(DETECTORS, "autoregression", quantile=1.0, ridge=0.001, lags=3))
+    before = {r.snapshot_id: r.vec for r in jobs.SnapshotStore(spark, f"{tmp_path}/store").vectors().collect()}
+    assert len(before) == 42
+    found = jobs.evaluate(spark, edges, properties, labels, str(tmp_path))
+    after = {r.snapshot_id: r.vec for r in jobs.SnapshotStore(spark, f"{tmp_path}/store").vectors().collect()}
+    assert len(after) == 50 and all(after[k] == v for k, v in before.items())
+    scored = {r.seq: r for r in found.scored.collect()}
+    assert sorted(scored) == list(range(20)) and {n for n, r in scored.items() if r.truth} == odd
+    assert all(scored[n]["class"] == "TP" for n in odd) and all(scored[n].error > model.threshold for n in odd)
+    counts, figures = found.confusion.first(), found.metrics.first()
+    assert (counts.tp, counts.fn) == (3, 0) and counts.tp + counts.fp + counts.tn == 20 and figures.recall == 1.0 and figures.accuracy == (counts.tp + counts.tn) / 20
+    assert {r.name for r in found.labelled.collect()} == {"evil1"} and found.nodes.count() == 20 and found.missed.count() == 0
+    found.write(str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report" / "scored")).count() == 20 == spark.read.text(str(tmp_path / "report" / "nodes")).count()
