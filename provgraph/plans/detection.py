@@ -7,6 +7,7 @@ import math
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from provgraph import jobs
 from provgraph.cluster import checkpointed, dense_ids, shared_folder
 from provgraph.functions import hash60
 from provgraph.operators import detect, embed, graph, quantiles, report, snapshots
@@ -15,7 +16,7 @@ from provgraph.sources import tables
 
 from .base import LABELS, Query, over_edges
 from .features import COUNTS, DAY_CTE, H, HASHED, counts
-from .graphs import SNAP, TRIPLES, triples
+from .graphs import SNAP, TRIPLES, daily, triples
 
 SEQ = "v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS seq, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label FROM embeddings)"
 CELLS = f"{SEQ}, x AS (SELECT seq, unnest(range(len(vec)))::INT AS dim, unnest(vec) AS y FROM v)"
@@ -139,6 +140,19 @@ def stored_vectors(s, d):
     return store.vectors(bags).select(F.col("snapshot_id").alias("day"), F.posexplode("vec").alias("pos", "x")).select("day", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+def snapshot_lines(s, d):
+    v = graph.vertices(daily(s, d), tables.event_properties(s, d), tables.event_labels(s), ["day"])
+    return report.snapshot_text(checkpointed(v), ["day"])
+
+
+def trained_evaluation(s, d):
+    """Day snapshots: trained on all benign days and the malicious ones up to a week, then every malicious day scored, the later ones folded in."""
+    days = checkpointed(daily(s, d).withColumnRenamed("day", "snapshot_id"))
+    properties, labels, path = tables.event_properties(s, d), tables.event_labels(s), shared_folder(s, "job")
+    jobs.train(s, days.where((F.col("category") == "benign") | (F.col("snapshot_id") < CUT_DAY + 7)), properties, labels, path, buckets=8)
+    return jobs.evaluate(s, days, properties, labels, path).scored
+
+
 def als(s, d):
     """Whether each snapshot's vector lies nearer to the features that it has than to drawn ones that it lacks."""
     bags = counts(s, d)
@@ -268,6 +282,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         JOIN (SELECT snapshot_id, count(DISTINCT (actorID, objectID)) AS n_edges FROM snap GROUP BY ALL) b USING (snapshot_id)
         JOIN (SELECT snapshot_id, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS types FROM (SELECT snapshot_id, type, count(*) AS n FROM sv GROUP BY ALL) GROUP BY ALL) c USING (snapshot_id)
         JOIN (SELECT snapshot_id, string_agg(x, ',' ORDER BY x) AS nodes FROM (SELECT snapshot_id, name || ':' || CASE WHEN label = 1 THEN 'malicious' ELSE 'benign' END AS x FROM sv) GROUP BY ALL) f USING (snapshot_id)""", LABELS, CLASSED)),
+    "snapshot_text": (snapshot_lines, over_edges("""SELECT day, place::INT AS place, value FROM (
+        SELECT day, i + 1 AS place, '  Vertex ' || i || ': name=' || name || ', type=' || type || ', properties=' || props || ', frequency=' || n || ', label=' || (name IN (SELECT label FROM labels_))::INT AS value FROM (
+            SELECT us // 86400000000 AS day, name, arg_min(type, (us, event_id, side)) AS type, to_json(list_sort(list(DISTINCT prop)))::VARCHAR AS props, count(*) AS n, row_number() OVER (PARTITION BY us // 86400000000 ORDER BY name) - 1 AS i FROM ends GROUP BY us // 86400000000, name)
+        UNION ALL SELECT DISTINCT us // 86400000000, 0, 'Snapshot ' || us // 86400000000 || ':' FROM e
+        UNION ALL SELECT DISTINCT us // 86400000000, 2147483647, '' FROM e)""", LABELS)),
+    "trained_evaluation": (trained_evaluation, None),
     "stored_join": (stored_join, over_edges("""SELECT snapshot_id, name, n_edges, frequency FROM (SELECT snapshot_id, actorID AS name, count(DISTINCT objectID) AS n_edges FROM snap GROUP BY ALL)
         JOIN (SELECT snapshot_id, name, sum(frequency)::BIGINT AS frequency FROM sv GROUP BY ALL) USING (snapshot_id, name)""", LABELS, CLASSED)),
     "stored_vectors": (stored_vectors, over_edges(f"""SELECT day, pos::INT AS pos, round(x::FLOAT::DOUBLE, 5) AS x FROM (
