@@ -106,9 +106,21 @@ def detours(tried: DataFrame, near: DataFrame, longest: int) -> DataFrame:
     return least.join(paths, key).select(*key, (F.size("first") + F.col("cost")).alias("length")).where(F.col("length") <= longest)
 
 
+def joined_by_resource(asked: DataFrame, near: DataFrame) -> DataFrame:
+    """The asked pairs whose ends have a resource as a common neighbour. Each pair is opened at the end with fewer resources around it."""
+    around = near.where("resource").select("at", F.col("next").alias("by"))
+    numbers = checkpointed(around.groupBy("at").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda end: numbers.select(F.col("at").alias(end), F.col("n").alias(f"{end}_n"))
+    sided = asked.join(of("src"), "src").join(of("dst"), "dst")
+    less = F.col("src_n") <= F.col("dst_n")
+    opened = sided.select("src", "dst", F.when(less, F.col("src")).otherwise(F.col("dst")).alias("at"), F.when(less, F.col("dst")).otherwise(F.col("src")).alias("far"))
+    return opened.join(around, "at").join(around.withColumnRenamed("at", "far"), ["far", "by"], "left_semi").select("src", "dst").distinct()
+
+
 def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame, longest: int = 11, at_once: int = 8) -> DataFrame:
     """``length`` of wanted pairs (``src``, ``dst``): fewest vertices on an undirected simple path that passes a resource.
 
+    Pairs with a resource as a common neighbour have three vertices, and a join of the ends' neighbours finds them all; the others are searched.
     For each pair, distances from either end that avoid the other grow by one step a round, each with one shortest path; a pair and a vertex have one row
     for each end. The sum of a resource's two distances bounds its paths from below, so resources are taken in order of that sum.
     Where its two shortest paths share nothing else, the sum is its length; otherwise ``detours`` gives the exact
@@ -119,6 +131,10 @@ def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame,
     resources = types.where(F.col("type").isin(*RESOURCE_TYPES)).select(F.col("name").alias("next"), F.lit(True).alias("resource")).distinct()
     near = checkpointed(near.join(resources, "next", "left").select("at", "next", F.coalesce("resource", F.lit(False)).alias("resource")))
     asked = checkpointed(wanted.select("src", "dst").where("src <> dst").distinct())
+    direct = checkpointed(joined_by_resource(asked, near).where(F.lit(longest >= 3)).withColumn("length", F.lit(3)))
+    asked = checkpointed(asked.join(direct, ["src", "dst"], "left_anti"))
+    if asked.isEmpty():
+        return direct
     near = trimmed(near, checkpointed(asked.select(F.explode(F.array("src", "dst")).alias("at")).distinct()))
     key = ["src", "dst"]
     done = lengths = asked.limit(0).withColumn("length", F.lit(0))
@@ -156,7 +172,7 @@ def resource_path_lengths(wanted: DataFrame, pairs: DataFrame, types: DataFrame,
         if open_pairs.isEmpty() or (ahead.isEmpty() and behind.isEmpty()):
             break
     late = lengths.join(done, key, "left_anti").groupBy(*key).agg(F.min("length").alias("length"))
-    return done.unionByName(late)
+    return direct.unionByName(done).unionByName(late)
 
 
 def process_weights(pairs: DataFrame, types: DataFrame, base: float = 1.0, delta: float = 5.0, longest: int = 11) -> DataFrame:
