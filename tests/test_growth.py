@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from provgraph.operators import lineage
-from provgraph.plans import features
+from provgraph.operators import lineage, snapshots
+from provgraph.plans import features, graphs
 
 
 def events(folder, rows):
@@ -44,3 +44,28 @@ def test_pairs_with_a_common_resource_are_not_searched(spark, monkeypatch):
     found = lineage.resource_path_lengths(g.where("dst = 'P0'  and src like 'P%'"), g, ty).collect()
     assert {(r.src, r.length) for r in found} == {(f"P{i}", 3) for i in range(1, 61)} | {("P61", 4)}
     assert max(rows) <= 4 * len(edges)
+
+
+def test_node_budget_in_chunks(spark, monkeypatch):
+    """Several time chunks, one scene absent from some of them, give the cuts of one, and no task of the replay has more rows than a chunk."""
+    rows = [("s", f"n{i * 7 % 31}", f"n{i * 5 % 13}", i, i) for i in range(90)] + [("t", f"y{i % 9}", f"y{i % 7}", 40, 100 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "scene string, actorID string, objectID string, us long, event_id long").repartition(3)
+    whole = {str(r) for r in snapshots.node_budget_snapshots(df, 6, 0.5).collect()}
+    assert len(whole) > 5
+    monkeypatch.setattr(snapshots, "CHUNK", 20)
+    chunked, number = snapshots.time_chunks(df)
+    assert number == 6 and max(r["count"] for r in chunked.groupBy("chunk").count().collect()) <= 30
+    assert {str(r) for r in snapshots.node_budget_snapshots(df, 6, 0.5).collect()} == whole
+
+
+def test_text_join_by_digest(spark, small, monkeypatch):
+    """Heads and tails meet as digests."""
+    seen, plain = [], graphs.graph.triples
+
+    def watched(pairs, nodes):
+        seen.append(nodes.selectExpr("max(length(array_join(properties, ' ')))").first()[0])
+        return plain(pairs, nodes)
+
+    monkeypatch.setattr(graphs.graph, "triples", watched)
+    assert graphs.QUERIES["triple_text_join"][0](spark, small).count() > 0
+    assert seen == [64]
