@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from provgraph.cluster import checkpointed, ship_package
+from provgraph.cluster import checkpointed, shared_folder, ship_package
 
 from .edges import ends
 
@@ -118,45 +121,64 @@ class NodeBudget:
         return row
 
 
+#: Cuts that a task counts the mentions of.
+CUTS = 5_000
+#: Rows of a time chunk, in which the events of a sequence are replayed.
+CHUNK = 1_000_000
+
+
+def time_chunks(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """The edges with ``chunk``, ranges of (us, event_id) from 0 with about ``rows`` (``CHUNK``) each, written by chunk; and the number of chunks."""
+    path, number = shared_folder(edges.sparkSession, "chunks"), max(1, -(-edges.count() // (rows or CHUNK)))
+    edges.repartitionByRange(number, "us", "event_id").withColumn("chunk", F.spark_partition_id()).write.partitionBy("chunk").parquet(path)
+    return edges.sparkSession.read.schema(StructType([*edges.schema, StructField("chunk", IntegerType())])).parquet(path), number
+
+
 def node_budget_cuts(edges: DataFrame, budget: int = 300, rate: float = 0.3, scene: str = "scene") -> DataFrame:
     """The cuts of each scene's stream in time order (``CUT_SCHEMA``); the last state is always one.
 
-    The rule depends on every row before it, so a scene is one sequence; scenes run side by side, and rows stream through
-    the task in sorted order while only the live graph is held. For one huge scene use ``count_snapshots``.
+    The rule depends on every row before it, so a scene is one sequence. It is replayed chunk by chunk, scenes side by side: a chunk meets the live graphs that the one
+    before it left, so a task holds a chunk's rows of a scene and a live graph, whatever the scene's length. For one huge scene ``count_snapshots`` is faster.
     """
-
-    def run(batches):
-        import pandas as pd
-
-        state, at = None, None
+    import pandas as pd
+
+    def run(key, rows, left):
+        state = pickle.loads(left["state"].iloc[0]) if len(left) else NodeBudget(budget, rate)
+        rows, out = rows.sort_values(["us", "event_id"]), []
+        for src, dst, us in zip(rows["src"], rows["dst"], rows["us"]):
+            cut = state.add(src, dst, int(us))
+            if cut is not None:
+                out.append((key[0], *cut, None))
+        return pd.DataFrame([*out, (key[0], *[None] * (len(CUT_COLUMNS) - 1), pickle.dumps(state))], columns=[*CUT_COLUMNS, "state"], dtype=object)
+
+    def last(batches):
         for batch in batches:
-            out = []
-            for s, src, dst, us in zip(batch["scene"], batch["src"], batch["dst"], batch["us"]):
-                if state is None or s != at:
-                    if state is not None:
-                        out.append((at, *state.cut()))
-                    state, at = NodeBudget(budget, rate), s
-                cut = state.add(src, dst, int(us))
-                if cut is not None:
-                    out.append((at, *cut))
-            yield pd.DataFrame(out, columns=CUT_COLUMNS)
-        if state is not None:
-            yield pd.DataFrame([(at, *state.cut())], columns=CUT_COLUMNS)
-
-    ship_package(edges.sparkSession)
-    ordered = edges.select(F.col(scene).alias("scene"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "us", "event_id").repartition("scene").sortWithinPartitions("scene", "us", "event_id")
-    return ordered.select("scene", "src", "dst", "us").mapInPandas(run, CUT_SCHEMA)
+            yield pd.DataFrame([(s, *pickle.loads(x).cut()) for s, x in zip(batch["scene"], batch["state"])], columns=CUT_COLUMNS)
+
+    spark, path = edges.sparkSession, shared_folder(edges.sparkSession, "cuts")
+    ship_package(spark)
+    schema = f"{CUT_SCHEMA}, state binary"
+    chunked, number = time_chunks(edges.select(F.col(scene).alias("scene"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "us", "event_id"))
+    states = spark.createDataFrame([], "scene string, state binary")
+    for chunk in range(number):
+        rows = chunked.where(F.col("chunk") == chunk).drop("chunk")
+        rows.groupBy("scene").cogroup(states.groupBy("scene")).applyInPandas(run, schema).write.parquet(f"{path}/{chunk}")
+        states = spark.read.schema(schema).parquet(f"{path}/{chunk}").where("state is not null").select("scene", "state")
+    cuts = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).where("state is null").select(*CUT_COLUMNS)
+    return cuts.union(states.mapInPandas(last, CUT_SCHEMA))
 
 
 def with_frequencies(cuts: DataFrame) -> DataFrame:
     """``scene``, ``snapshot_id``, ``nodes``, ``frequencies``, ``n_edges``, ``until_us``: mentions of each live node since the scene began.
 
     Cuts carry only the mentions since the cut before; a node's running sum over them is keyed by scene and node, so nodes that were forgotten
-    and come back go on from their old count without anyone having held it.
+    and come back go on from their old count without anyone having held it. Cuts are dealt to tasks, ``CUTS`` to each, and their nodes are counted there. ``cuts``
+    must be cheap to read twice.
     """
-    live = cuts.select("scene", "snapshot_id", F.explode("nodes").alias("name"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("live"))
-    fresh = cuts.select("scene", "snapshot_id", F.explode(F.arrays_zip("touched", "counts")).alias("x")).select("scene", "snapshot_id", F.col("x.touched").alias("name"), F.col("x.counts").alias("n"), F.lit(0).alias("live"))
-    each = live.union(fresh).groupBy("scene", "snapshot_id", "name").agg(F.sum("n").alias("n"), F.max("live").alias("live"))
+    spread = cuts.repartition(-(-cuts.count() // CUTS) or 1, "scene", "snapshot_id")
+    row = lambda name, n, live: F.struct(name.alias("name"), n.cast("long").alias("n"), F.lit(live).alias("live"))
+    rows = F.concat(F.transform("nodes", lambda x: row(x, F.lit(0), 1)), F.transform(F.arrays_zip("touched", "counts"), lambda x: row(x["touched"], x["counts"], 0)))
+    each = spread.select("scene", "snapshot_id", F.explode(rows).alias("x")).groupBy("scene", "snapshot_id", F.col("x.name").alias("name")).agg(F.sum("x.n").alias("n"), F.max("x.live").alias("live"))
     upto = Window.partitionBy("scene", "name").orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
     running = each.withColumn("frequency", F.sum("n").over(upto)).where("live = 1")
     listed = running.groupBy("scene", "snapshot_id").agg(F.array_sort(F.collect_list(F.struct("name", "frequency"))).alias("x"))
