@@ -83,11 +83,14 @@ def stream_wl_histogram(s, d):
 
 
 def stream_budget(s, d):
-    """Node-budget snapshots of the events as a stream, a scene for each category; the last state is not cut."""
+    """Node-budget snapshots of the events as a stream, a micro-batch for each time chunk, a scene for each category; the last state is not cut."""
     base = shared_folder(s, "stream")
     edges = tables.event_edges(s, d).select(F.col("category").alias("scene"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "us", "event_id")
-    edges.write.parquet(f"{base}/in")
-    run_available(stream_node_budget(s.readStream.schema(edges.schema).parquet(f"{base}/in"), 100, 0.3), f"{base}/out", f"{base}/checkpoint")
+    chunked, number = snapshots.time_chunks(edges)
+    for chunk in range(number):
+        chunked.where(F.col("chunk") == chunk).drop("chunk").coalesce(1).write.parquet(f"{base}/in/{chunk}")
+    stream = s.readStream.schema(edges.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run_available(stream_node_budget(stream, 100, 0.3), f"{base}/out", f"{base}/checkpoint")
     found = snapshots.with_frequencies(s.read.schema(snapshots.CUT_SCHEMA).parquet(f"{base}/out"))
     return found.select("scene", "snapshot_id", F.size("nodes").cast("long").alias("n_nodes"), "n_edges", F.aggregate("frequencies", F.lit(0).cast("long"), lambda a, x: a + x).alias("frequency"), "until_us")
 
