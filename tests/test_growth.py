@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from provgraph.operators import lineage, snapshots
+from provgraph import cluster
+from provgraph.operators import embed, lineage, snapshots
 from provgraph.plans import features, graphs
 
 
@@ -69,3 +70,46 @@ def test_text_join_by_digest(spark, small, monkeypatch):
     monkeypatch.setattr(graphs.graph, "triples", watched)
     assert graphs.QUERIES["triple_text_join"][0](spark, small).count() > 0
     assert seen == [64]
+
+
+def test_ranges_of_long_texts_have_short_bounds(spark, monkeypatch):
+    """Numbers follow the order of whole texts, whose beginnings alone are sampled for the ranges."""
+    texts = [c * 300 + d for c in "ba" for d in ("z", "", "y")] + ["a", "é", "zz"]
+    plans, plain = [], cluster.checkpointed
+    monkeypatch.setattr(cluster, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    found = cluster.dense_ids(spark.createDataFrame([(t,) for t in texts], "rsg string"), "rsg", "id").collect()
+    assert [r.rsg for r in sorted(found, key=lambda r: r.id)] == sorted(texts)
+    assert f", 1, {cluster.PREFIX})" in plans[0]
+
+
+def test_translations_keep_one_round(spark, monkeypatch):
+    """Of all rounds' tables those of the last stay, besides the facts."""
+    made, plain = [], cluster.checkpointed
+
+    def kept(df):
+        made.append(plain(df))
+        return made[-1]
+
+    for module in (cluster, embed):
+        monkeypatch.setattr(module, "checkpointed", kept)
+    facts = [(f"m{i}", "in", f"n{i % 6}") for i in range(60)]
+    found = embed.translation_vectors(spark.createDataFrame(facts, "h string, r string, t string"), 4, 4, 0.05, block=18, visits=2)
+    assert found.count() == 67
+    folders = {file.rsplit("/", 1)[0] for table in made for file in table.inputFiles()}
+    assert len(made) > 10 and sum(cluster.path_exists(spark, f) for f in folders) == 2
+
+
+def test_ancestors_pass_a_cycle_once(spark, monkeypatch):
+    """300 vertices above a ring of twelve above five: no table has a row for each way through the ring."""
+    edges = [(f"u{i}", f"r{i % 12}") for i in range(300)] + [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)] + [(f"r{i}", f"k{j}") for i in range(12) for j in range(5)]
+    rows, plain = [], lineage.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "checkpointed", counted)
+    found = {tuple(r) for r in lineage.ancestors(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert found == {(a, b) for a in [f"r{i}" for i in range(12)] + [f"k{j}" for j in range(5)] for b in [f"u{i}" for i in range(300)] + [f"r{i}" for i in range(12)]}
+    assert max(rows) <= 6 * 301
