@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from provgraph.cluster import checkpointed, connected_components
 from provgraph.schema import PROCESS_TYPE, RESOURCE_TYPES
 
+from .reach import condensed, strong_components
+
 
 def ancestors(pairs: DataFrame) -> DataFrame:
     """``node``, ``ancestor``: all that reach a node along the edges; a node on a cycle is its own ancestor.
 
-    Each round joins the newest pairs with all known ones, on either side, so the reach doubles until nothing new comes.
+    The pairs are those of strongly connected components: each round joins the newest pairs of the condensed graph with all known ones, on either side, so the
+    reach doubles until nothing new comes. Rows are dealt by pair before equal ones are
+    sought, since one task of the join may make most of them. Members are put in at the end, so a component of many vertices is passed through once and not once for each way.
     """
-    known = newest = checkpointed(pairs.select(F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct())
-    while True:
+    parts = strong_components(pairs)
+    known = newest = checkpointed(condensed(pairs, parts).select(F.col("dst").alias("node"), F.col("src").alias("ancestor")))
+    while not newest.isEmpty():
         onward = lambda df: df.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
         longer = newest.join(onward(known), "ancestor").union(known.join(onward(newest), "ancestor")).select("node", F.col("far").alias("ancestor"))
-        newest = checkpointed(longer.distinct().join(known, ["node", "ancestor"], "left_anti"))
-        if newest.isEmpty():
-            return known
+        newest = checkpointed(longer.repartition("node", "ancestor").distinct().join(known, ["node", "ancestor"], "left_anti"))
         known = checkpointed(known.union(newest))
+    cyclic = parts.where("cyclic").select("root").distinct()
+    reached = known.union(cyclic.select("root", "root")).toDF("root", "above")
+    below, above = parts.select("node", "root"), parts.select(F.col("node").alias("ancestor"), F.col("root").alias("above"))
+    return reached.join(below, "root").join(above, "above").select("node", "ancestor")
 
 
 def components(pairs: DataFrame) -> DataFrame:
