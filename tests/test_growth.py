@@ -113,3 +113,25 @@ def test_ancestors_pass_a_cycle_once(spark, monkeypatch):
     found = {tuple(r) for r in lineage.ancestors(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert found == {(a, b) for a in [f"r{i}" for i in range(12)] + [f"k{j}" for j in range(5)] for b in [f"u{i}" for i in range(300)] + [f"r{i}" for i in range(12)]}
     assert max(rows) <= 6 * 301
+
+
+@pytest.mark.parametrize("name", ["rsg_depth2", "rsg_union"])
+def test_hubs_texts_are_put_together_where_they_are_read(spark, against_sql, tmp_path, monkeypatch, name):
+    """What is written of 100 neighbours of two hubs does not hold the hubs' texts once for each; texts beyond a block go to several."""
+    rows = [(100 + i, k, i, f"type{i % 7}") for i in range(100) for k in ((50, 51) if i % 3 else (52,))] + [(100, 60 + i, 500, "click") for i in range(5)]
+    written, plain = [], features.wl.checkpointed
+
+    def measured(df):
+        out = plain(df)
+        written.append(sum(len(str(r)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(features.wl, "checkpointed", measured)
+    monkeypatch.setattr(features.wl, "LONG", 200, raising=False)
+    query, sql = features.QUERIES[name]
+    folder = events(tmp_path, rows)
+    df = query(spark, folder)
+    assert against_sql(df, sql, folder) > 0
+    assert max(written) < df.selectExpr("sum(length(rsg))").first()[0] / 2
+    monkeypatch.setattr(features.wl, "BLOCK", 3000, raising=False)
+    assert against_sql(query(spark, folder), sql, folder) > 0
