@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,36 +122,53 @@ def projection(lags: int, dims: int, size: int) -> tuple[np.ndarray, np.ndarray]
     return np.array([h % size for h in drawn]), np.array([1.0 - 2 * (h // size % 2) for h in drawn])
 
 
-def featured(rows: pd.DataFrame, lags: int, size: int) -> np.ndarray:
-    """One row of hashed features for each window of all dimensions."""
-    cells = np.array([np.concatenate([np.asarray(v, float) for v in w]) for w in rows["window"]]).reshape(len(rows), -1)
+#: Windows that are turned to features at a time.
+SLICE = 500
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Arrow lists of equal length as rows of numbers, without a Python object for each."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(lists), -1)
+
+
+def featured(cells: np.ndarray, lags: int, size: int) -> np.ndarray:
+    """One row of hashed features for each window of all dimensions, a row of ``cells``."""
     index, sign = projection(lags, cells.shape[1] // lags, size)
-    out = np.zeros((len(rows), size))
+    out = np.zeros((len(cells), size))
     np.add.at(out.T, index, (cells * sign).T)
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches, ``SLICE`` rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def joint_gram(windows: DataFrame, lags: int = LAGS, size: int = FEATURES) -> DataFrame:
     """Rows of the normal equations of all dimensions together: ``i``, ``values`` (products with every feature, then with every dimension).
 
-    A task sums over its windows and gives one row for each feature; the rows of a feature meet in one group, as many as there are tasks.
+    A task sums over its windows, a slice at a time, and gives one row for each feature; cells are then added as columns.
     """
     ship_package(windows.sparkSession)
 
     def sums(batches):
         total = None
-        for rows in batches:
-            if len(rows):
-                z = featured(rows, lags, size)
-                part = z.T @ np.hstack([z, np.array(rows["vec"].tolist(), float)])
-                total = part if total is None else total + part
+        for rows in slices(batches):
+            z = featured(matrix(rows.column("window")), lags, size)
+            part = z.T @ np.hstack([z, matrix(rows.column("vec"))])
+            total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"i": range(size), "values": total.tolist()})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "values"])
 
-    def added(key, rows):
-        return pd.DataFrame({"i": [key[0]], "values": [np.sum(np.array(rows["values"].tolist()), axis=0).tolist()]})
+    cells = flat(windows).mapInArrow(sums, "i int, values array<double>").select("i", F.posexplode("values").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("values"))
 
-    return windows.select("window", "vec").mapInPandas(sums, "i int, values array<double>").groupBy("i").applyInPandas(added, "i int, values array<double>")
+
+def flat(windows: DataFrame) -> DataFrame:
+    return windows.select(F.flatten("window").alias("window"), "vec")
 
 
 @dataclass
@@ -162,14 +181,15 @@ class Joint:
     errors: dict[float, float]
 
     def forecast(self, windows: DataFrame) -> DataFrame:
-        weights, lags, names = self.weights, self.lags, [*windows.columns, "pred"]
-        fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields] + ["pred array<double>"])
+        weights, lags = self.weights, self.lags
 
-        def run(batches):
-            for rows in batches:
-                yield rows.assign(pred=(featured(rows, lags, len(weights)) @ weights).tolist() if len(rows) else [])[names]
+        @F.arrow_udf("array<double>")
+        def pred(cells: pa.Array) -> pa.Array:
+            parts = [featured(matrix(cells.slice(start, SLICE)), lags, len(weights)) @ weights for start in range(0, len(cells), SLICE)]
+            return pa.array([row for part in parts for row in part], pa.list_(pa.float64()))
 
-        return windows.mapInPandas(run, fields)
+        ship_package(windows.sparkSession)
+        return windows.withColumn("pred", pred(F.flatten("window")))
 
 
 def fit_joint(seq: DataFrame, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), lags: int = LAGS, size: int = FEATURES) -> Joint:
@@ -189,14 +209,13 @@ def fit_joint(seq: DataFrame, ridges: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
 
     def errors(batches):
         total = dict.fromkeys(every, 0.0)
-        for rows in batches:
-            if len(rows):
-                z, y = featured(rows, lags, size), np.array(rows["vec"].tolist(), float)
-                for ridge, weights in every.items():
-                    total[ridge] += float((((z @ weights) - y) ** 2).mean(axis=1).sum())
-        yield pd.DataFrame({"ridge": list(total), "error": list(total.values())})
-
-    found = split.where("part = 'validation'").select("window", "vec").mapInPandas(errors, "ridge double, error double").groupBy("ridge").agg(F.sum("error").alias("error"))
+        for rows in slices(batches):
+            z, y = featured(matrix(rows.column("window")), lags, size), matrix(rows.column("vec"))
+            for ridge, weights in every.items():
+                total[ridge] += float((((z @ weights) - y) ** 2).mean(axis=1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.float64())], names=["ridge", "error"])
+
+    found = flat(split.where("part = 'validation'")).mapInArrow(errors, "ridge double, error double").groupBy("ridge").agg(F.sum("error").alias("error"))
     by_ridge = {r.ridge: r.error for r in found.collect()}
     best = min(ridges, key=lambda r: (round(by_ridge.get(r, 0.0), 12), r))
     return Joint(every[best], lags, best, by_ridge)

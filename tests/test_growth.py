@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from provgraph import cluster
-from provgraph.operators import embed, lineage, snapshots
+from provgraph.operators import detect, embed, lineage, snapshots
 from provgraph.plans import features, graphs
 
 
@@ -135,3 +137,17 @@ def test_hubs_texts_are_put_together_where_they_are_read(spark, against_sql, tmp
     assert max(written) < df.selectExpr("sum(length(rsg))").first()[0] / 2
     monkeypatch.setattr(features.wl, "BLOCK", 3000, raising=False)
     assert against_sql(query(spark, folder), sql, folder) > 0
+
+
+def test_joint_forecaster_takes_windows_by_slices(spark, monkeypatch):
+    """No more than ``SLICE`` windows become features at a time, and slices change no sum."""
+    rng = np.random.default_rng(3)
+    seq = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "seq long, vec array<double>").repartition(2)
+    windows = detect.lag_windows(seq, lags=4)
+    cells = lambda: np.array([r["values"] for r in sorted(detect.joint_gram(windows, 4, 5).collect(), key=lambda r: r.i)])
+    whole = cells()
+    assert whole.shape == (5, 8)
+    monkeypatch.setattr(detect, "SLICE", 3)
+    batch = pa.RecordBatch.from_pydict({"vec": [[1.0]] * 10})
+    assert [b.num_rows for b in detect.slices(iter([batch, batch]))] == [3, 3, 3, 1] * 2
+    np.testing.assert_allclose(cells(), whole)
