@@ -14,11 +14,12 @@ TRIMS = 8
 
 
 def spread(start: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """All rows (``key``, ``node``) that follow from ``start`` along ``edges`` (``node``, ``next``, and ``key`` or none of it); the newest rows alone are joined."""
+    """All rows (``key``, ``node``) that follow from ``start`` along ``edges`` (``node``, ``next``, and ``key`` or none of it); the newest rows alone are joined.
+    Rows are dealt before equal ones are sought, since one task of the join may make most of them."""
     on = ["node", *(k for k in key if k in edges.columns)]
     known = newest = checkpointed(start.select(*key, "node").distinct())
     while True:
-        ahead = newest.join(edges, on).select(*key, F.col("next").alias("node")).distinct()
+        ahead = newest.join(edges, on).select(*key, F.col("next").alias("node")).repartition(*key, "node").distinct()
         newest = checkpointed(ahead.join(known, [*key, "node"], "left_anti"))
         if newest.isEmpty():
             return known
@@ -81,19 +82,29 @@ def clusters_by_ancestors(links: DataFrame, pairs: DataFrame) -> DataFrame:
 
     In the condensed graph, take the components of a resource's processes and all above them. Any two that an edge joins there lie above one process, so
     the connected parts of that subgraph are the clusters, and no pair of a process and an ancestor is written: rows are
-    (resource, component above it) and the edges among those. A process without ancestors stays alone even where it joins others.
+    (resource, component above it) and the edges among those, without the ``leaves`` of the graph, which join nothing. A process without ancestors stays alone even where it joins others.
     """
     parts = strong_components(pairs)
     dag = condensed(pairs, parts)
     lone = childless_above(parts, dag).withColumn("lone", F.lit(True))
     placed = checkpointed(links.select("resource", "process").join(parts.select(F.col("node").alias("process"), "root"), "process", "left").withColumn("root", F.coalesce("root", "process")).join(lone, "root", "left"))
-    up = dag.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    above = spread(placed.select("resource", F.col("root").alias("node")), up, ["resource"])
+    alone, held = placed.where("lone"), placed.where("lone is null").select("resource", "process", "root")
+    up = joining(held.select(F.col("root").alias("node")), dag.select(F.col("dst").alias("node"), F.col("src").alias("next")), lone.select(F.col("root").alias("next")))
+    above = spread(held.select("resource", F.col("root").alias("node")), up, ["resource"])
     tag = lambda c: F.concat("resource", F.lit("|"), c)
-    roots = connected_components(above.join(up, "node").select(tag(F.col("node")).alias("a"), tag(F.col("next")).alias("b")))
-    named = placed.withColumn("node", tag(F.col("root"))).join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    first = F.min(F.when(F.col("lone").isNull(), F.col("process"))).over(Window.partitionBy("part"))
-    return named.select("resource", "process", F.when(F.col("lone"), F.col("process")).otherwise(first).alias("cluster"))
+    roots = connected_components(above.join(up, "node").select(tag(F.col("node")).alias("a"), tag(F.col("next")).alias("b")).repartition("a", "b"))
+    named = held.withColumn("node", tag(F.col("root"))).join(roots.withColumnRenamed("root", "part"), "node", "left").select("resource", "process", F.coalesce("part", "node").alias("part"))
+    named = checkpointed(named)
+    first = named.groupBy("part").agg(F.min("process").alias("cluster"))
+    return alone.select("resource", "process", F.col("process").alias("cluster")).union(named.join(first, "part").select("resource", "process", "cluster"))
+
+
+def joining(starts: DataFrame, up: DataFrame, lone: DataFrame) -> DataFrame:
+    """The edges ``up`` (``node``, ``next`` above it) that are above ``starts``, without leaves: vertices of ``lone``, which nothing is above, over one vertex only."""
+    over = spread(starts, up, [])
+    inner = checkpointed(up.join(over, "node", "left_semi").select("node", "next"))
+    leaves = inner.join(lone, "next", "left_semi").groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("next")
+    return checkpointed(inner.join(leaves, "next", "left_anti").select("node", "next"))
 
 
 def root_labels(parts: DataFrame, dag: DataFrame, most: int = LABEL) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from provgraph import cluster
-from provgraph.operators import detect, embed, lineage, snapshots
+from provgraph.operators import detect, embed, lineage, reach, snapshots
 from provgraph.plans import features, graphs
 
 
@@ -151,3 +151,22 @@ def test_joint_forecaster_takes_windows_by_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"vec": [[1.0]] * 10})
     assert [b.num_rows for b in detect.slices(iter([batch, batch]))] == [3, 3, 3, 1] * 2
     np.testing.assert_allclose(cells(), whole)
+
+
+def test_clusters_pass_leaves_once(spark, monkeypatch):
+    """300 processes above one that links to 30 resources: no row for each of them and a resource; two above a second process still join it."""
+    users = [f"u{i:03}" for i in range(300)]
+    edges = [(u, "hub") for u in users] + [("u000", "other"), ("u001", "apart"), ("u002", "last"), ("u001", "last")]
+    links = [(f"r{i:02}", p) for i in range(30) for p in ("hub", "other", "apart", "u003")] + [("r30", "apart"), ("r30", "last"), ("r30", "other"), ("r30", "u001"), ("r31", "none")]
+    rows, plain = [], reach.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(reach, "checkpointed", counted)
+    found = {tuple(r) for r in reach.clusters_by_ancestors(spark.createDataFrame(links, "resource string, process string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    joined = {(f"r{i:02}", p, c) for i in range(30) for p, c in (("hub", "apart"), ("other", "apart"), ("apart", "apart"), ("u003", "u003"))}
+    assert found == joined | {("r30", "apart", "apart"), ("r30", "last", "apart"), ("r30", "other", "other"), ("r30", "u001", "u001"), ("r31", "none", "none")}
+    assert max(rows) <= 2 * len(edges)
