@@ -60,9 +60,10 @@ def resource_access(links: DataFrame) -> DataFrame:
 
 def resource_weights(links: DataFrame, clusters: DataFrame) -> DataFrame:
     """``weight`` of each process at a resource: its cluster's size over the sum of all its processes' sizes."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("resource", "cluster"))
-    sized = clusters.withColumn("size", size)
-    return sized.withColumn("weight", F.col("size") / F.sum("size").over(Window.partitionBy("resource"))).select("resource", "process", "weight")
+    sizes = checkpointed(clusters.groupBy("resource", "cluster").agg(F.count(F.lit(1)).alias("size")))
+    totals = sizes.groupBy("resource").agg(F.sum(F.col("size") * F.col("size")).alias("total"))
+    shares = sizes.join(totals, "resource").select("resource", "cluster", (F.col("size") / F.col("total")).alias("weight"))
+    return clusters.join(shares, ["resource", "cluster"]).select("resource", "process", "weight")
 
 
 def normalised(weights: DataFrame, source: str = "src", weight: str = "weight") -> DataFrame:
