@@ -49,8 +49,8 @@ def train(spark: SparkSession, snapshots: DataFrame, properties: DataFrame, labe
     store_snapshots(store, snapshots, properties, labels)
     counts = subgraph_counts(store, depth)
     numbers, vocabulary = checkpointed(dense_ids(counts, "snapshot_id", "seq")), checkpointed(dense_ids(counts, "rsg", "rsg_id"))
-    model = embed.snapshot_factors(checkpointed(counts.join(small(numbers), "snapshot_id").join(vocabulary, "rsg").select("seq", "rsg_id", "cnt")), dim, rounds)
-    store.keep_vectors(embed.snapshot_vectors(model).join(numbers, "seq"), embed.feature_vectors(model, vocabulary))
+    vectors, features = embed.shared_factors(checkpointed(counts.join(small(numbers), "snapshot_id").join(vocabulary, "rsg").select("seq", "rsg_id", "cnt")), dim, rounds)
+    store.keep_vectors(vectors.join(numbers, "seq"), features.join(vocabulary, "rsg_id"))
     spark.createDataFrame([(depth,)], "depth int").write.mode("overwrite").parquet(f"{path}/settings")
     detector = detector or create(DETECTORS, "autoregression", quantile=0.99)
     detector.train(checkpointed(series(store.vectors(), "benign")))

@@ -170,3 +170,38 @@ def test_clusters_pass_leaves_once(spark, monkeypatch):
     joined = {(f"r{i:02}", p, c) for i in range(30) for p, c in (("hub", "apart"), ("other", "apart"), ("apart", "apart"), ("u003", "u003"))}
     assert found == joined | {("r30", "apart", "apart"), ("r30", "last", "apart"), ("r30", "other", "other"), ("r30", "u001", "u001"), ("r31", "none", "none")}
     assert max(rows) <= 2 * len(edges)
+
+
+def dense_factors(counts, start, rounds):
+    """Implicit ALS with a full system for each row of a table of counts."""
+    x, c = start, np.log1p(counts)
+    for _ in range(rounds):
+        solve = lambda v, c: np.linalg.solve(v.T @ v + (v.T * c) @ v + 0.1 * (c > 0).sum() * np.eye(v.shape[1]), ((1 + c) * (c > 0)) @ v)
+        y = np.array([solve(x, column) for column in c.T])
+        x = np.array([solve(y, row) for row in c])
+    return x, y
+
+
+def test_equal_profiles_are_solved_once(spark, monkeypatch):
+    """400 features in the snapshots of five profiles, and some of their own: vectors of the full systems, and no table of vectors with a row for each feature."""
+    rng = np.random.default_rng(1)
+    kinds = rng.integers(0, 3, (9, 5)) * (rng.random((9, 5)) < 0.6) + np.eye(9, 5, dtype=int)
+    counts = np.hstack([kinds[:, rng.integers(0, 5, 400)], rng.integers(1, 4, (9, 8))])
+    rows = [(i, j, c) for i, line in enumerate(counts.tolist()) for j, c in enumerate(line) if c]
+    sizes, plain = [], embed.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        if "vec" in df.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(embed, "checkpointed", counted)
+    start = lambda dim: np.array([r.v for r in spark.range(9).select(embed.start_vector(embed.F.concat_ws("|", embed.F.lit("7"), embed.F.col("id").cast("string")), dim).alias("v"), "id").orderBy("id").collect()])
+    for dim in (4, 16):
+        first = start(dim)
+        want, texts = dense_factors(counts, first / np.linalg.norm(first, axis=1, keepdims=True), 3)
+        snapshots, features = embed.shared_factors(spark.createDataFrame(rows, "seq long, rsg_id long, cnt long").repartition(3), dim, 3)
+        np.testing.assert_allclose(np.array([r.vec for r in snapshots.orderBy("seq").collect()]), want, atol=1e-4)
+        np.testing.assert_allclose(np.array([r.vec for r in features.orderBy("rsg_id").collect()]), texts, atol=1e-4)
+    assert max(sizes) <= 13
