@@ -31,9 +31,9 @@ def ancestors(pairs: DataFrame) -> DataFrame:
     return reached.join(below, "root").join(above, "above").select("node", "ancestor")
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, merged: bool = False) -> DataFrame:
     """``node``, ``root`` of the undirected graph."""
-    return connected_components(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return connected_components(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), merged)
 
 
 def related(pairs: DataFrame, asked: DataFrame) -> DataFrame:

@@ -76,10 +76,10 @@ def related(s, d):
 def bounded(s, d):
     """What holds of bounded communities: every node is in one, numbers have no gaps, each is connected, and the modularity is above that of label propagation."""
     p = checkpointed(pairs(s, d))
-    found = checkpointed(community.bounded_communities(p, most=120, least=1))
+    found = community.kept(community.bounded_communities(p, most=120, least=1))
     one, two = found.toDF("src", "a"), found.toDF("dst", "b")
     inner = p.join(one, "src").join(two, "dst").where("a = b")
-    apart = found.join(lineage.components(inner), "node", "left").select("community", F.coalesce("root", "node").alias("root")).distinct()
+    apart = found.join(lineage.components(inner, merged=True), "node", "left").select("community", F.coalesce("root", "node").alias("root")).distinct()
     counts = found.agg(F.count_distinct("node").alias("nodes"), F.count_distinct("community").alias("n"), F.max("community").alias("last"))
     score = lambda m: community.modularity(p, m).select(F.col("modularity"))
     other = score(community.label_propagation(p, 3).withColumnRenamed("label", "community")).withColumnRenamed("modularity", "propagated")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from provgraph import cluster
-from provgraph.operators import detect, embed, lineage, reach, snapshots
+from provgraph.operators import community, detect, embed, lineage, reach, snapshots
 from provgraph.plans import features, graphs
 
 
@@ -205,3 +205,21 @@ def test_equal_profiles_are_solved_once(spark, monkeypatch):
         np.testing.assert_allclose(np.array([r.vec for r in snapshots.orderBy("seq").collect()]), want, atol=1e-4)
         np.testing.assert_allclose(np.array([r.vec for r in features.orderBy("rsg_id").collect()]), texts, atol=1e-4)
     assert max(sizes) <= 13
+
+
+def test_communities_broadcast_no_nodes(spark, monkeypatch):
+    """No table with a row for each node is broadcast in a round; what is, has a row for each graph."""
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i // 8 * 8 + (i + d) % 8}") for i in range(64) for d in (1, 2, 3)] + [(f"n{8 * i}", f"n{8 * i + 8}") for i in range(7)], "src string, dst string")
+    plans, plain = [], cluster.checkpointed
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    for module in (community, cluster):
+        monkeypatch.setattr(module, "checkpointed", planned)
+    found = community.bounded_communities(pairs, most=10, depth=1, rounds=4)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 64
+    held = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 20 and all("[graph#" in line for line in held), held
