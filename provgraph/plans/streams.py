@@ -50,35 +50,46 @@ def labels_cte() -> str:
     return ", ".join([*out, f"upd AS ({every})"])
 
 
-def batches(s, d) -> list[DataFrame]:
+def parsed(s, d) -> DataFrame:
+    """The events' edges, read once and written with the columns that batches and first labels need."""
+    return checkpointed(tables.event_edges(s, d).select("actorID", "actor_type", "objectID", "object", "action", "exec", "path", "us"))
+
+
+def batches(edges: DataFrame) -> list[DataFrame]:
     """The events' edges in four batches by time."""
-    edges = tables.event_edges(s, d).select(F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "action", F.col("us").cast("double").alias("t"), "us")
+    edges = edges.select(F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "action", F.col("us").cast("double").alias("t"), "us")
     bounds = [None, *CUTS, None]
     inside = lambda low, high: (F.lit(True) if low is None else F.col("us") >= low) & (F.lit(True) if high is None else F.col("us") < high)
     return [edges.where(inside(*b)).drop("us") for b in zip(bounds, bounds[1:])]
 
 
-def first_labels(s, d) -> DataFrame:
-    return graph.node_properties(tables.event_edges(s, d), tables.event_properties(s, d)).select("name", F.array_join("properties", " ").alias("label"))
+def first_labels(edges: DataFrame) -> DataFrame:
+    """Each node's first label, written, since every batch is joined with it."""
+    return checkpointed(graph.node_properties(edges, tables.edge_properties(edges)).select("name", F.array_join("properties", " ").alias("label")))
 
 
 def wl_persistent(s, d):
     """Labels that persist over four snapshots of the events."""
-    store = PersistentLabels(shared_folder(s, "labels"), ROUNDS, first_labels(s, d))
-    for version, edges in enumerate(batches(s, d)):
-        store.step(edges, version)
+    edges = parsed(s, d)
+    store = PersistentLabels(shared_folder(s, "labels"), ROUNDS, first_labels(edges))
+    for version, batch in enumerate(batches(edges)):
+        store.step(batch, version)
     return store.updates(s)
 
 
 def stream_wl_histogram(s, d):
-    """The same as a stream, one micro-batch a file; every label's decayed weight at the end."""
+    """The same as a stream; every label's decayed weight at the end.
+
+    A batch's files, as many as tasks write, come when the stream has taken those before; it goes on from its checkpoint with all of them as one micro-batch.
+    """
     base = shared_folder(s, "stream")
-    parts = batches(s, d)
+    edges = parsed(s, d)
+    parts = batches(edges)
+    sink = LabelHistogram(PersistentLabels(f"{base}/labels", ROUNDS, first_labels(edges)), DecayingHistogram(f"{base}/histogram", RATE))
     for i, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{base}/in/{i}")
-    stream = s.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    sink = LabelHistogram(PersistentLabels(f"{base}/labels", ROUNDS, first_labels(s, d)), DecayingHistogram(f"{base}/histogram", RATE))
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        part.write.parquet(f"{base}/in/{i}")
+        stream = s.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return sink.histogram.read(s, len(parts) - 1).select("label", F.round("weight", 6).alias("weight"))
 
 

@@ -42,24 +42,24 @@ class PersistentLabels:
     def step(self, edges: DataFrame, version: int) -> DataFrame:
         """One batch of edges (``src``, ``dst``, ``action``); returns its updates."""
         spark = edges.sparkSession
-        fresh = typed_neighbours(edges.select("src", "dst", "action"), [])
+        fresh = checkpointed(typed_neighbours(edges.select("src", "dst", "action"), []).select("name", "other", "type"))
         ends = checkpointed(fresh.select("name").distinct())
         old = self.held(spark, "near", version - 1)
-        put(fresh.select("name", "other", "type").join(old, ["name", "other", "type"], "left_anti"), f"{self.path}/near/version={version}")
+        put(fresh.join(old, ["name", "other", "type"], "left_anti"), f"{self.path}/near/version={version}")
         near = old.union(spark.read.schema(SCHEMAS["near"]).parquet(f"{self.path}/near/version={version}"))
-        reach, around = [ends], None
-        for _ in range(self.rounds):
-            ahead = near.join(reach[-1], "name", "left_semi")
-            around = ahead if around is None else around.union(ahead)
-            reach.append(checkpointed(ahead.select(F.col("other").alias("name")).distinct()))
-        around = checkpointed(around.distinct())
-        ball = around.select("name").union(around.select(F.col("other").alias("name"))).distinct()
+        reach = [ends]
+        for _ in range(self.rounds - 1):
+            reach.append(checkpointed(near.join(reach[-1], "name", "left_semi").select(F.col("other").alias("name")).distinct()))
+        # neighbours stand in both directions, so each frontier holds the one before it, and the last has all rows that any round reads
+        around = checkpointed(near.join(reach[-1], "name", "left_semi"))
+        ball = reach[-1].union(around.select(F.col("other").alias("name"))).distinct()
         start = ball.join(self.held(spark, "labels", version - 1), "name", "left")
         if self.first is not None:
             start = start.join(self.first.select("name", F.col("label").alias("own")), "name", "left").withColumn("label", F.coalesce("label", "own"))
         state = checkpointed(start.select("name", F.coalesce("label", "name").alias("label"), F.lit(0).alias("round")))
         for r in range(1, self.rounds + 1):
-            seen = around.join(reach[r - 1], "name", "left_semi").join(state.select(F.col("name").alias("other"), F.col("label").alias("seen")), "other")
+            seen = around if r == self.rounds else around.join(reach[r - 1], "name", "left_semi")
+            seen = seen.join(state.select(F.col("name").alias("other"), F.col("label").alias("seen")), "other")
             mixed = seen.groupBy("name").agg(F.bit_xor(hash60(F.concat("type", F.lit("|"), "seen"))).alias("mix"))
             put(state.select("name", "label").join(mixed, "name").select("name", hash60(F.col("label")).bitwiseXOR(F.col("mix")).cast("string").alias("label")), f"{self.path}/updates/version={version}/round={r}")
             now = spark.read.schema("name string, label string").parquet(f"{self.path}/updates/version={version}/round={r}")

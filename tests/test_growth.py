@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from provgraph import cluster
 from provgraph.operators import community, detect, embed, lineage, reach, snapshots
-from provgraph.plans import features, graphs
+from provgraph.plans import features, graphs, streams
 
 
 def events(folder, rows):
@@ -223,3 +225,19 @@ def test_communities_broadcast_no_nodes(spark, monkeypatch):
     assert found.count() == 64
     held = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert len(plans) > 20 and all("[graph#" in line for line in held), held
+
+
+def test_batches_of_many_files(spark, against_sql, tmp_path, monkeypatch):
+    """The events are parsed once, a batch has a file for each task that writes it, and all its files are one micro-batch."""
+    rows = [(100 + i % 7, i % 60, 1440 * (i % 28) + i, f"type{i % 3}") for i in range(300)]
+    parsed, folders, plain, shared, edges = [], [], streams.checkpointed, streams.shared_folder, streams.tables.event_edges
+    monkeypatch.setattr(streams, "checkpointed", lambda df: plain(df.repartition(3)))
+    monkeypatch.setattr(streams, "shared_folder", lambda s, name: folders.append(shared(s, name)) or folders[-1])
+    monkeypatch.setattr(streams.tables, "event_edges", lambda s, d: parsed.append(d) or edges(s, d))
+    query, sql = streams.QUERIES["stream_wl_histogram"]
+    folder = events(tmp_path, rows)
+    assert against_sql(query(spark, folder), sql, folder) > 0
+    assert len(parsed) == 1
+    for i in range(4):
+        files = [x for x in Path(f"{folders[0].removeprefix('file:')}/in/{i}").iterdir() if x.suffix == ".parquet"]
+        assert len(files) > 1 and sorted(x.name for x in Path(f"{folders[0].removeprefix('file:')}/labels/updates").iterdir()) == [f"version={v}" for v in range(4)]
