@@ -241,3 +241,18 @@ def test_batches_of_many_files(spark, against_sql, tmp_path, monkeypatch):
     for i in range(4):
         files = [x for x in Path(f"{folders[0].removeprefix('file:')}/in/{i}").iterdir() if x.suffix == ".parquet"]
         assert len(files) > 1 and sorted(x.name for x in Path(f"{folders[0].removeprefix('file:')}/labels/updates").iterdir()) == [f"version={v}" for v in range(4)]
+
+
+def test_words_are_trained_in_parts(spark, monkeypatch):
+    """Words of one group lie together whichever part has them; a task has the sentences of its part, also of a hot head and of one that stands often."""
+    facts = [(f"m{i}", "in", f"n{i % 4}") for i in range(600)] + [("hot", "in", f"n{i % 4}") for i in range(64)] + [("often", "in", "n1")] * 64 + [(None, "in", "n1")]
+    triples = spark.createDataFrame(facts, "h string, r string, t string")
+    dealt, parts = embed.dealt_sentences(triples, 64)
+    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(embed.F.sum("n").alias("n")).collect()}
+    assert parts == 12 and len(sizes) == 12 and sum(sizes.values()) == 728 and max(sizes.values()) <= 2 * 64
+    assert dealt.where("h = 'often'").select("part").distinct().count() > 1
+    found = {r.word: np.array(r.vector) for r in embed.word_vectors(triples, 12, block=364).collect()}
+    assert found.keys() == {x for f in facts[:-1] for x in f}
+    unit = np.array([found[f"m{i}"] / np.linalg.norm(found[f"m{i}"]) for i in range(600)])
+    near, same = unit @ unit.T, np.subtract.outer(np.arange(600), np.arange(600)) % 4 == 0
+    assert near[same].mean() - near[~same].mean() > 0.3
