@@ -256,3 +256,19 @@ def test_words_are_trained_in_parts(spark, monkeypatch):
     unit = np.array([found[f"m{i}"] / np.linalg.norm(found[f"m{i}"]) for i in range(600)])
     near, same = unit @ unit.T, np.subtract.outer(np.arange(600), np.arange(600)) % 4 == 0
     assert near[same].mean() - near[~same].mean() > 0.3
+
+
+def test_words_are_written_once_a_visit(spark, monkeypatch):
+    """Vectors of words of one part are written by the visit that trains them, and by nothing else."""
+    triples, written, plain = spark.createDataFrame([(f"m{i}", "in", f"n{i % 4}") for i in range(120)], "h string, r string, t string"), [], cluster.checkpointed
+
+    def noted(df):
+        table = plain(df)
+        if "vec" in table.columns and table.where("name like 'm%'").count():
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(cluster, "checkpointed", noted)
+    monkeypatch.setattr(embed, "checkpointed", noted)
+    found = embed.word_vectors(triples, 4, rounds=6, block=40, visits=3)
+    assert found.count() == 125 and len(written) == 3
