@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 
 from provgraph import cluster
-from provgraph.operators import community, detect, embed, lineage, reach, snapshots
+from provgraph.operators import community, detect, embed, lineage, reach, snapshots, wl
 from provgraph.plans import features, graphs, streams
+from provgraph.streaming import labels
 
 
 def events(folder, rows):
@@ -272,3 +273,28 @@ def test_words_are_written_once_a_visit(spark, monkeypatch):
     monkeypatch.setattr(embed, "checkpointed", noted)
     found = embed.word_vectors(triples, 4, rounds=6, block=40, visits=3)
     assert found.count() == 125 and len(written) == 3
+
+
+def test_neighbours_from_edges_kept_once(spark):
+    """Both directions are made when edges are read: the same rows as distinct neighbours, also where an action is another's reverse."""
+    rows = [("a", "b", "X"), ("b", "a", "rev_X"), ("b", "a", "X"), ("c", "c", "Y"), ("a", "c", "rev_rev_X"), ("c", "a", "rev_X"), ("a", "d", None), (None, "a", "X"), ("a", None, "X")]
+    edges = spark.createDataFrame(rows, "src string, dst string, action string")
+    want = wl.typed_neighbours(edges, []).where("name is not null and other is not null").select("name", "other", "type")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(labels.both_ways(edges)) == key(want) and want.count() == 12
+
+
+def test_labels_join_no_frontier_that_is_whole(spark, tmp_path, monkeypatch):
+    """Edges are stored in one direction, and where a batch's edges touch all nodes, no row is looked up in a frontier; where they touch a few, the rows are theirs."""
+    kept, plain = [], labels.rows_of
+    monkeypatch.setattr(labels, "rows_of", lambda near, names, known: kept.append((near, *plain(near, names, known))) or kept[-1][1:])
+    store = labels.PersistentLabels(str(tmp_path / "labels"), 2)
+    ring = [(f"n{i}", f"n{(i + 1) % 12}", "E") for i in range(12)]
+    for version, rows in enumerate((ring, ring[:11] + [(None, "n1", "E")], ring[:1], ring[:8])):
+        store.step(spark.createDataFrame(rows, "src string, dst string, action string"), version)
+    assert [whole for _, _, whole in kept] == [True, True, True, True, False, False, False, False] and all(rows is near for near, rows, whole in kept if whole)
+    assert sorted(r.name for r in kept[4][1].collect()) == ["n0", "n0", "n1", "n1"]
+    assert sorted({r.name for r in kept[5][1].collect()}) == ["n0", "n1", "n11", "n2"]
+    assert spark.read.parquet(str(tmp_path / "labels" / "near_full" / "version=0")).count() == 12
+    got = {(r.version, r["round"], r.name): r.label for r in store.updates(spark).collect()}
+    assert {k[2] for k in got if k[:2] == (2, 2)} == {"n0", "n1", "n11", "n2"} and len({k[2] for k in got if k[:2] == (3, 2)}) == 11
