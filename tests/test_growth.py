@@ -298,3 +298,13 @@ def test_labels_join_no_frontier_that_is_whole(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "labels" / "near_full" / "version=0")).count() == 12
     got = {(r.version, r["round"], r.name): r.label for r in store.updates(spark).collect()}
     assert {k[2] for k in got if k[:2] == (2, 2)} == {"n0", "n1", "n11", "n2"} and len({k[2] for k in got if k[:2] == (3, 2)}) == 11
+
+
+def test_persistent_edges_are_stored_once(spark, tmp_path, monkeypatch):
+    """A batch that touches all nodes writes its edges in one direction, and no adjacency beside them."""
+    written, plain = [], labels.checkpointed
+    monkeypatch.setattr(labels, "checkpointed", lambda df: written.append(plain(df)) or written[-1])
+    ring = [(f"n{i}", f"n{(i + 1) % 12}", "E") for i in range(12)]
+    updates = labels.PersistentLabels(str(tmp_path / "labels"), 2).step(spark.createDataFrame(ring, "src string, dst string, action string"), 0)
+    assert updates.count() == 24 and spark.read.parquet(str(tmp_path / "labels" / "near" / "version=0")).count() == 12
+    assert max(table.count() for table in written) == 12
